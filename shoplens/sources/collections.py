@@ -6,7 +6,7 @@ JSON lines split at any size.  For repeated use load a collection into Parquet o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,22 @@ def _read_lines(spark: SparkSession, path: str, schema: T.StructType, **options)
     return spark.read.schema(schema).options(mode="FAILFAST", **options).json(path)
 
 
+def array_elements(text: Column, schema: T.StructType) -> Column:
+    """The objects in the text of a JSON array, in order; other elements are skipped.
+
+    Text that is no array raises, and so does an object that does not fit the schema.
+    """
+    elements = F.from_json(text, "array<string>")
+    objects = F.transform(
+        F.filter(elements, lambda e: F.ltrim(e).startswith("{")),
+        lambda e: F.from_json(e, schema, {"mode": "FAILFAST"}),
+    )
+    problem = F.concat(F.lit("not a JSON array: "), F.substring(text, 1, 80))
+    return F.when(elements.isNotNull(), objects).otherwise(
+        F.raise_error(problem).cast(T.ArrayType(schema))
+    )
+
+
 def _read_arrays(
     spark: SparkSession, path: str, schema: T.StructType, position: bool = False, **options
 ) -> DataFrame:
@@ -63,17 +79,9 @@ def _read_arrays(
         .options(multiLine=True, columnNameOfCorruptRecord=broken, **options)
         .json(path)
     )
-    elements = F.from_json(broken, "array<string>")
-    objects = F.transform(
-        F.filter(elements, lambda e: F.ltrim(e).startswith("{")),
-        lambda e: F.from_json(e, schema, {"mode": "FAILFAST"}),
-    )
-    rescued = F.when(elements.isNotNull(), objects).otherwise(
-        F.raise_error(F.concat(F.lit("not a JSON array: "), F.substring(broken, 1, 80))).cast(
-            T.ArrayType(schema)
-        )
+    rows = F.when(F.col(broken).isNull(), F.array(F.struct(*schema.fieldNames()))).otherwise(
+        array_elements(F.col(broken), schema)
     )
-    rows = F.when(F.col(broken).isNull(), F.array(F.struct(*schema.fieldNames()))).otherwise(rescued)
     extra = []
     if position:
         extra = [

@@ -7,11 +7,15 @@ half way leaves no partial output behind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import flatten_sessions
 from ..sources import schemas
+from ..sources.collections import array_elements
 
 
 def ingest_files(
@@ -22,7 +26,7 @@ def ingest_files(
     checkpoint: str,
     file_format: str = "json",
     pattern: str = "*",
-    transform=None,
+    transform: Callable[[DataFrame], DataFrame] | None = None,
     max_files_per_batch: int | None = None,
     **options,
 ) -> None:
@@ -46,27 +50,30 @@ def ingest_files(
 
 
 def ingest_sessions(spark: SparkSession, folder: str, target: str, checkpoint: str) -> DataFrame:
-    """Load new ``sessions_*.json`` chunks as flat sessions and return the table so far."""
+    """Load new ``sessions_*.json`` chunks as flat sessions and return the table so far.
 
-    def flat_with_origin(df: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
+    A chunk is one JSON array and is read by one task.  ``load_order`` is the time of the batch, which
+    a replayed batch keeps, then the file name and the place in the file.
+    """
+    schema = T.StructType.fromDDL(schemas.SESSIONS)
 
-        order = F.struct(
+    def sessions_of(chunks: DataFrame) -> DataFrame:
+        placed = chunks.select(
             F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
+            F.posexplode(array_elements(F.col("value"), schema)).alias("element", "session"),
         )
-        return flatten_sessions(df.withColumn("load_order", order))
+        order = F.struct(F.current_timestamp().alias("loaded_at"), "file", "element")
+        return flatten_sessions(placed.select("session.*", order.alias("load_order")))
 
     ingest_files(
         spark,
         folder,
-        schemas.SESSIONS,
+        "value string",
         target,
         checkpoint,
+        file_format="text",
         pattern="sessions_*.json",
-        transform=flat_with_origin,
-        multiLine=True,
-        mode="FAILFAST",
+        transform=sessions_of,
+        wholetext=True,
     )
     return spark.read.parquet(target)

@@ -1,0 +1,73 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("shoplens-tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    from shoplens.session import tune
+
+    yield tune(session)
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def folder():
+    return TABLES
+
+
+@pytest.fixture
+def transactions(spark):
+    """Build transaction documents from dicts; missing fields are null."""
+    from shoplens.sources import schemas
+
+    def build(*documents):
+        import json
+
+        lines = [(json.dumps(d),) for d in documents]
+        from pyspark.sql import functions as F
+
+        text = spark.createDataFrame(lines, "line string")
+        return text.select(F.from_json("line", schemas.TRANSACTIONS).alias("d")).select("d.*")
+
+    return build
+
+
+@pytest.fixture
+def products(spark):
+    def build(*rows):
+        return spark.createDataFrame(rows, "product_id string, name string, category_id string")
+
+    return build
+
+
+def item(product, quantity=1, unit_price=1.0, **extra):
+    return {
+        "product_id": product,
+        "quantity": quantity,
+        "unit_price": unit_price,
+        "subtotal": round(quantity * unit_price, 2),
+    } | extra
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]

@@ -1,0 +1,104 @@
+import itertools
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from shoplens.plans import also_bought, baskets, copurchase_totals
+
+ITEMS = "transaction_id bigint, product_id bigint"
+
+
+def brute_force(lines, k):
+    held = defaultdict(set)
+    for t, p in lines:
+        if t is not None and p is not None:
+            held[t].add(p)
+    pairs = Counter(
+        pair for products in held.values() for pair in itertools.combinations(sorted(products), 2)
+    )
+    return sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda x: (-x[2], x[0], x[1]))[:k]
+
+
+def found(spark, lines, k, small):
+    df = spark.createDataFrame(lines, ITEMS)
+    return rows(baskets._top_pairs(df, k, small))
+
+
+def random_lines(rng, small_baskets, large_baskets, catalog):
+    lines = [(None, 1), (1, None)]
+    for t in range(small_baskets):
+        for _ in range(rng.randint(1, 6)):
+            lines.append((t, min(rng.randrange(catalog), rng.randrange(catalog))))
+    for t in range(small_baskets, small_baskets + large_baskets):
+        lines += [(t, p) for p in rng.sample(range(catalog), rng.randint(catalog // 3, catalog))]
+    rng.shuffle(lines)
+    return lines
+
+
+@pytest.mark.parametrize("small_baskets, large_baskets", [(60, 0), (60, 1), (30, 4), (0, 3), (0, 9)])
+def test_equals_brute_force(spark, small_baskets, large_baskets):
+    rng = random.Random(small_baskets * 10 + large_baskets)
+    lines = random_lines(rng, small_baskets, large_baskets, 45)
+    for k, small in ((10, 8), (40, 3)):
+        assert found(spark, lines, k, small) == brute_force(lines, k)
+
+
+def test_more_large_baskets_than_can_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(baskets, "BROADCAST_ROWS", 3)
+    lines = random_lines(random.Random(7), 40, 6, 30)
+    df = spark.createDataFrame(lines, ITEMS)
+    assert rows(baskets._top_pairs(df, 3, 4)) == brute_force(lines, 3)
+
+
+def test_one_basket_with_a_third_of_all_lines(spark):
+    """20,000 products in one basket are 2e8 pairs; none but the few that can win are formed."""
+    giant = 20_000
+    lines = [(0, p) for p in range(giant)]
+    small = [(t, (t * 7 + j * j) % giant) for t in range(1, 10_001) for j in range(4)]
+    hot = [(t, p) for t in range(20_001, 20_006) for p in (11, 13, 17)]
+    df = spark.createDataFrame(lines + small + hot, ITEMS)
+    expected = brute_force(small + hot, 3)
+    # All three winners lie in the giant basket as well.
+    assert rows(baskets._top_pairs(df, 3, 200)) == [(a, b, n + 1) for a, b, n in expected]
+
+
+def test_only_giant_baskets(spark):
+    """Three equal giants: every pair ties, the smallest ids win."""
+    lines = [(t, p) for t in range(3) for p in range(8_000)]
+    assert found(spark, lines, 4, 200) == [(0, 1, 3), (0, 2, 3), (0, 3, 3), (0, 4, 3)]
+
+
+def test_names_and_ties(spark):
+    items = spark.createDataFrame(
+        [
+            (t, p, f"name of {p}")
+            for t, products in enumerate(["ab", "ab", "cd", "ac", "bd", "aab"])
+            for p in products
+        ],
+        "transaction_id int, product_id string, product_name string",
+    )
+    got = also_bought(items, k=3)
+    assert rows(got) == [
+        ("a", "name of a", "b", "name of b", 3),
+        ("a", "name of a", "c", "name of c", 1),
+        ("b", "name of b", "d", "name of d", 1),
+    ]
+    catalog = spark.createDataFrame([("a", "A"), ("b", "B")], "product_id string, name string")
+    named = also_bought(items, k=2, products=catalog)
+    assert rows(named) == [("a", "A", "b", "B", 3), ("a", "A", "c", None, 1)]
+    assert rows(copurchase_totals(got, 2)) == [("name of a", 4), ("name of b", 4)]
+
+
+def test_empty_input(spark):
+    assert found(spark, [(1, 2), (None, 3)], 5, 10) == []
+
+
+def test_copurchase_totals_are_by_name(spark):
+    pairs = spark.createDataFrame(
+        [(1, "x", 2, "y", 3), (1, "x", 3, "x", 2)],
+        "product_a int, product_a_name string, product_b int, product_b_name string, co_count bigint",
+    )
+    assert rows(copurchase_totals(pairs)) == [("x", 7), ("y", 3)]

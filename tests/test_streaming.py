@@ -1,0 +1,37 @@
+import json
+
+from pyspark.sql import functions as F
+
+from shoplens.operators import latest_by_key
+from shoplens.streaming import ingest_sessions
+
+
+def chunk(folder, name, ids):
+    documents = [
+        {
+            "session_id": f"s{i}",
+            "user_id": f"user_{i % 4:06d}",
+            "start_time": f"2025-01-01T00:00:{i % 8:02d}",
+            "cart_contents": {},
+        }
+        for i in ids
+    ]
+    (folder / name).write_text(json.dumps(documents))
+
+
+def test_restarts_neither_skip_nor_repeat(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    target, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    chunk(source, "sessions_0.json", range(5))
+    chunk(source, "sessions_1.json", range(5, 10))
+    (source / "notes.json").write_text("not a session file")
+    assert ingest_sessions(spark, str(source), target, progress).count() == 10
+    chunk(source, "sessions_2.json", range(10, 15))
+    assert ingest_sessions(spark, str(source), target, progress).count() == 15
+    table = ingest_sessions(spark, str(source), target, progress)
+    assert table.count() == 15
+    assert sorted(r.session_id for r in table.collect()) == sorted(f"s{i}" for i in range(15))
+    newest = latest_by_key(table, ["row_key"], F.col("load_order"))
+    # Sessions 8 to 14 share user and second with 0 to 6 and came later.
+    assert sorted(int(r.session_id[1:]) for r in newest.collect()) == [7, *range(8, 15)]
