@@ -59,7 +59,7 @@ def customer_value_from_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def user_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     headers = data.transactions(spark, folder)
-    return plans.user_segmentation(data.priced_lines(spark, folder), headers=headers)
+    return plans.user_segmentation(data.lines(spark, folder), headers=headers)
 
 
 def customer_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,12 +87,12 @@ def box_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_products(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.top_products(data.priced_lines(spark, folder), data.products(spark, folder))
+    return plans.top_products(data.lines(spark, folder), data.products(spark, folder))
 
 
 def revenue_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return plans.revenue_by_category(
-        data.priced_lines(spark, folder),
+        data.lines(spark, folder),
         data.products(spark, folder),
         categories=data.categories(spark, folder),
         headers=data.transactions(spark, folder),
@@ -162,18 +162,14 @@ def time_range_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_total_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    part = data.products(spark, folder).select("product_id", "base_price")
-    lines = data.table(spark, folder, "lineitem").withColumnsRenamed(
-        {"l_partkey": "product_id", "l_orderkey": "transaction_id"}
-    )
-    flag = F.col("l_returnflag")
-    lines = lines.join(part, "product_id").select(
+    flag, price = F.col("l_returnflag"), F.col("unit_price")
+    lines = data.lines(spark, folder).select(
         "transaction_id",
         "product_id",
-        F.col("l_quantity").alias("quantity"),
-        F.when(flag == "A", F.col("l_extendedprice")).alias("line_total"),
-        F.when(flag == "R", F.col("base_price")).alias("unit_price"),
-        F.when(flag == "N", F.col("base_price")).alias("price"),
+        "quantity",
+        F.when(flag == "A", F.col("subtotal")).alias("line_total"),
+        F.when(flag == "R", price).alias("unit_price"),
+        F.when(flag == "N", price).alias("price"),
     )
     total = fn.dollars(ops.line_total_cents()).alias("line_total")
     return ops.order_lines(lines).select("transaction_id", "product_id", total)
@@ -276,9 +272,9 @@ def queries() -> dict[str, Query]:
 # The same results in DuckDB SQL.
 
 _MONEY = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
-_LIST_REVENUE = (
-    "CAST(SUM(CAST(l_quantity AS BIGINT) * CAST(p_retailprice AS DECIMAL(12,2))) AS DOUBLE)"
-)
+_UNIT_CENTS = "(CAST(ROUND(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT))"
+_REVENUE_CENTS = f"CAST(l_quantity AS BIGINT) * {_UNIT_CENTS}"
+_REVENUE = f"CAST(SUM({_REVENUE_CENTS}) AS DOUBLE) / 100"
 
 _PAIRS = """
     baskets AS (
@@ -310,7 +306,7 @@ _VALUE = f"""
 _CATEGORY_REVENUE = f"""
     revenue AS (
         SELECT p_size % 25 AS category_id, strftime(o_orderdate, '%Y-%m') AS year_month,
-               {_LIST_REVENUE} AS revenue
+               {_REVENUE} AS revenue
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         GROUP BY 1, 2
     ),
@@ -400,10 +396,10 @@ def _segments_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over the same tables for each query."""
     return {
-        "line_items": """
+        "line_items": f"""
             SELECT l_orderkey AS transaction_id, o_custkey AS user_id, o_orderdate AS "timestamp",
                    l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
-                   p_retailprice AS unit_price, l_extendedprice AS subtotal,
+                   {_UNIT_CENTS} / 100 AS unit_price, l_extendedprice AS subtotal,
                    p_name AS product_name, p_size % 25 AS category_id
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         """,
@@ -439,11 +435,11 @@ def oracle_sql() -> dict[str, str]:
                    COUNT(DISTINCT l_orderkey) AS num_orders
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey
         """,
-        "user_segmentation": """
+        "user_segmentation": f"""
             WITH tx AS (
                 SELECT l_orderkey AS t, MIN(o_custkey) AS u, MIN(o_orderdate) AS d,
-                       SUM(CAST(l_quantity AS BIGINT) * CAST(p_retailprice AS DECIMAL(12,2))) AS s
-                FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+                       SUM({_REVENUE_CENTS}) AS s
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey
                 GROUP BY l_orderkey
             ),
             people AS (SELECT u, COUNT(*) AS n, SUM(s) AS s, MAX(d) AS d FROM tx GROUP BY u)
@@ -451,7 +447,7 @@ def oracle_sql() -> dict[str, str]:
                         WHEN n >= 3 AND n < 5 THEN '3' WHEN n >= 5 AND n < 10 THEN '5'
                         WHEN n >= 10 AND n < 1000 THEN '10' ELSE 'other' END AS bucket,
                    COUNT(*) AS customers, SUM(n) / COUNT(*) AS avg_orders,
-                   CAST(SUM(s) AS DOUBLE) / COUNT(*) AS avg_spend, MAX(d) AS max_last_order_at
+                   CAST(SUM(s) AS DOUBLE) / 100 / COUNT(*) AS avg_spend, MAX(d) AS max_last_order_at
             FROM people GROUP BY 1
         """,
         "customer_segments": _segments_sql(),
@@ -463,7 +459,7 @@ def oracle_sql() -> dict[str, str]:
         "top_products": f"""
             SELECT l_partkey AS product_id, MIN(p_name) AS product_name,
                    MIN(p_size % 25) AS category_id, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_qty,
-                   {_LIST_REVENUE} AS total_revenue, COUNT(DISTINCT l_orderkey) AS orders
+                   {_REVENUE} AS total_revenue, COUNT(DISTINCT l_orderkey) AS orders
             FROM lineitem JOIN part ON l_partkey = p_partkey
             GROUP BY l_partkey ORDER BY total_revenue DESC, total_qty DESC, product_id LIMIT 20
         """,
@@ -524,12 +520,12 @@ def oracle_sql() -> dict[str, str]:
                    o_totalprice AS total, o_orderstatus AS status
             FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate <= '1997-12-31'
         """,
-        "line_total_fallback": """
+        "line_total_fallback": f"""
             SELECT l_orderkey AS transaction_id, l_partkey AS product_id,
                    CASE WHEN l_returnflag = 'A' THEN l_extendedprice
-                        ELSE CAST(CAST(l_quantity AS BIGINT) * CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE)
+                        ELSE {_REVENUE_CENTS} / 100
                    END AS line_total
-            FROM lineitem JOIN part ON l_partkey = p_partkey
+            FROM lineitem
         """,
         "parse_timestamps": """
             SELECT event_id, ts, date_trunc('second', ts) AS ts_seconds, CAST(NULL AS TIMESTAMP) AS ts_rejected

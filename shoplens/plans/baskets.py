@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import basket_items
-from ..sources.scratch import scratch_path
-from .lookup import BROADCAST_ROWS
+from ..sources.scratch import stored
+from .lookup import BROADCAST_ROWS, describe
 
 SMALL_BASKET = 200
 
@@ -95,13 +95,6 @@ def _light_counts(lines: DataFrame) -> DataFrame:
     return _pairs_of_small(baskets).groupBy("a", "b").agg(F.count("*").alias("light"))
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write an intermediate once that several passes read."""
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
     """``a, b, co_count`` of the k most frequent pairs, ties by ids.
 
@@ -122,8 +115,8 @@ def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
 
 
 def _top_with_large(light: DataFrame, members: DataFrame, k: int, small: int) -> DataFrame:
-    light = _stored(light, "light-pairs")
-    members = _stored(members, "large-baskets")
+    light = stored(light, "light-pairs")
+    members = stored(members, "large-baskets")
     spans = members.groupBy("product_id").agg(
         F.count("*").alias("h"),
         F.bit_xor(F.xxhash64("transaction_id")).alias("mark"),
@@ -181,6 +174,10 @@ def _top_with_large(light: DataFrame, members: DataFrame, k: int, small: int) ->
     return both.orderBy(*_ranking("co_count")).limit(k)
 
 
+def _as_side(side: str) -> list[Column]:
+    return [F.col("product_id").alias(side), F.col("name").alias(f"product_{side}_name")]
+
+
 def also_bought(
     line_items: DataFrame,
     k: int = 10,
@@ -191,33 +188,17 @@ def also_bought(
 
     ``product_a, product_a_name, product_b, product_b_name, co_count`` with ``product_a < product_b``;
     a product counts once per transaction and ties are ordered by the ids.  Pairs are counted by id.
-    Names are joined to the k winners, from ``products`` or else from ``line_items``.
+    The winners are computed when this is called; names are joined to them, from ``products`` or else
+    from ``line_items``.
     ``small_basket`` only divides the work; it does not change the result.
     """
-    best = _top_pairs(line_items, k, small_basket)
+    best = stored(_top_pairs(line_items, k, small_basket), "top-pairs")
     if products is None:
-        described = line_items.select("product_id", "product_name")
-    else:
-        described = products.select("product_id", F.col("name").alias("product_name"))
-    if k > BROADCAST_ROWS:
-        names = described.groupBy("product_id").agg(F.min("product_name").alias("product_name"))
-        for side in "ab":
-            name = names.toDF(side, f"product_{side}_name")
-            best = best.join(name, side, "left")
+        names = line_items.groupBy("product_id").agg(F.min("product_name").alias("name"))
     else:
-        # At most 2 k ids go out to the scan of the names, and at most 2 k names come back.
-        ids = best.select(F.explode(F.array("a", "b")).alias("product_id"))
-        wanted = described.join(F.broadcast(ids), "product_id", "left_semi")
-        names = wanted.groupBy("product_id").agg(F.min("product_name").alias("name"))
-        lookup = names.agg(F.map_from_entries(F.collect_list(F.struct("product_id", "name"))))
-        best = best.withColumn("names", lookup.scalar())
-        best = best.select(
-            "a",
-            "b",
-            F.try_element_at("names", F.col("a")).alias("product_a_name"),
-            F.try_element_at("names", F.col("b")).alias("product_b_name"),
-            "co_count",
-        )
+        names = products.select("product_id", "name")
+    for side in "ab":
+        best = describe(best, names.select(*_as_side(side)), side, k)
     return best.orderBy(*_ranking("co_count")).select(
         F.col("a").alias("product_a"),
         "product_a_name",

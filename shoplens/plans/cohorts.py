@@ -13,18 +13,19 @@ def cohort_retention(transactions: DataFrame) -> DataFrame:
 
     ``cohort_month, cohort_index, active_users, cohort_size, retention_rate``.
 
-    Orders shrink to distinct user months before anything else happens, in the map tasks already, so
-    a user with a third of all orders weighs no more than the number of months.  The first month is
-    then a window over at most that many rows per user instead of a join back to the orders.
+    A user's orders become the set of months they fall in, already in the map tasks, so a user with
+    a third of all orders weighs no more than the number of months there are.  The earliest of the set
+    is the cohort: neither a join back to the orders nor a distinct count is left to do.
     """
-    ordered = transactions.select(
-        "user_id", month_start(as_timestamp(transactions)).alias("order_month")
-    )
-    months = ordered.na.drop().distinct()
-    first = F.min("order_month").over(Window.partitionBy("user_id")).alias("cohort_month")
+    month = month_start(as_timestamp(transactions)).alias("month")
+    ordered = transactions.select("user_id", month).na.drop()
+    users = ordered.groupBy("user_id").agg(F.collect_set("month").alias("months"))
     active = (
-        months.select("order_month", first)
-        .groupBy("cohort_month", month_index(F.col("order_month"), F.col("cohort_month")).alias("cohort_index"))
+        users.select(F.array_min("months").alias("cohort_month"), F.explode("months").alias("month"))
+        .groupBy(
+            "cohort_month",
+            month_index(F.col("month"), F.col("cohort_month")).alias("cohort_index"),
+        )
         .agg(F.count("*").alias("active_users"))
     )
     # At most one row per pair of months from here on.

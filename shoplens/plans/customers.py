@@ -62,12 +62,14 @@ def customer_value_from_items(
     user_id``); they are then added up per order before the join.
     """
     lines = line_items.withColumn("subtotal", cents(F.col("subtotal")))
+    orders = F.count_distinct("transaction_id")
     if headers is not None:
         per_order = lines.groupBy("transaction_id").agg(F.sum("subtotal").alias("subtotal"))
         lines = per_order.join(headers.select("transaction_id", "user_id"), "transaction_id")
+        orders = F.count("*")  # one row per order by now
     return (
         lines.groupBy("user_id")
-        .agg(F.sum("subtotal").alias("clv"), F.count_distinct("transaction_id").alias("num_orders"))
+        .agg(F.sum("subtotal").alias("clv"), orders.alias("num_orders"))
         .select("user_id", dollars(F.col("clv")).alias("clv"), "num_orders")
         .orderBy(F.col("clv").desc(), "user_id")
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def names_of(described: DataFrame, best: DataFrame, key: str, rows: int) -> DataFrame:
-    """Left join of ``best``, which has at most ``rows`` rows, to a table unique in ``key``.
+def describe(best: DataFrame, described: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join of ``best``, a stored table of at most ``rows`` rows, to one unique in ``key``.
 
     The big table is reduced to the wanted keys where it is scanned instead of being shuffled.  Both
     broadcast sides are bounded by ``rows``; beyond BROADCAST_ROWS Spark chooses the join itself.

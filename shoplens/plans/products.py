@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dollars, month_text
-from ..operators import in_time_range, line_total_cents, order_lines
+from ..operators import coerce_numeric, in_time_range, line_total_cents, order_lines
 from ..operators.lines import line_quantity
-from .lookup import names_of
+from ..sources.scratch import stored
+from .lookup import describe
 
 
 def top_products(
@@ -22,7 +23,8 @@ def top_products(
 
     ``product_id, product_name, category_id, total_qty, total_revenue, orders``.  Counting distinct
     orders makes Spark aggregate by product and order first, which also spreads a product found in
-    every other line over all tasks.  Products are looked up after the limit.
+    every other line over all tasks.  The winners are computed when this is called and stored, so the
+    lookup of their names costs one reduced scan of the products.
     """
     lines = order_lines(in_time_range(transactions, start, end) if start or end else transactions)
     totals = (
@@ -40,10 +42,11 @@ def top_products(
         )
     )
     ranking = [F.col("revenue").desc(), F.col("total_qty").desc(), F.col("product_id")]
-    best = totals.orderBy(*ranking).limit(limit)
-    described = names_of(products.select("product_id", F.col("name").alias("product_name"), "category_id"), best, "product_id", limit)
+    best = stored(totals.orderBy(*ranking).limit(limit), "top-products")
+    names = products.select("product_id", F.col("name").alias("product_name"), "category_id")
     return (
-        described.orderBy(*ranking)
+        describe(best, names, "product_id", limit)
+        .orderBy(*ranking)
         .select(
             "product_id",
             "product_name",
@@ -97,8 +100,6 @@ def category_timeline(revenue: DataFrame) -> DataFrame:
 
     The category id stands in where there is no name; rows without a revenue number are dropped.
     """
-    from ..operators import coerce_numeric
-
     label = F.col("category_id").cast("string")
     if "category_name" in revenue.columns:
         label = F.coalesce("category_name", label)

@@ -2,7 +2,7 @@
 
 from .collections import load_collection, read_collection, read_sessions
 from .csv import read_result_csv
-from .scratch import scratch_path
+from .scratch import scratch_path, stored
 from .script import run_sql_script
 from .sinks import write_result, write_sessions
 from . import schemas
@@ -15,6 +15,7 @@ __all__ = [
     "run_sql_script",
     "schemas",
     "scratch_path",
+    "stored",
     "write_result",
     "write_sessions",
 ]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import cents, dollars
+
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
@@ -49,26 +51,28 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines without price, user and time."""
-    return table(spark, folder, "lineitem").select(
+    """Order lines without user and time.
+
+    The unit price is what the line itself says, its amount over its quantity in whole cents, so
+    revenue needs no lookup of prices.
+    """
+    priced = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
+        cents(F.col("l_extendedprice")).alias("amount"),
         F.col("l_extendedprice").alias("subtotal"),
+        "l_returnflag",
     )
-
-
-def priced_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines with the product's list price as unit price."""
-    prices = products(spark, folder).select("product_id", F.col("base_price").alias("unit_price"))
-    return lines(spark, folder).join(prices, "product_id")
+    unit = dollars(F.expr("amount div nullif(quantity, 0)"))
+    return priced.withColumn("unit_price", unit).drop("amount")
 
 
 def line_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Order documents holding one line each, ready to be unnested."""
     headers = transactions(spark, folder).select("transaction_id", "user_id", "timestamp")
     item = F.struct("product_id", "quantity", "unit_price", "subtotal")
-    documents = priced_lines(spark, folder).select("transaction_id", F.array(item).alias("items"))
+    documents = lines(spark, folder).select("transaction_id", F.array(item).alias("items"))
     return documents.join(headers, "transaction_id")
 
 
