@@ -145,13 +145,13 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     ingest_files(
         spark,
         folder,
-        data.EVENTS,
+        data.SCHEMAS["events"],
         target,
         checkpoint=scratch_path(spark, "events-progress"),
         file_format="parquet",
         pattern="events.parquet",
     )
-    return spark.read.schema(data.EVENTS).parquet(target)
+    return spark.read.schema(data.SCHEMAS["events"]).parquet(target)
 
 
 # Single operators

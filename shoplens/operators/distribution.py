@@ -6,23 +6,21 @@ join, and the shuffle that produced the input is reused by both passes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 APPROXIMATION = 10_000  # rank error of the first pass is at most rows / APPROXIMATION
 
 
-def _present(name: str) -> Column:
-    return F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
-
-
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles, with NaN made null."""
-    return df.select(
-        *(F.when(_present(c), F.col(c).cast("double")).alias(c) for c in columns)
-    )
+    return df.selectExpr(*(f"nullif(cast(`{c}` as double), double('nan')) as `{c}`" for c in columns))
+
+
+def _inline(structs: Iterable[str]) -> str:
+    return f"inline(array({', '.join(structs)}))"
 
 
 def exact_quantiles(
@@ -39,92 +37,68 @@ def exact_quantiles(
     numbers = _numbers(df, columns)
     margin = 2.0 / APPROXIMATION
     edges = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
-    sketch = numbers.agg(
+    ranks = ", ".join(f"{e}d" for e in edges)
+    sketch = numbers.selectExpr(
         *(
-            F.struct(
-                F.count(c).alias("n"),
-                F.min(c).alias("lo"),
-                F.max(c).alias("hi"),
-                F.percentile_approx(c, edges, APPROXIMATION).alias("edges"),
-            ).alias(c)
+            f"struct(count(`{c}`) as n, min(`{c}`) as lo, max(`{c}`) as hi, "
+            f"percentile_approx(`{c}`, array({ranks}), {APPROXIMATION}) as edges) as `{c}`"
             for c in columns
         )
     )
 
-    def bracket(c: str, i: int, p: float) -> Column:
-        s = F.col(c)
+    def bracket(c: str, i: int, p: float) -> str:
         # A small column is ranked whole; so is the side of a bracket that runs off an end.
-        small = s["n"] < 10 * APPROXIMATION
-        low = F.when(small | F.lit(p <= margin), s["lo"]).otherwise(s["edges"][2 * i])
-        high = F.when(small | F.lit(p >= 1 - margin), s["hi"]).otherwise(s["edges"][2 * i + 1])
-        return F.struct(
-            F.lit(c).alias("metric"),
-            F.lit(i).alias("slot"),
-            low.alias("low"),
-            high.alias("high"),
-            (F.lit(float(p)) * (s["n"] - 1)).alias("position"),
+        small = f"`{c}`.n < {10 * APPROXIMATION}"
+        low = f"if({small} or {p <= margin}, `{c}`.lo, `{c}`.edges[{2 * i}])"
+        high = f"if({small} or {p >= 1 - margin}, `{c}`.hi, `{c}`.edges[{2 * i + 1}])"
+        return (
+            f"struct('{c}' as metric, {i} as slot, {low} as low, {high} as high, "
+            f"{p}d * (`{c}`.n - 1) as position)"
         )
 
-    brackets = sketch.select(
-        F.inline(
-            F.array(*(bracket(c, i, p) for c in columns for i, p in enumerate(probabilities)))
-        )
+    brackets = sketch.selectExpr(
+        _inline(bracket(c, i, p) for c in columns for i, p in enumerate(probabilities))
     )
-    values = numbers.select(
-        F.inline(
-            F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns))
-        )
-    ).where("value is not null")
+    values = numbers.selectExpr(_inline(f"struct('{c}' as metric, `{c}` as value)" for c in columns))
     # The broadcast side has len(columns) * len(probabilities) rows.
     inside = (
-        values.join(F.broadcast(brackets), "metric")
+        values.where("value is not null")
+        .join(F.broadcast(brackets), "metric")
         .where("value <= high")
-        .groupBy(
-            "metric",
-            "slot",
-            "position",
-            F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"),
-        )
-        .agg(F.count("*").alias("copies"))
+        .groupBy("metric", "slot", "position", F.expr("if(value >= low, value, null) as value"))
+        .agg(F.expr("count(*) as copies"))
     )
-    running = Window.partitionBy("metric", "slot").orderBy(F.col("value").asc_nulls_first())
-    ranked = inside.withColumn(
-        "through", F.sum("copies").over(running.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.selectExpr(
+        "*",
+        """sum(copies) over (partition by metric, slot order by value nulls first
+           rows between unbounded preceding and current row) as through""",
     )
-
-    def at_rank(rank: Column) -> Column:
-        # Least value with more than `rank` values up to it.  The folded rows below have no value.
-        return F.min(F.when(F.col("through") > rank, F.struct("through", "value")))["value"]
-
+    # `lower` and `upper` are the least values with more than that many values up to them.  The row
+    # folded from everything below a bracket has no value and must end before the rank.
     found = (
         ranked.groupBy("metric", "slot", "position")
         .agg(
-            at_rank(F.floor("position")).alias("below"),
-            at_rank(F.ceil("position")).alias("above"),
+            F.expr("min(if(through > floor(position), value, null)) as lower"),
+            F.expr("min(if(through > ceil(position), value, null)) as upper"),
+            F.expr("coalesce(max(if(value is null, through, 0)), 0) as folded"),
         )
-        .select(
+        .selectExpr(
             "metric",
             "slot",
-            F.when(
-                F.col("below").isNotNull() & F.col("above").isNotNull(),
-                F.col("below")
-                + (F.col("above") - F.col("below")) * (F.col("position") - F.floor("position")),
-            )
-            .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-            .alias("quantile"),
+            """if(upper is not null and folded <= floor(position),
+                  lower + (upper - lower) * (position - floor(position)),
+                  cast(raise_error('quantile bracket missed its rank') as double)) as quantile""",
         )
     )
-    return found.groupBy().agg(
-        *(
-            F.array(
-                *(
-                    F.max(F.when((F.col("metric") == c) & (F.col("slot") == i), F.col("quantile")))
-                    for i in range(len(probabilities))
-                )
-            ).alias(c)
-            for c in columns
+
+    def slots(c: str) -> str:
+        found_in = (
+            f"max(if(metric = '{c}' and slot = {i}, quantile, null))"
+            for i in range(len(probabilities))
         )
-    )
+        return f"array({', '.join(found_in)}) as `{c}`"
+
+    return found.selectExpr(*(slots(c) for c in columns))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -135,38 +109,35 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """
     if bins < 1:
         raise ValueError("a histogram needs at least one bin")
-    numbers = _numbers(df, [column]).where(F.col(column).isNotNull())
-    least, most = F.min(column), F.max(column)
-    pad = F.when(least == most, F.lit(0.5)).otherwise(F.lit(0.0))
-    span = numbers.agg(F.struct((least - pad).alias("lo"), (most + pad).alias("hi")).alias("s"))
-    lo, hi = F.col("s")["lo"], F.col("s")["hi"]
+    numbers = _numbers(df, [column]).selectExpr(f"`{column}` as x").where("x is not null")
+    span = numbers.selectExpr(
+        """struct(min(x) - if(min(x) = max(x), 0.5d, 0d) as lo,
+                  max(x) + if(min(x) = max(x), 0.5d, 0d) as hi) as s"""
+    )
 
-    def edge(i: Column) -> Column:
-        return F.when(i == bins, hi).otherwise(lo + i * ((hi - lo) / bins))
+    def edge(i: str) -> str:
+        return f"if({i} = {bins}, s.hi, s.lo + {i} * ((s.hi - s.lo) / {bins}))"
 
-    x, i = F.col(column), F.col("i")
-    guess = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1).cast("bigint"))
+    guess = f"least(floor((x - s.lo) / (s.hi - s.lo) * {bins}), {bins - 1}L) as i"
     # The guess can be off by one through rounding; the edges decide.
-    settled = (
-        F.when(x < edge(i), i - 1)
-        .when((x >= edge(i + 1)) & (i < bins - 1), i + 1)
-        .otherwise(i)
-    )
+    settled = f"""case when x < {edge("i")} then i - 1
+                       when x >= {edge("(i + 1)")} and i < {bins - 1} then i + 1
+                       else i end as bin"""
     counts = (
-        numbers.select(column, span.scalar().alias("s"))
-        .select(column, "s", guess.alias("i"))
-        .groupBy(settled.alias("bin"))
-        .agg(F.count("*").alias("count"))
+        numbers.select("x", span.scalar().alias("s"))
+        .selectExpr("x", "s", guess)
+        .groupBy(F.expr(settled))
+        .agg(F.expr("count(*) as n"))
     )
     frame = df.sparkSession.range(bins).select(F.col("id").alias("bin"), span.scalar().alias("s"))
     # At most `bins` rows are broadcast.
     return (
         frame.join(F.broadcast(counts), "bin", "left")
-        .select(
+        .selectExpr(
             "bin",
-            edge(F.col("bin")).alias("lower"),
-            edge(F.col("bin") + 1).alias("upper"),
-            F.coalesce("count", F.lit(0).cast("bigint")).alias("count"),
+            f"{edge('bin')} as lower",
+            f"{edge('(bin + 1)')} as upper",
+            "coalesce(n, 0L) as count",
         )
         .orderBy("bin")
     )
@@ -181,18 +152,17 @@ def box_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     whole = quartiles.select(F.struct(*columns).alias("q"))
     data = _numbers(df, columns).select(*columns, whole.scalar().alias("q"))
 
-    def summary(c: str) -> Column:
-        x, q1, q3 = F.col(c), F.col("q")[c][0], F.col("q")[c][2]
-        reach = (q3 - q1) * 1.5
-        fence_low, fence_high = q1 - reach, q3 + reach
-        return F.struct(
-            F.lit(c).alias("metric"),
-            F.min(q1).alias("q1"),
-            F.min(F.col("q")[c][1]).alias("median"),
-            F.min(q3).alias("q3"),
-            F.least(F.min(F.when(x >= fence_low, x)), F.min(q1)).alias("whisker_low"),
-            F.greatest(F.max(F.when(x <= fence_high, x)), F.max(q3)).alias("whisker_high"),
-            F.count_if((x < fence_low) | (x > fence_high)).alias("outliers"),
-        )
-
-    return data.agg(F.array(*(summary(c) for c in columns)).alias("rows")).select(F.inline("rows"))
+    def summary(c: str) -> str:
+        q1, q3 = f"q.`{c}`[0]", f"q.`{c}`[2]"
+        low, high = f"({q1} - ({q3} - {q1}) * 1.5d)", f"({q3} + ({q3} - {q1}) * 1.5d)"
+        return f"""struct(
+            '{c}' as metric,
+            min({q1}) as q1,
+            min(q.`{c}`[1]) as median,
+            min({q3}) as q3,
+            least(min(if(`{c}` >= {low}, `{c}`, null)), min({q1})) as whisker_low,
+            greatest(max(if(`{c}` <= {high}, `{c}`, null)), max({q3})) as whisker_high,
+            count_if(`{c}` < {low} or `{c}` > {high}) as outliers)"""
+
+    rows = f"array({', '.join(summary(c) for c in columns)}) as rows"
+    return data.agg(F.expr(rows)).selectExpr("inline(rows)")

@@ -184,22 +184,21 @@ def customer_segments(value: DataFrame) -> DataFrame:
     edges = edges.select(F.struct(*measures).alias("edges"))
     data = clean.select(*measures, edges.scalar().alias("edges"))
 
-    def level(measure: str) -> Column:
-        e, x = F.col("edges")[measure], F.col(measure)
-        quartile = F.when(x <= e[1], 0).when(x <= e[2], 1).when(x <= e[3], 2).otherwise(3)
-        repeated = F.size(F.array_distinct(e)) < 5
-        message = F.lit(f"quartile edges of {measure} are not unique")
-        return F.when(repeated, F.raise_error(message).cast("int")).otherwise(quartile)
-
-    levelled = data.select(level(measures[0]).alias("s"), level(measures[1]).alias("f"))
-    rows = [
-        F.struct(
-            F.lit(spending).alias("spending"),
-            *(
-                F.count_if((F.col("s") == i) & (F.col("f") == j)).alias(frequency)
-                for j, frequency in enumerate(FREQUENCY_LEVELS)
-            ),
+    def level(measure: str) -> str:
+        e, x = f"edges.{measure}", measure
+        return f"""case
+            when size(array_distinct({e})) < 5
+                then cast(raise_error('quartile edges of {measure} are not unique') as int)
+            when {x} <= {e}[1] then 0 when {x} <= {e}[2] then 1 when {x} <= {e}[3] then 2 else 3 end"""
+
+    levelled = data.selectExpr(f"{level(measures[0])} as s", f"{level(measures[1])} as f")
+
+    def row(i: int, spending: str) -> str:
+        counts = (
+            f"count_if(s = {i} and f = {j}) as {frequency}"
+            for j, frequency in enumerate(FREQUENCY_LEVELS)
         )
-        for i, spending in enumerate(SPENDING_LEVELS)
-    ]
-    return levelled.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        return f"struct('{spending}' as spending, {', '.join(counts)})"
+
+    rows = ", ".join(row(i, spending) for i, spending in enumerate(SPENDING_LEVELS))
+    return levelled.agg(F.expr(f"array({rows}) as rows")).selectExpr("inline(rows)")

@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 
 from .functions import cents, dollars
 
-EVENTS = (
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-)
+# The columns used, so that no file is opened for its schema.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+                 o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double,
+                   l_extendedprice double, l_returnflag string, l_linestatus string""",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+                 props string""",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
