@@ -65,7 +65,8 @@ def in_time_range(
 
     A ten character bound means midnight, so ``end='2025-12-31'`` leaves out that day's later hours.
     Text columns are compared as text, which for ISO text gives the same order.  The comparison is
-    with a literal and reaches the Parquet scan.
+    with a literal and reaches the Parquet scan.  A frame with an ``order_month`` column next to
+    ``timestamp`` is limited by month as well, which prunes the folders of a stored table.
     """
     bounds = {"start": (start, parse_bound(start)), "end": (end, parse_bound(end))}
     as_text = timestamp_storage(df, column) == "string"
@@ -73,5 +74,12 @@ def in_time_range(
         if moment is None:
             continue
         bound = F.lit(text) if as_text else F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
-        df = df.where(F.col(column) >= bound if side == "start" else F.col(column) <= bound)
+        month = F.lit(moment.strftime("%Y-%m"))
+        by_month = column == "timestamp" and "order_month" in df.columns
+        if side == "start":
+            df = df.where(F.col(column) >= bound)
+            df = df.where(F.col("order_month") >= month) if by_month else df
+        else:
+            df = df.where(F.col(column) <= bound)
+            df = df.where(F.col("order_month") <= month) if by_month else df
     return df

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution picks joins by measured sizes and splits hot keys.  The last setting lets it
-# split a hot join key even where the rows must be shuffled once more for a following aggregation.
+# Adaptive execution picks joins by measured sizes and splits hot keys; forcing lets it split a hot join
+# key even where the rows must be shuffled once more for a following aggregation.  The last setting
+# keeps the first k rows of a window group ahead of the shuffle for every k this library uses.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100001",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -4,7 +4,7 @@ from .collections import load_collection, read_collection, read_sessions
 from .csv import read_result_csv
 from .scratch import scratch_path, stored
 from .script import run_sql_script
-from .sinks import write_result, write_sessions
+from .sinks import write_line_items, write_result, write_sessions
 from . import schemas
 
 __all__ = [
@@ -16,6 +16,7 @@ __all__ = [
     "schemas",
     "scratch_path",
     "stored",
+    "write_line_items",
     "write_result",
     "write_sessions",
 ]

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
+from ..functions import month_text
+
 
 def write_result(
     df: DataFrame,
@@ -41,3 +43,14 @@ def write_sessions(sessions: DataFrame, path: str, mode: str = "overwrite") -> N
     """
     ordered = sessions.repartitionByRange("row_key").sortWithinPartitions("row_key")
     ordered.write.mode(mode).parquet(path)
+
+
+def write_line_items(line_items: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store line items in one folder per month, so that a time range reads only its months.
+
+    `in_time_range` knows the ``order_month`` column this adds.  Ranges over month and transaction
+    give each task few months to write and split a month with very many lines.
+    """
+    monthly = line_items.withColumn("order_month", month_text(line_items))
+    ranged = monthly.repartitionByRange("order_month", "transaction_id")
+    ranged.write.mode(mode).partitionBy("order_month").parquet(path)
