@@ -223,7 +223,8 @@ def sql_script(spark: SparkSession, folder: str) -> DataFrame:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Revenue by category and month on the smallest tables."""
-    return revenue_by_category(tune(spark), "/root/testdata/sf0.001")
+    folder = "/root/testdata/sf0.001"
+    return revenue_by_category(tune(spark, folder), folder)
 
 
 def queries() -> dict[str, Query]:
@@ -264,7 +265,7 @@ def queries() -> dict[str, Query]:
     named["histogram_avg_transaction"] = _histogram("avg_transaction")
 
     def tuned(query: Query) -> Query:
-        return lambda spark, folder: query(tune(spark), folder)
+        return lambda spark, folder: query(tune(spark, folder), folder)
 
     return {name: tuned(query) for name, query in named.items()}
 

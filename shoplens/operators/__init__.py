@@ -1,7 +1,7 @@
 """Reusable DataFrame operators the plans are made of."""
 
 from .checks import duplicate_keys, table_counts, unparsed_timestamps
-from .coerce import coerce_numeric
+from .coerce import coerce_numeric, top_values
 from .dedupe import basket_items, latest_by_key
 from .distribution import box_stats, exact_quantiles, histogram
 from .lines import in_time_range, line_total_cents, order_lines
@@ -20,5 +20,6 @@ __all__ = [
     "line_total_cents",
     "order_lines",
     "table_counts",
+    "top_values",
     "unparsed_timestamps",
 ]

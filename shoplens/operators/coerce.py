@@ -18,3 +18,9 @@ def coerce_numeric(df: DataFrame, *columns: str) -> DataFrame:
         c: to_number(F.col(c)) for c in columns if isinstance(df.schema[c].dataType, T.StringType)
     }
     return df.withColumns(texts).na.drop(subset=list(columns))
+
+
+def top_values(df: DataFrame, label: str, value: str, n: int = 10) -> DataFrame:
+    """The ``n`` rows with the greatest numeric ``value``, smallest first, as a bar chart wants them."""
+    best = coerce_numeric(df, value).orderBy(F.col(value).desc(), label).limit(n)
+    return best.orderBy(value, F.col(label).desc())

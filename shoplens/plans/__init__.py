@@ -15,7 +15,7 @@ from .customers import (
 from .distribution import value_distribution_box, value_histogram
 from .items import line_items
 from .products import category_timeline, revenue_by_category, top_products
-from .sessions import converted_sessions, device_distribution, user_sessions
+from .sessions import converted_sessions, current_sessions, device_distribution, user_sessions
 
 __all__ = [
     "also_bought",
@@ -24,6 +24,7 @@ __all__ = [
     "cohort_retention",
     "converted_sessions",
     "copurchase_totals",
+    "current_sessions",
     "customer_scatter",
     "customer_segments",
     "customer_value",

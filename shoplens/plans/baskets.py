@@ -15,6 +15,8 @@ b)`` the number of large ones, and ``h(p)`` the number of large baskets holding
   count at least as much.  Only the remaining products are paired, in blocks.
 
 So one basket with a third of all lines costs a few passes over its lines, and no result is lost.
+Before any of this, large data sets drop the products that are sold too rarely to matter, by the same
+kind of bound.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from ..sources.scratch import stored
 from .lookup import BROADCAST_ROWS, describe
 
 SMALL_BASKET = 200
+PRUNE_FROM_LINES = 50_000_000  # below, leaving out rare products costs more than it saves
+PROBES = 1_000
+FREQUENT_ROWS = 1_000_000
 
 
 def _pairs_of_small(baskets: DataFrame) -> DataFrame:
@@ -95,23 +100,51 @@ def _light_counts(lines: DataFrame) -> DataFrame:
     return _pairs_of_small(baskets).groupBy("a", "b").agg(F.count("*").alias("light"))
 
 
+def _without_rare(lines: DataFrame, k: int) -> DataFrame:
+    """Drop lines of products too rare for the top k, if that leaves few enough products.
+
+    Pairs among the best selling products are counted first.  Their k-th largest count is one the
+    winners must reach, and no pair is found more often than its rarer product.  The products that
+    remain are counted before they are broadcast; with more than FREQUENT_ROWS all lines stay.
+    """
+    support = stored(
+        lines.groupBy("product_id").agg(F.count("*").alias("n")), "product-support"
+    )
+    probes = support.orderBy(F.col("n").desc()).limit(PROBES).select("product_id")
+    # A basket holds at most PROBES of these products, whatever its size.
+    probed = _light_counts(lines.join(F.broadcast(probes), "product_id", "left_semi"))
+    kth = probed.orderBy(F.col("light").desc()).limit(k).agg(F.count("*"), F.min("light")).first()
+    if kth[0] < k:
+        return lines
+    frequent = support.where(F.col("n") >= kth[1]).select("product_id")
+    if frequent.count() > FREQUENT_ROWS:
+        return lines
+    return lines.join(F.broadcast(frequent), "product_id", "left_semi")
+
+
+def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
+    """Lines per transaction; and on the driver, all lines and the number of large baskets."""
+    sizes = lines.groupBy("transaction_id").agg(F.count("*").alias("n"))
+    total, large = sizes.agg(F.expr("coalesce(sum(n), 0)"), F.expr(f"count_if(n > {small})")).first()
+    return sizes, total, large
+
+
 def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
     """``a, b, co_count`` of the k most frequent pairs, ties by ids.
 
-    One row about basket sizes comes to the driver first.  Without large baskets, the usual case,
-    the enumeration is the whole plan.
+    A few numbers about sizes come to the driver first.  Without large baskets, the usual case, the
+    enumeration is the whole plan.
     """
     lines = items.select("transaction_id", "product_id").na.drop()
-    sizes = lines.groupBy("transaction_id").agg(F.count("*").alias("n"))
-    shape = sizes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.count_if(F.col("n") > small).alias("large"),
-    ).first()
-    if shape["large"] == 0:
+    sizes, total, large = _shape(lines, small)
+    if total >= PRUNE_FROM_LINES:
+        lines = _without_rare(lines, k)
+        sizes, total, large = _shape(lines, small)
+    if large == 0:
         light = _light_counts(lines).withColumnRenamed("light", "co_count")
         return light.orderBy(*_ranking("co_count")).limit(k)
-    lines, members = _small_and_large(lines, sizes, small, shape["total"], shape["large"])
-    return _top_with_large(_light_counts(lines), members, k, small)
+    light_lines, members = _small_and_large(lines, sizes, small, total, large)
+    return _top_with_large(_light_counts(light_lines), members, k, small)
 
 
 def _top_with_large(light: DataFrame, members: DataFrame, k: int, small: int) -> DataFrame:

@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import row_key_user
+from ..operators import latest_by_key
 
 ORDER = ("row_key", "session_id")
 
 
+def current_sessions(loaded: DataFrame) -> DataFrame:
+    """The last loaded session of each row key, from a table that only ever grew.
+
+    Two sessions of one user that start in the same second share a key; the later load replaces the
+    earlier one.
+    """
+    return latest_by_key(loaded, ["row_key"], F.col("load_order")).drop("load_order")
+
+
 def user_sessions(sessions: DataFrame, user_id: str, limit: int = 10) -> DataFrame:
     """The first sessions of one user in start order, found by row key prefix.
 

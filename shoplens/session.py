@@ -17,8 +17,30 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings; sizes such as shuffle partitions stay with the session's owner."""
+INPUT_PER_PARTITION = 1 << 30
+MOST_PARTITIONS = 50_000
+
+
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of files or folders as the file system lists them."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    total = 0
+    for path in paths:
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += location.getFileSystem(conf).getContentSummary(location).getLength()
+    return total
+
+
+def tune(spark: SparkSession, *inputs: str) -> SparkSession:
+    """Apply the run-time settings, and let shuffles start with partitions enough for the inputs.
+
+    A shuffle starts with one partition per INPUT_PER_PARTITION of stored input, never fewer than the
+    session's own ``spark.sql.shuffle.partitions``; adaptive execution merges those that stay small.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    if inputs:
+        wanted = min(stored_bytes(spark, *inputs) // INPUT_PER_PARTITION, MOST_PARTITIONS)
+        first = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
     return spark

@@ -53,6 +53,26 @@ def test_more_large_baskets_than_can_be_broadcast(spark, monkeypatch):
     assert rows(baskets._top_pairs(df, 3, 4)) == brute_force(lines, 3)
 
 
+@pytest.mark.parametrize("large_baskets", [0, 3])
+@pytest.mark.parametrize("frequent_rows", [2, 1000])
+def test_leaving_out_rare_products(spark, monkeypatch, large_baskets, frequent_rows):
+    monkeypatch.setattr(baskets, "PRUNE_FROM_LINES", 0)
+    monkeypatch.setattr(baskets, "PROBES", 6)
+    monkeypatch.setattr(baskets, "FREQUENT_ROWS", frequent_rows)
+    lines = random_lines(random.Random(large_baskets), 150, large_baskets, 40)
+    for k in (5, 30):
+        assert found(spark, lines, k, 8) == brute_force(lines, k)
+
+
+def test_rare_products_are_really_left_out(spark, monkeypatch):
+    monkeypatch.setattr(baskets, "PROBES", 3)
+    # Products 0 and 1 meet 50 times; all others are sold once.
+    lines = [(t, p) for t in range(50) for p in (0, 1, 100 + t)]
+    df = spark.createDataFrame(lines, ITEMS)
+    assert baskets._without_rare(df, 1).select("product_id").distinct().count() == 2
+    assert baskets._without_rare(df, 9).count() == len(lines)
+
+
 def test_one_basket_with_a_third_of_all_lines(spark):
     """20,000 products in one basket are 2e8 pairs; none but the few that can win are formed."""
     giant = 20_000

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import item, rows
-from shoplens.operators import box_stats, coerce_numeric, exact_quantiles, histogram
+from shoplens.operators import box_stats, coerce_numeric, exact_quantiles, histogram, top_values
 from shoplens.plans import (
     avg_transaction,
     cohort_retention,
@@ -151,6 +151,13 @@ def test_values_that_are_not_numbers_are_dropped(spark):
     assert coerce_numeric(text, "total_revenue").count() == 2
 
 
+def test_top_values_come_smallest_first(spark):
+    text = spark.createDataFrame(
+        [("a", "3"), ("b", "10"), ("c", "x"), ("d", "10"), ("e", "1")], "name string, n string"
+    )
+    assert rows(top_values(text, "name", "n", 3)) == [("a", 3.0), ("d", 10.0), ("b", 10.0)]
+
+
 @pytest.mark.parametrize("bins", [1, 7, 50])
 @pytest.mark.parametrize("kind", ["edges", "floats", "constant"])
 def test_histogram_equals_numpy(spark, bins, kind):

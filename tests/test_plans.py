@@ -135,3 +135,42 @@ def test_quantile_ranking_sees_a_sliver_of_the_data(spark):
     df = spark.range(n).select(F.col("id").cast("double").alias("x"))
     quantiles = exact_quantiles(df, ["x"], (0.5,))
     assert quantiles.first().x == [(n - 1) / 2]
+
+
+def test_a_hot_join_key_is_split(spark, tmp_path):
+    """A product on every third line, too big a catalogue to broadcast: its partition is cut up."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16",
+    }
+    lines = spark.range(0, 300_000, 1, 8).selectExpr(
+        "id as transaction_id",
+        "'u' as user_id",
+        "timestamp_ntz'2025-01-01' as timestamp",
+        "if(id % 3 = 0, 7, id % 20000) as product_id",
+        "1 as quantity",
+        "cast(id % 977 as double) as unit_price",
+        "cast(id as double) as subtotal",
+    )
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    catalog = spark.range(20_000).selectExpr(
+        "id as product_id", "concat('n', id) as name", "id % 25 as category_id"
+    )
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        df = line_items(lines, catalog)
+        assert df.where("product_name is null").count() == 0
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        assert "skew=true" in plan(df).split("\n+- == Initial Plan ==")[0]
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -1,8 +1,6 @@
 import json
 
-from pyspark.sql import functions as F
-
-from shoplens.operators import latest_by_key
+from shoplens.plans import current_sessions
 from shoplens.streaming import ingest_sessions
 
 
@@ -32,6 +30,7 @@ def test_restarts_neither_skip_nor_repeat(spark, tmp_path):
     table = ingest_sessions(spark, str(source), target, progress)
     assert table.count() == 15
     assert sorted(r.session_id for r in table.collect()) == sorted(f"s{i}" for i in range(15))
-    newest = latest_by_key(table, ["row_key"], F.col("load_order"))
+    newest = current_sessions(table)
+    assert "load_order" not in newest.columns
     # Sessions 8 to 14 share user and second with 0 to 6 and came later.
     assert sorted(int(r.session_id[1:]) for r in newest.collect()) == [7, *range(8, 15)]
