@@ -124,8 +124,8 @@ def session_row_key(spark: SparkSession, folder: str) -> DataFrame:
 def session_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     # Start times cut to the day, so that keys collide.
     sessions = _sessions(spark, folder, "date_trunc('day', ts)")
-    latest = ops.latest_by_key(sessions, ["row_key"], F.col("load_order"))
-    return latest.select("row_key", "session_id", "device_type", "duration")
+    kept = sessions.select("row_key", "session_id", "device_type", "duration", "load_order")
+    return plans.current_sessions(kept)
 
 
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:

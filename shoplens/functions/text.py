@@ -12,8 +12,10 @@ NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+|inf|infinity)(e[+-]?\d+)?\s*$"
 
 def row_key_part(text: Column) -> Column:
     """White space runs become ``_``; other unsafe characters go; null becomes ''."""
-    joined = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\s+", "_")
-    return F.regexp_replace(joined, ROW_KEY_DROPPED, "")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    cleaned = F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), ROW_KEY_DROPPED, "")
+    # Nearly all parts are clean already; one search finds that out.
+    return F.when(text.rlike(ROW_KEY_DROPPED), cleaned).otherwise(text)
 
 
 def row_key(user_id: Column, start_time: Column) -> Column:
