@@ -183,7 +183,7 @@ def parse_timestamps(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         fn.parse_iso(exact).alias("ts"),
         fn.parse_iso_seconds(whole).alias("ts_seconds"),
-        fn.parse_iso_seconds(exact).alias("ts_rejected"),
+        fn.parse_iso_seconds(exact).isNull().alias("fraction_rejected"),
     )
 
 
@@ -318,15 +318,25 @@ _CATEGORY_REVENUE = f"""
 """
 
 _SESSIONS = """
+    keyed AS (
+        SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
+    ),
     sessions AS (
         SELECT printf('user_%06d', user_id) || '_' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS row_key,
                printf('user_%06d', user_id) AS user_id,
                CAST(event_id AS VARCHAR) AS session_id,
                strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS start_time,
-               CAST(json_extract_string(props, '$.k') AS INTEGER) AS duration,
+               strftime(ts + to_seconds(k), '%Y-%m-%dT%H:%M:%S.%f') AS end_time,
+               k AS duration,
                CASE WHEN event_type = 'purchase' THEN 'converted' ELSE 'browsed' END AS conversion_status,
-               event_type AS device_type
-        FROM events
+               'referrer_' || k % 5 AS referrer,
+               event_type AS device_type, 'os_' || k % 3 AS device_os, 'browser_' || k % 4 AS browser,
+               'city_' || user_id % 10 AS city, 'state_' || user_id % 5 AS state,
+               'country' AS country, '10.0.0.' || k AS ip_address,
+               '["prod_' || k || '"]' AS viewed_products,
+               '{"prod_' || k || '":{"quantity":1}}' AS cart_contents,
+               k % 4 AS page_views_count
+        FROM keyed
     )
 """
 
@@ -471,18 +481,7 @@ def oracle_sql() -> dict[str, str]:
                    CAST(year_month || '-01' AS DATE) AS month, revenue
             FROM named WHERE revenue IS NOT NULL
         """,
-        "session_flatten": f"""
-            WITH {_SESSIONS}
-            SELECT row_key, user_id, session_id, start_time, CAST(NULL AS VARCHAR) AS end_time, duration,
-                   conversion_status, CAST(NULL AS VARCHAR) AS referrer, device_type,
-                   CAST(NULL AS VARCHAR) AS device_os, CAST(NULL AS VARCHAR) AS browser,
-                   CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS state,
-                   CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS ip_address,
-                   '["prod_' || duration || '"]' AS viewed_products,
-                   '{{"prod_' || duration || '":{{"quantity":1}}}}' AS cart_contents,
-                   duration % 4 AS page_views_count
-            FROM sessions
-        """,
+        "session_flatten": f"WITH {_SESSIONS} SELECT * FROM sessions",
         "session_row_key": """
             SELECT event_id, printf('user_%06d', user_id) || '_' || regexp_replace(regexp_replace(
                        CAST(ts AS VARCHAR), '\\s+', '_', 'g'), '[^0-9A-Za-z_\\-:.T]', '', 'g') AS row_key,
@@ -498,15 +497,13 @@ def oracle_sql() -> dict[str, str]:
         """,
         "user_sessions": f"""
             WITH {_SESSIONS}
-            SELECT row_key, session_id, start_time, duration, conversion_status, device_type,
-                   CAST(NULL AS VARCHAR) AS browser, CAST(NULL AS VARCHAR) AS city,
-                   CAST(NULL AS VARCHAR) AS state, duration % 4 AS page_views
+            SELECT row_key, session_id, start_time, duration, conversion_status, device_type, browser,
+                   city, state, page_views_count AS page_views
             FROM sessions WHERE starts_with(row_key, 'user_000000_') ORDER BY row_key, session_id LIMIT 10
         """,
         "converted_sessions": f"""
             WITH {_SESSIONS}
-            SELECT row_key, user_id, session_id, start_time, duration, device_type,
-                   CAST(NULL AS VARCHAR) AS referrer
+            SELECT row_key, user_id, session_id, start_time, duration, device_type, referrer
             FROM (SELECT * FROM sessions ORDER BY row_key, session_id LIMIT 1000)
             WHERE conversion_status = 'converted' ORDER BY row_key, session_id LIMIT 10
         """,
@@ -529,7 +526,7 @@ def oracle_sql() -> dict[str, str]:
             FROM lineitem
         """,
         "parse_timestamps": """
-            SELECT event_id, ts, date_trunc('second', ts) AS ts_seconds, CAST(NULL AS TIMESTAMP) AS ts_rejected
+            SELECT event_id, ts, date_trunc('second', ts) AS ts_seconds, TRUE AS fraction_rejected
             FROM events
         """,
         "numeric_coerce_dropna": """

@@ -55,7 +55,8 @@ def _small_and_large(
     1 / BROADCAST_ROWS of all lines each.  What the join by transaction then shuffles has no hot key.
     """
     limit = small if large <= BROADCAST_ROWS else max(small, total // BROADCAST_ROWS)
-    huge = F.broadcast(sizes.where(F.col("n") > limit).select("transaction_id"))
+    huge = stored(sizes.where(F.col("n") > limit).select("transaction_id"), "large-basket-ids")
+    huge = F.broadcast(huge)
     rest = lines.join(huge, "transaction_id", "left_anti")
     members = lines.join(huge, "transaction_id", "left_semi")
     if large > BROADCAST_ROWS:
@@ -123,8 +124,11 @@ def _without_rare(lines: DataFrame, k: int) -> DataFrame:
 
 
 def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
-    """Lines per transaction; and on the driver, all lines and the number of large baskets."""
-    sizes = lines.groupBy("transaction_id").agg(F.count("*").alias("n"))
+    """Lines per transaction; and on the driver, all lines and the number of large baskets.
+
+    Lines without a product may be counted in: the sizes are upper bounds.
+    """
+    sizes = lines.select("transaction_id").na.drop().groupBy("transaction_id").agg(F.count("*").alias("n"))
     total, large = sizes.agg(F.expr("coalesce(sum(n), 0)"), F.expr(f"count_if(n > {small})")).first()
     return sizes, total, large
 
@@ -136,7 +140,7 @@ def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
     enumeration is the whole plan.
     """
     lines = items.select("transaction_id", "product_id").na.drop()
-    sizes, total, large = _shape(lines, small)
+    sizes, total, large = _shape(items, small)
     if total >= PRUNE_FROM_LINES:
         lines = _without_rare(lines, k)
         sizes, total, large = _shape(lines, small)

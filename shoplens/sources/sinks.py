@@ -38,19 +38,20 @@ def write_result(
 def write_sessions(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store flat sessions ordered by row key, so that a key prefix touches few row groups.
 
-    Several sessions may share a user, but row keys also carry the start time, so range partitioning
-    splits even a user with very many sessions.
+    Ranges over key and session id split a user with very many sessions, and even a key loaded very
+    many times.
     """
-    ordered = sessions.repartitionByRange("row_key").sortWithinPartitions("row_key")
+    keys = ["row_key", "session_id"]
+    ordered = sessions.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered.write.mode(mode).parquet(path)
 
 
 def write_line_items(line_items: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store line items in one folder per month, so that a time range reads only its months.
 
-    `in_time_range` knows the ``order_month`` column this adds.  Ranges over month and transaction
-    give each task few months to write and split a month with very many lines.
+    `in_time_range` knows the ``order_month`` column this adds.  Ranges over month, transaction and
+    product give each task few months to write and split a month or an order with very many lines.
     """
     monthly = line_items.withColumn("order_month", month_text(line_items))
-    ranged = monthly.repartitionByRange("order_month", "transaction_id")
+    ranged = monthly.repartitionByRange("order_month", "transaction_id", "product_id")
     ranged.write.mode(mode).partitionBy("order_month").parquet(path)

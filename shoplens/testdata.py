@@ -88,19 +88,28 @@ def line_documents(spark: SparkSession, folder: str) -> DataFrame:
 def session_documents(spark: SparkSession, folder: str, start: str = "ts") -> DataFrame:
     """Each event as a nested session; ``start`` is the expression for its start time."""
     k = F.get_json_object("props", "$.k").cast("int")
-    product = F.concat(F.lit("prod_"), k.cast("string"))
-    page = F.struct(F.lit("product_detail").alias("page_type"), product.alias("product_id"))
-    return table(spark, folder, "events").select(
+    events = table(spark, folder, "events").withColumn("k", k)
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return events.select(
         F.col("event_id").cast("string").alias("session_id"),
         F.format_string("user_%06d", "user_id").alias("user_id"),
-        F.date_format(F.expr(start), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"),
-        k.alias("duration_seconds"),
-        F.struct(F.col("event_type").alias("type")).alias("device_profile"),
-        F.when(F.col("event_type") == "purchase", "converted")
-        .otherwise("browsed")
-        .alias("conversion_status"),
-        F.array(product).alias("viewed_products"),
-        F.array_repeat(page, k % 4).alias("page_views"),
-        F.create_map(product, F.struct(F.lit(1).alias("quantity"))).alias("cart_contents"),
+        F.date_format(F.expr(start), iso).alias("start_time"),
+        F.date_format(F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, k)"), iso).alias("end_time"),
+        F.col("k").alias("duration_seconds"),
+        F.expr(
+            """struct(concat('city_', user_id % 10) as city, concat('state_', user_id % 5) as state,
+                      'country' as country, concat('10.0.0.', k) as ip_address)"""
+        ).alias("geo_data"),
+        F.expr(
+            """struct(event_type as type, concat('os_', k % 3) as os,
+                      concat('browser_', k % 4) as browser)"""
+        ).alias("device_profile"),
+        F.expr("if(event_type = 'purchase', 'converted', 'browsed')").alias("conversion_status"),
+        F.expr("concat('referrer_', k % 5)").alias("referrer"),
+        F.expr("array(concat('prod_', k))").alias("viewed_products"),
+        F.expr(
+            "array_repeat(struct('product_detail' as page_type, concat('prod_', k) as product_id), k % 4)"
+        ).alias("page_views"),
+        F.expr("map(concat('prod_', k), struct(1 as quantity))").alias("cart_contents"),
         F.col("event_id").alias("load_order"),
     )
