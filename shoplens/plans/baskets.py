@@ -30,7 +30,7 @@ from .lookup import BROADCAST_ROWS, describe
 
 SMALL_BASKET = 200
 PRUNE_FROM_LINES = 50_000_000  # below, leaving out rare products costs more than it saves
-PROBES = 1_000
+PROBES = SMALL_BASKET  # products paired first; a basket then costs no more than a small one
 FREQUENT_ROWS = 1_000_000
 
 
@@ -101,26 +101,26 @@ def _light_counts(lines: DataFrame) -> DataFrame:
     return _pairs_of_small(baskets).groupBy("a", "b").agg(F.count("*").alias("light"))
 
 
-def _without_rare(lines: DataFrame, k: int) -> DataFrame:
+def _without_rare(lines: DataFrame, k: int) -> tuple[DataFrame, int]:
     """Drop lines of products too rare for the top k, if that leaves few enough products.
 
     Pairs among the best selling products are counted first.  Their k-th largest count is one the
-    winners must reach, and no pair is found more often than its rarer product.  The products that
-    remain are counted before they are broadcast; with more than FREQUENT_ROWS all lines stay.
+    winners must reach, and no pair is found more often than its rarer product.  That count is
+    returned as well.  The products that remain are counted before they are broadcast; with more than
+    FREQUENT_ROWS all lines stay.
     """
-    support = stored(
-        lines.groupBy("product_id").agg(F.count("*").alias("n")), "product-support"
-    )
+    sold = lines.groupBy("product_id").agg(F.count("*").alias("n"))
+    support = stored(sold, "product-support")
     probes = support.orderBy(F.col("n").desc()).limit(PROBES).select("product_id")
     # A basket holds at most PROBES of these products, whatever its size.
     probed = _light_counts(lines.join(F.broadcast(probes), "product_id", "left_semi"))
     kth = probed.orderBy(F.col("light").desc()).limit(k).agg(F.count("*"), F.min("light")).first()
     if kth[0] < k:
-        return lines
+        return lines, 1
     frequent = support.where(F.col("n") >= kth[1]).select("product_id")
     if frequent.count() > FREQUENT_ROWS:
-        return lines
-    return lines.join(F.broadcast(frequent), "product_id", "left_semi")
+        return lines, kth[1]
+    return lines.join(F.broadcast(frequent), "product_id", "left_semi"), kth[1]
 
 
 def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
@@ -128,8 +128,10 @@ def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
 
     Lines without a product may be counted in: the sizes are upper bounds.
     """
-    sizes = lines.select("transaction_id").na.drop().groupBy("transaction_id").agg(F.count("*").alias("n"))
-    total, large = sizes.agg(F.expr("coalesce(sum(n), 0)"), F.expr(f"count_if(n > {small})")).first()
+    ids = lines.select("transaction_id").na.drop()
+    sizes = ids.groupBy("transaction_id").agg(F.count("*").alias("n"))
+    shape = sizes.agg(F.expr("coalesce(sum(n), 0)"), F.expr(f"count_if(n > {small})"))
+    total, large = shape.first()
     return sizes, total, large
 
 
@@ -140,18 +142,22 @@ def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
     enumeration is the whole plan.
     """
     lines = items.select("transaction_id", "product_id").na.drop()
+    floor = 1
     sizes, total, large = _shape(items, small)
     if total >= PRUNE_FROM_LINES:
-        lines = _without_rare(lines, k)
+        lines, floor = _without_rare(lines, k)
         sizes, total, large = _shape(lines, small)
     if large == 0:
         light = _light_counts(lines).withColumnRenamed("light", "co_count")
         return light.orderBy(*_ranking("co_count")).limit(k)
     light_lines, members = _small_and_large(lines, sizes, small, total, large)
-    return _top_with_large(_light_counts(light_lines), members, k, small)
+    return _top_with_large(_light_counts(light_lines), members, k, small, floor)
 
 
-def _top_with_large(light: DataFrame, members: DataFrame, k: int, small: int) -> DataFrame:
+def _top_with_large(
+    light: DataFrame, members: DataFrame, k: int, small: int, known_floor: int
+) -> DataFrame:
+    """The top pairs from the counts of small baskets and the lines of large ones."""
     light = stored(light, "light-pairs")
     members = stored(members, "large-baskets")
     spans = members.groupBy("product_id").agg(
@@ -161,7 +167,7 @@ def _top_with_large(light: DataFrame, members: DataFrame, k: int, small: int) ->
     )
     best_light = light.orderBy(F.col("light").desc()).limit(k)
     floor = best_light.agg(
-        F.when(F.count("*") >= k, F.min("light")).otherwise(F.lit(1).cast("bigint"))
+        F.expr(f"greatest({known_floor}L, if(count(*) >= {k}, min(light), 1L))")
     ).scalar()
     most = spans.agg(F.coalesce(F.max("h"), F.lit(0).cast("bigint"))).scalar()
 

@@ -69,8 +69,10 @@ def test_rare_products_are_really_left_out(spark, monkeypatch):
     # Products 0 and 1 meet 50 times; all others are sold once.
     lines = [(t, p) for t in range(50) for p in (0, 1, 100 + t)]
     df = spark.createDataFrame(lines, ITEMS)
-    assert baskets._without_rare(df, 1).select("product_id").distinct().count() == 2
-    assert baskets._without_rare(df, 9).count() == len(lines)
+    kept, floor = baskets._without_rare(df, 1)
+    assert kept.select("product_id").distinct().count() == 2 and floor == 50
+    kept, floor = baskets._without_rare(df, 9)
+    assert kept.count() == len(lines) and floor == 1
 
 
 def test_one_basket_with_a_third_of_all_lines(spark):
