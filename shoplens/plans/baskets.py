@@ -111,7 +111,7 @@ def _without_rare(lines: DataFrame, k: int) -> tuple[DataFrame, int]:
     """
     sold = lines.groupBy("product_id").agg(F.count("*").alias("n"))
     support = stored(sold, "product-support")
-    probes = support.orderBy(F.col("n").desc()).limit(PROBES).select("product_id")
+    probes = support.orderBy(F.col("n").desc(), "product_id").limit(PROBES).select("product_id")
     # A basket holds at most PROBES of these products, whatever its size.
     probed = _light_counts(lines.join(F.broadcast(probes), "product_id", "left_semi"))
     kth = probed.orderBy(F.col("light").desc()).limit(k).agg(F.count("*"), F.min("light")).first()

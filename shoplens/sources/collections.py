@@ -13,31 +13,33 @@ from pyspark.sql import types as T
 from . import schemas
 
 LAYOUTS = ("auto", "array", "lines")
+CHUNKS = "sessions_*.json"
 
 
 def _struct(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def _starts_with_bracket(spark: SparkSession, path: str) -> bool:
-    """Look at the first byte of the (first) file, through the file system the path names."""
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
+def _find(spark: SparkSession, pattern: str):
+    """The file system a path or pattern names, and what matches there; nothing is an error."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     found = fs.globStatus(location)
     if not found:
-        raise FileNotFoundError(f"missing collection: {path}")
-    first = found[0]
+        raise FileNotFoundError(f"nothing to read at {pattern}")
+    return fs, found
+
+
+def _starts_with_bracket(spark: SparkSession, path: str) -> bool:
+    """Look at the first byte of the (first) file."""
+    fs, (first, *_) = _find(spark, path)
+    target = first.getPath()
     if first.isDirectory():
-        names = [s.getPath() for s in fs.listStatus(first.getPath()) if s.isFile()]
-        names = sorted(
-            (p for p in names if not p.getName().startswith(("_", "."))), key=lambda p: p.getName()
-        )
-        if not names:
+        inside = [s.getPath() for s in fs.listStatus(target) if s.isFile()]
+        data = [p for p in inside if not p.getName().startswith(("_", "."))]
+        if not data:
             raise FileNotFoundError(f"no files in {path}")
-        target = names[0]
-    else:
-        target = first.getPath()
+        target = min(data, key=lambda p: p.getName())
     stream = fs.open(target)
     try:
         return stream.read() == ord("[")
@@ -118,9 +120,13 @@ def read_collection(
 def read_sessions(
     spark: SparkSession, folder: str, schema: str | T.StructType = schemas.SESSIONS
 ) -> DataFrame:
-    """All ``sessions_*.json`` chunks of a folder, with ``load_order`` (file name, then position)."""
+    """All ``sessions_*.json`` chunks of a folder, with ``load_order`` (file name, then position).
+
+    A folder without any is an error.
+    """
+    _find(spark, f"{folder.rstrip('/')}/{CHUNKS}")
     return _read_arrays(
-        spark, folder, _struct(schema), position=True, pathGlobFilter="sessions_*.json"
+        spark, folder, _struct(schema), position=True, pathGlobFilter=CHUNKS
     )
 
 

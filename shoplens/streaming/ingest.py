@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators import flatten_sessions
 from ..sources import schemas
-from ..sources.collections import array_elements
+from ..sources.collections import CHUNKS, array_elements
 
 
 def ingest_files(
@@ -72,7 +72,7 @@ def ingest_sessions(spark: SparkSession, folder: str, target: str, checkpoint: s
         target,
         checkpoint,
         file_format="text",
-        pattern="sessions_*.json",
+        pattern=CHUNKS,
         transform=sessions_of,
         wholetext=True,
     )

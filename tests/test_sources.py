@@ -110,6 +110,21 @@ def test_session_chunks_keep_map_type_and_load_order(spark, tmp_path):
     assert newest.columns == df.columns
 
 
+def test_a_folder_without_chunks_is_an_error(spark, tmp_path):
+    (tmp_path / "other.json").write_text("[]")
+    with pytest.raises(FileNotFoundError):
+        read_sessions(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        read_collection(spark, str(tmp_path / "empty*"), schemas.USERS)
+
+
+def test_a_folder_of_files_is_one_collection(spark, tmp_path):
+    for i, d in enumerate(DOCUMENTS):
+        (tmp_path / f"part-{i}.json").write_text(json.dumps(d))
+    (tmp_path / "_SUCCESS").write_text("")
+    assert read_collection(spark, str(tmp_path), schemas.TRANSACTIONS).count() == 3
+
+
 def test_session_order_survives_elements_that_are_not_objects(spark, tmp_path):
     (tmp_path / "sessions_0.json").write_text(json.dumps([session(0), 7, session(1), session(2)]))
     ordered = read_sessions(spark, str(tmp_path)).orderBy("load_order")
