@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators import basket_items
 from ..sources.scratch import stored
-from .lookup import BROADCAST_ROWS, describe
+from .lookup import BROADCAST_ROWS, only
 
 SMALL_BASKET = 200
 PRUNE_FROM_LINES = 50_000_000  # below, leaving out rare products costs more than it saves
@@ -217,10 +217,6 @@ def _top_with_large(
     return both.orderBy(*_ranking("co_count")).limit(k)
 
 
-def _as_side(side: str) -> list[Column]:
-    return [F.col("product_id").alias(side), F.col("name").alias(f"product_{side}_name")]
-
-
 def also_bought(
     line_items: DataFrame,
     k: int = 10,
@@ -240,14 +236,20 @@ def also_bought(
         names = line_items.groupBy("product_id").agg(F.min("product_name").alias("name"))
     else:
         names = products.select("product_id", "name")
-    for side in "ab":
-        best = describe(best, names.select(*_as_side(side)), side, k)
-    return best.orderBy(*_ranking("co_count")).select(
-        F.col("a").alias("product_a"),
-        "product_a_name",
-        F.col("b").alias("product_b"),
-        "product_b_name",
-        "co_count",
+    ids = best.select(F.explode(F.array("a", "b")).alias("product_id"))
+    wanted = only(names, ids, 2 * k)
+    first, second = wanted.alias("first"), wanted.alias("second")
+    return (
+        best.join(first, F.col("a") == F.col("first.product_id"), "left")
+        .join(second, F.col("b") == F.col("second.product_id"), "left")
+        .orderBy(*_ranking("co_count"))
+        .select(
+            F.col("a").alias("product_a"),
+            F.col("first.name").alias("product_a_name"),
+            F.col("b").alias("product_b"),
+            F.col("second.name").alias("product_b_name"),
+            "co_count",
+        )
     )
 
 

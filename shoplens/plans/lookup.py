@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def describe(best: DataFrame, described: DataFrame, key: str, rows: int) -> DataFrame:
-    """Left join of ``best``, a stored table of at most ``rows`` rows, to one unique in ``key``.
+def only(described: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """The rows of a big table whose key is among ``ids``, one column of at most ``rows`` rows.
 
-    The big table is reduced to the wanted keys where it is scanned instead of being shuffled.  Both
-    broadcast sides are bounded by ``rows``; beyond BROADCAST_ROWS Spark chooses the join itself.
+    The table, unique in that key, is reduced where it is scanned instead of being shuffled.  Both
+    sides are broadcast, which ``rows`` bounds; beyond BROADCAST_ROWS Spark chooses the joins itself.
     """
     if rows > BROADCAST_ROWS:
-        return best.join(described, key, "left")
-    wanted = described.join(F.broadcast(best.select(key)), key, "left_semi")
-    return best.join(F.broadcast(wanted), key, "left")
+        return described
+    return F.broadcast(described.join(F.broadcast(ids), ids.columns, "left_semi"))

@@ -9,7 +9,7 @@ from ..functions import dollars, month_text
 from ..operators import coerce_numeric, in_time_range, line_total_cents, order_lines
 from ..operators.lines import line_quantity
 from ..sources.scratch import stored
-from .lookup import describe
+from .lookup import only
 
 
 def top_products(
@@ -45,7 +45,7 @@ def top_products(
     best = stored(totals.orderBy(*ranking).limit(limit), "top-products")
     names = products.select("product_id", F.col("name").alias("product_name"), "category_id")
     return (
-        describe(best, names, "product_id", limit)
+        best.join(only(names, best.select("product_id"), limit), "product_id", "left")
         .orderBy(*ranking)
         .select(
             "product_id",

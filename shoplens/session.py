@@ -17,8 +17,11 @@ SETTINGS = {
 }
 
 
-INPUT_PER_PARTITION = 1 << 30
-MOST_PARTITIONS = 50_000
+INPUT_PER_PARTITION = 2 << 30
+MOST_PARTITIONS = 20_000
+SCAN_TASKS = 100_000
+LARGEST_SPLIT = 1 << 30
+OWN_SPLIT = "shoplens.session.maxPartitionBytes"
 
 
 def stored_bytes(spark: SparkSession, *paths: str) -> int:
@@ -31,16 +34,30 @@ def stored_bytes(spark: SparkSession, *paths: str) -> int:
     return total
 
 
+def _size_stages(spark: SparkSession, total: int) -> None:
+    """Shuffle partitions and scan splits for ``total`` bytes of input."""
+    first = max(
+        min(total // INPUT_PER_PARTITION, MOST_PARTITIONS),
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
+    session_split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    own = int(spark.conf.get(OWN_SPLIT, str(session_split)))
+    spark.conf.set(OWN_SPLIT, str(own))
+    split = max(own, min(total // SCAN_TASKS, LARGEST_SPLIT))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+
+
 def tune(spark: SparkSession, *inputs: str) -> SparkSession:
-    """Apply the run-time settings, and let shuffles start with partitions enough for the inputs.
+    """Apply the run-time settings and size the stages for the inputs, if they are named.
 
-    A shuffle starts with one partition per INPUT_PER_PARTITION of stored input, never fewer than the
+    A shuffle starts with a partition per INPUT_PER_PARTITION of stored input, never fewer than the
     session's own ``spark.sql.shuffle.partitions``; adaptive execution merges those that stay small.
+    Scan splits grow beyond the session's own size where there would be more than SCAN_TASKS, since
+    the blocks of a shuffle number map tasks times partitions.
     """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     if inputs:
-        wanted = min(stored_bytes(spark, *inputs) // INPUT_PER_PARTITION, MOST_PARTITIONS)
-        first = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(first))
+        _size_stages(spark, stored_bytes(spark, *inputs))
     return spark
