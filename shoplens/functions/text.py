@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The alphabet of a row key and the spellings read as a number.
+WHITE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 ROW_KEY_DROPPED = r"[^0-9A-Za-z_\-:.T]"
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+|inf|infinity)(e[+-]?\d+)?\s*$"
 
 
 def row_key_part(text: Column) -> Column:
-    """White space runs become ``_``; other unsafe characters go; null becomes ''."""
+    """White space runs, of any script, become ``_``; other unsafe characters go; null becomes ''."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    cleaned = F.regexp_replace(F.regexp_replace(text, r"\s+", "_"), ROW_KEY_DROPPED, "")
+    cleaned = F.regexp_replace(F.regexp_replace(text, WHITE_SPACE, "_"), ROW_KEY_DROPPED, "")
     # Nearly all parts are clean already; one search finds that out.
     return F.when(text.rlike(ROW_KEY_DROPPED), cleaned).otherwise(text)
 

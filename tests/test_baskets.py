@@ -3,7 +3,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from shoplens.plans import also_bought, baskets, copurchase_totals

@@ -1,10 +1,13 @@
 import json
+import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from shoplens.functions import row_key, row_key_user
+from shoplens.functions import row_key, row_key_part, row_key_user
 from shoplens.operators import flatten_sessions, latest_by_key
 from shoplens.plans import converted_sessions, device_distribution, user_sessions
 from shoplens.sources import schemas
@@ -88,6 +91,15 @@ def test_row_keys(spark, user, start, key):
     assert df.select(row_key(F.col("u"), F.col("s"))).first()[0] == key
 
 
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.characters(codec="utf-8", exclude_characters="\0"), max_size=12), min_size=1, max_size=30))
+def test_row_key_parts_equal_python_regexes(spark, texts):
+    texts += [f"a{c}b" for c in "\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff"]
+    expected = [re.sub(r"[^0-9A-Za-z_\-:.T]", "", re.sub(r"\s+", "_", t)) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(row_key_part(F.col("t"))).collect()] == expected
+
+
 def test_user_of_key(spark):
     df = spark.createDataFrame([("user_000042_2025_x",), ("solo",)], "k string")
     assert [r[0] for r in df.select(row_key_user(F.col("k"))).collect()] == ["user_000042", "solo"]

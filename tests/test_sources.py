@@ -188,7 +188,9 @@ def test_scratch_is_under_the_session_setting(spark):
 
 
 def test_stored_sessions_are_pruned_by_key_prefix(spark, tmp_path):
-    df = spark.range(1000).select(F.format_string("user_%06d_x", F.col("id") % 50).alias("row_key"), F.col("id").alias("session_id"))
+    df = spark.range(1000).selectExpr(
+        "format_string('user_%06d_x', id % 50) as row_key", "id as session_id"
+    )
     write_sessions(df, str(tmp_path / "s"))
     found = spark.read.parquet(str(tmp_path / "s")).where(F.col("row_key").startswith("user_000007_"))
     assert found.count() == 20
