@@ -15,6 +15,14 @@ from shoplens.session import tune
 from shoplens.sources import run_sql_script, scratch_path
 from shoplens.streaming import ingest_files
 
+try:  # an optional part of the library, with its pipeline
+    import corpus_pipeline
+    from shoplens.llm import queries as training_text
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "shoplens.llm"):
+        raise
+    corpus_pipeline = training_text = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -263,6 +271,9 @@ def queries() -> dict[str, Query]:
     named["histogram_revenue"] = _histogram("total_revenue")
     named["histogram_orders"] = _histogram("num_orders")
     named["histogram_avg_transaction"] = _histogram("avg_transaction")
+    if training_text:
+        named |= training_text.queries()
+        named["pipeline"] = corpus_pipeline.run
 
     def tuned(query: Query) -> Query:
         return lambda spark, folder: query(tune(spark, folder), folder)
@@ -405,8 +416,8 @@ def _segments_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL over the same tables for each query."""
-    return {
+    """DuckDB SQL over the same tables, for each query that SQL can express."""
+    found = {
         "line_items": f"""
             SELECT l_orderkey AS transaction_id, o_custkey AS user_id, o_orderdate AS "timestamp",
                    l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
@@ -549,3 +560,8 @@ def oracle_sql() -> dict[str, str]:
             FROM lineitem GROUP BY l_returnflag, l_linestatus
         """,
     }
+    if training_text:
+        found |= training_text.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
