@@ -4,32 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import linededup, mix
+from shoplens.llm import bpe, langid, linededup, mix, neardup
 from shoplens.sources import scratch_path
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go."""
+    return langid.known_language(docs)
+
+
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that occurred earlier go; documents of which nothing stays go."""
     return linededup.without_repeats(docs)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of smallest id."""
+    return neardup.without_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return mix.mix(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their texts instead of the texts."""
+    return bpe.encode(docs).drop("text")
+
+
 STAGES = [
+    ("language", known_language),
     ("line dedup", remove_repeated_lines),
-    ("mixing sources", mix_sources),
+    ("near duplicates", remove_near_copies),
+    ("mix", mix_sources),
+    ("bpe", encode),
 ]
 
+#: SQL can express neither the language model nor the tokenizer; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
+    for k, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoplens.sources import stored
 
-__all__ = ["WORD", "document_key", "map_batches", "packed", "stored", "table", "word_count"]
+__all__ = ["WORD", "arrow_column", "document_key", "map_batches", "packed", "stored", "table", "word_count"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,16 +38,28 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` with small batches.
+def _prepare(spark: SparkSession) -> None:
+    """Keep Arrow batches small; tell workers of a local session where this package lies.
 
-    Local sessions are told where this package lies; a cluster gets it with the job (``--py-files``).
+    A cluster gets the package with the job (``--py-files``).
     """
-    spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.sparkContext.master.startswith("local"):
         root = str(Path(__file__).resolve().parents[2])
         spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def map_batches(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """``mapInArrow`` with small batches."""
+    _prepare(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def arrow_column(
+    spark: SparkSession, function: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str
+) -> Callable[..., Column]:
+    """A column function over batches of values; the other columns of a row stay in the JVM."""
+    _prepare(spark)
+    return F.arrow_udf(function, kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mix, quality, shards
+from . import bpe, counts, langid, linededup, mix, neardup, pii, quality, shards, sketch
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,15 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.recounted(table(spark, folder, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = linededup.dedup_lines(table(spark, folder, "documents"))
     return done.select(
@@ -38,12 +47,39 @@ def op5_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, folder, "documents"))
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch.compare_neighbours(table(spark, folder, "documents"))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).drop("char_distance", "word_distance")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_mix_sources, op4_line_dedup, op5_shards, op10_quality]
+    found = [
+        op1_mix_sources,
+        op2_personal_data,
+        op3_token_counts,
+        op4_line_dedup,
+        op5_shards,
+        op6_bpe,
+        op7_language,
+        op8_near_duplicates,
+        op9_fingerprints,
+        op10_quality,
+    ]
     return {query.__name__: query for query in found}
 
 

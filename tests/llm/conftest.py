@@ -1,0 +1,61 @@
+import pytest
+from pyspark.sql import types as T
+
+DOCUMENTS = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.LongType()),
+    ]
+)
+
+
+@pytest.fixture
+def make(spark):
+    """Documents from (doc_id, text, lang, source), with an extra column whose name operators use inside."""
+
+    def build(*rows, extra=()):
+        full = [(d, t, lang, source, None if t is None else len(t)) for d, t, lang, source in rows]
+        schema = DOCUMENTS
+        for name in extra:
+            schema = T.StructType([*schema.fields, T.StructField(name, T.StringType())])
+            full = [(*row, "x") for row in full]
+        return spark.createDataFrame(full, schema)
+
+    return build
+
+
+@pytest.fixture
+def documents(spark, folder):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+LONG = " ".join(f"word{i % 977} and{i % 31}" for i in range(40_000))
+
+#: Nulls in every column, empty and very long texts, ties and repeated rows.
+ODD = [
+    (1, None, None, None),
+    (2, "", "en", "a"),
+    (3, " \n\t ", "en", "a"),
+    (4, LONG, "en", "b"),
+    (5, "x" * 30_000, "de", "b"),
+    (6, "the same text of a few words", "en", "a"),
+    (7, "the same text of a few words", "en", "a"),
+    (7, "the same text of a few words", "en", "a"),
+    (None, "no id, but a text of its own", "fr", "b"),
+    (None, None, None, "b"),
+    (8, "ßü漢字 ١٢ 😀 é İΣ <|endoftext|> #", None, ""),
+    (9, "1234", "en", None),
+]
+
+
+@pytest.fixture
+def odd(make):
+    return make(*ODD, extra=("size", "row", "word"))
+
+
+@pytest.fixture
+def empty(make, spark):
+    return spark.createDataFrame([], DOCUMENTS)

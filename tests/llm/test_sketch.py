@@ -1,0 +1,61 @@
+import hashlib
+
+import numpy as np
+
+from shoplens.llm import sketch as s
+
+WORDS = s.WordHashes()
+
+
+def full(text):
+    return set(s.shingle_hashes(WORDS.of(text.split()), s.SHINGLE).tolist())
+
+
+def test_neighbours(documents, monkeypatch):
+    rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
+    following = [t for _, t in rows[1:]] + [rows[0][1]]
+    for cell in (s.CELL, 1):
+        monkeypatch.setattr(s, "CELL", cell)
+        found = {r["doc_id"]: r for r in s.compare_neighbours(documents).collect()}
+        assert len(found) == len(rows)
+        for (doc, text), after in zip(rows, following):
+            half = len(text) // 2
+            changed = text[: len(text) - half] + after[:half]
+            r = found[doc]
+            assert r["n_chars"] == len(text)
+            assert r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+            own, other, third = (s.sketch(WORDS, t, s.SHINGLE, s.FRACTION) for t in (text, changed, after))
+            assert r["fingerprint"] == s.written(own)
+            assert r["edited_fingerprint"] == s.written(other)
+            assert r["near_edited"] == s.containment(own, other)
+            assert r["near_next"] == s.containment(own, third)
+
+
+def test_containment_of_unequal_documents():
+    long = " ".join(f"w{i}" for i in range(20_000))
+    short = " ".join(f"w{i}" for i in range(4000, 5000)) + " " + " ".join(f"v{i}" for i in range(1000))
+    exact = len(full(long) & full(short)) / len(full(short))
+    found = s.containment(*(s.sketch(WORDS, t, s.SHINGLE, s.FRACTION) for t in (long, short)))
+    assert abs(found - exact) < 0.12
+
+
+def test_fingerprints_keep_all_below_the_threshold_and_merge():
+    a, b = (" ".join(f"{c}{i}" for i in range(500)) for c in "ab")
+    limit = int(s.FRACTION * 2**64)
+    kept = s.sketch(WORDS, a, s.SHINGLE, s.FRACTION)
+    assert set(kept.tolist()) == {h for h in full(a) if h < limit}
+    other = s.sketch(WORDS, b, s.SHINGLE, s.FRACTION)
+    assert set(s.merged(kept, other).tolist()) == {h for h in full(a) | full(b) if h < limit}
+    assert np.array_equal(s.read(s.written(kept)), kept)
+
+
+def test_odd_rows(odd, empty, make):
+    rows = s.compare_neighbours(odd).collect()
+    assert len(rows) == odd.count()
+    seven = [r for r in rows if r["doc_id"] == 7]
+    assert seven[0]["fingerprint"] == seven[1]["fingerprint"]
+    by = {r["doc_id"]: r for r in rows}
+    assert by[6]["near_next"] == 1.0
+    assert by[1]["fingerprint"] == "" and by[1]["n_chars"] == 0 and by[1]["near_next"] == 1.0
+    assert s.compare_neighbours(empty).count() == 0
+    assert s.compare_neighbours(make((5, "one alone", "en", "a"))).collect()[0]["near_next"] == 1.0
