@@ -78,7 +78,9 @@ class Counter:
         if len(known) > REMEMBERED_PIECES:
             known.clear()
         long = {}
-        for piece in set(pieces) - known.keys():
+        for piece in set(pieces):
+            if piece in known:
+                continue
             n = 1 if piece.encode() in self.ranks else len(self.encoding.encode_ordinary(piece))
             (known if len(piece) <= REMEMBERED_LENGTH else long)[piece] = n
         if long:
