@@ -1,7 +1,7 @@
 import corpus_pipeline
 from shoplens.llm import bpe, langid, linededup, mix, neardup
-from test_linededup import brute as brute_lines
-from test_neardup import brute as brute_near
+from .test_linededup import brute as brute_lines
+from .test_neardup import brute as brute_near
 
 
 def rows_of(df):
