@@ -14,7 +14,7 @@ Words are runs of letters, in lower case; a single letter without piece stands f
 * null lang: not used for fitting.  null doc_id: hashed as empty text, so such rows are used for fitting.
 * no labelled rows at all: every document is ``und`` with score 0.
 * languages that score alike: the first by code point.  Repeated rows get equal results.
-* very long words are scored with rescaled sums and not remembered.
+* words of more than LONGEST_TRAINED_WORD letters are scored with rescaled sums, in linear time, and not fitted on.
 * other columns are neither read nor needed.  An empty table gives an empty result.
 """
 
@@ -41,6 +41,7 @@ LONGEST_PIECE = 16
 LONGEST_TRAINED_WORD = 40
 REMEMBERED_WORDS = 300_000
 SMOOTHING = 0.05
+SCALE = 1000.0
 
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -63,6 +64,9 @@ class Pieces:
         self.number = {p: i for i, p in enumerate(sorted(usable))}
         self.unknown = len(self.number)
         self.size = self.unknown + 1
+        #: All ends of pieces; one that is no piece itself is -1.  A longer end cannot be known if a shorter is not.
+        self.ending = {p[k:]: -1 for p in usable for k in range(len(p))} | self.number
+        self.scale = np.array([[SCALE ** len(p)] for p in sorted(usable)] + [[SCALE]])
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -83,6 +87,40 @@ class Pieces:
         return found
 
 
+    def trie(self, words: list[str]) -> tuple[list[np.ndarray], int, list[int]]:
+        """Words as a trie: its edges by depth (from, to, piece), its size, and the node of each word.
+
+        Sorted words are the depth-first order, so a prefix that words share is one path.
+        """
+        ending, unknown, depths = self.ending, self.unknown, []
+        path, nodes, before, found = [0], 0, "", {}
+        for word in sorted(words):
+            text, shared = f"▁{word}", 0
+            for a, b in zip(before, text):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :]
+            for end in range(shared + 1, len(text) + 1):
+                nodes += 1
+                path.append(nodes)
+                if end > len(depths):
+                    depths.append([])
+                edges = depths[end - 1]
+                piece = ending.get(text[end - 1])
+                edges += (path[end - 1], nodes, unknown if piece is None or piece < 0 else piece)
+                if piece is not None:
+                    for start in range(end - 2, max(-1, end - LONGEST_PIECE - 1), -1):
+                        piece = ending.get(text[start:end])
+                        if piece is None:
+                            break
+                        if piece >= 0:
+                            edges += (path[start], nodes, piece)
+            before = text
+            found[word] = path[len(text)]
+        return [np.array(e, dtype=np.int64).reshape(-1, 3) for e in depths], nodes + 1, [found[w] for w in words]
+
+
 def _batch_edges(pieces: Pieces, words: list[str]) -> np.ndarray:
     rows = [(w, i, j, p) for w, word in enumerate(words) for i, j, p in pieces.edges(word)]
     return np.array(rows, dtype=np.int64).reshape(-1, 4)
@@ -110,10 +148,16 @@ def forward(pieces: Pieces, words: list[str], model: np.ndarray) -> np.ndarray:
     short = [k for k, w in enumerate(words) if len(w) <= LONGEST_TRAINED_WORD]
     if short:
         chosen = [words[k] for k in short]
-        ends = np.array([len(w) + 1 for w in chosen])
-        edges = _batch_edges(pieces, chosen)
-        sums = _sums(edges, 1, 2, len(chosen), int(ends.max()), np.zeros(len(chosen), np.int64), model, True)
-        out[short] = np.log(sums[np.arange(len(chosen)), ends])
+        depths, nodes, ends = pieces.trie(chosen)
+        # Every path to a node covers the same letters, so a factor per letter keeps the sums in range.
+        scaled = model * pieces.scale
+        sums = np.ones((nodes, model.shape[1]))
+        for edges in depths:
+            before, node, piece = edges.T
+            heads = np.flatnonzero(np.diff(node, prepend=-1))
+            sums[node[heads]] = np.add.reduceat(sums[before] * scaled[piece], heads, axis=0)
+        lengths = np.array([len(w) + 1 for w in chosen])
+        out[short] = np.log(sums[ends]) - np.log(SCALE) * lengths[:, None]
     for k, word in enumerate(words):
         if len(word) > LONGEST_TRAINED_WORD:
             out[k] = _forward_long(pieces, word, model)
@@ -146,11 +190,11 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray, model: np.nda
     """Expected number of uses of each piece over ``counts`` copies of the words, under one language."""
     edges = _batch_edges(pieces, words)
     n, ends = len(words), np.array([len(w) + 1 for w in words])
-    length, column = int(ends.max()), model.reshape(-1, 1)
+    length, column = int(ends.max()), model.reshape(-1, 1) * pieces.scale
     ahead = _sums(edges, 1, 2, n, length, np.zeros(n, np.int64), column, True)[:, :, 0]
     behind = _sums(edges, 2, 1, n, length, ends, column, False)[:, :, 0]
     word, start, end, piece = edges.T
-    uses = ahead[word, start] * model[piece] * behind[word, end] / ahead[np.arange(n), ends][word] * counts[word]
+    uses = ahead[word, start] * column[piece, 0] * behind[word, end] / ahead[np.arange(n), ends][word] * counts[word]
     return np.bincount(piece, weights=uses, minlength=pieces.size)
 
 
