@@ -8,7 +8,7 @@ one as a stand-in; being above the threshold, a stand-in is recognised, and a me
 For the comparison of neighbours, documents are dealt into cells of ascending doc_id, each cell is sorted, and the
 first document of a cell is also sent to the cell before it, so that the next document is at hand everywhere.  The
 cells follow quantiles of doc_id; there are at most ``MOST_CELLS``, so the table of their heads is small at any size
-of the corpus and may be broadcast.
+of the corpus and may be broadcast.  Texts travel to their cells once, compressed.
 
 * null or empty text, or text without words: empty fingerprint.  Two empty fingerprints are alike (1), an empty
   and a full one are not (0).  Texts with fewer words than a shingle have one shingle of all their words.
@@ -26,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_key, map_batches, stored
+from .common import arrow_column, map_batches, stored
 
 SHINGLE = 5
 FRACTION = 1 / 8
-CELL = 2048
+CELL = 512
 MOST_CELLS = 8192
 QUANTILES = 64
 REMEMBERED_WORDS = 500_000
@@ -122,8 +123,14 @@ def _cell(bounds: list[int], parts: int) -> Column:
     return F.coalesce(stretch.cast("long") * parts + inside, F.lit(-1).cast("long"))
 
 
+def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    compressor = zstandard.ZstdCompressor(level=3)
+    for texts in batches:
+        yield pa.array([compressor.compress((t or "").encode()) for t in texts.to_pylist()], pa.binary())
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text, the text of the next document by doc_id (after the last: the first)."""
+    """doc_id, text and next_text, that of the next document by doc_id (after the last: the first), compressed."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     probes = [i / QUANTILES for i in range(QUANTILES)]
     found = rows.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", probes, 2000).alias("bounds")).first()
@@ -142,12 +149,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     places = F.when(
         F.col("is_head"), F.concat(places, F.array(F.struct(F.col("before").alias("cell"), F.lit(True).alias("guest"))))
     ).otherwise(places)
-    dealt = flagged.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.*")
-    order = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), document_key())
-    following = F.lead(F.struct("text")).over(order)
-    return dealt.withColumn("next", following).where("not guest").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next.text", F.lit("")).alias("next_text")
-    )
+    small = arrow_column(docs.sparkSession, _compressed, "binary")(F.col("text"))
+    dealt = flagged.select("doc_id", small.alias("text"), places.alias("places"))
+    dealt = dealt.select("doc_id", "text", F.explode("places").alias("at")).select("doc_id", "text", "at.*")
+    order = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    following = F.lead("text").over(order).alias("next_text")
+    return dealt.select("doc_id", "text", following, "guest").where("not guest").drop("guest")
 
 
 _WORDS = WordHashes()
@@ -156,9 +163,11 @@ _WORDS = WordHashes()
 def _compared(size: int, fraction: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str, np.ndarray] = ("", sketch(_WORDS, "", size, fraction))
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             chars, sums, own, changed, near_edited, near_next = [], [], [], [], [], []
-            for text, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for one, two in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text, following = expand(one).decode(), expand(two).decode()
                 # The next document of the row before is usually this one.
                 mine = last[1] if last[0] == text else sketch(_WORDS, text, size, fraction)
                 other = edited(text, following)
