@@ -88,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": _MIX,
         "op4_line_dedup": _LINES,
+        "op8_near_duplicates": _NEAR,
         "op10_quality": _QUALITY,
     }
 
@@ -175,6 +176,39 @@ _LINES = f"""
     GROUP BY l.doc_id
 """
 
+_NEAR = """
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(
+            CASE WHEN len(w) = 0 THEN []
+                 WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+            END) AS s
+        FROM docs
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    pairs AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+    ),
+    links AS (
+        SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+        WHERE 100 * common >= 85 * (p.n + q.n - common)
+    ),
+    sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM docs
+        UNION
+        SELECT reached.doc_id, sides.y FROM reached JOIN sides ON reached.other = sides.x
+    )
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+    FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
 
 def _bins(name: str, parts: list[str]) -> str:
     return f"[{', '.join(parts)}] AS {name}"
