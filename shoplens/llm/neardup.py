@@ -13,9 +13,9 @@ gathered by the bands that connect them and compared in blocks: blocks of ``BLOC
 a task, which multiplies their incidence matrix, and returns a spanning forest of the links it finds.  A document
 of which too large a part is shared with nobody in the block cannot have a link and leaves the matrix first.
 
-The limit is exact: ``100 * |A and B| >= percent * |A or B|``.  With the defaults a link of just that similarity
-shares no band with a probability below one in a million, and is dropped by the estimate (five standard errors)
-with one about as small.
+The limit is exact: ``100 * |A and B| >= percent * |A or B|``.  With the defaults a link of just 0.8 shares no band
+with a probability of three in a million, one of 0.85 with seven in a billion; the estimate, with a slack of five
+standard errors, drops a link with less than one in a million.
 
 * null or empty text, or text without words: empty set, linked with nothing.
 * texts with fewer words than a shingle: the whole sequence of words is the one shingle.
