@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, packed
+from .common import arrow_column, held, packed
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
 REMEMBERED_WORDS = 200_000
 REMEMBERED_LENGTH = 64
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 500_000
 
 
 def _byte_symbols() -> list[str]:
@@ -64,8 +64,6 @@ _PLAIN_WORDS = re.compile(
 class Encoder:
     """Encodes and decodes texts with one tokenizer file; one per worker."""
 
-    _loaded: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -92,9 +90,7 @@ class Encoder:
 
     @classmethod
     def load(cls, path: str) -> Encoder:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return held(("bpe", path), lambda: cls(path))
 
     def stable(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their symbols are merged as one string.

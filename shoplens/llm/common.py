@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shoplens.sources import stored
 
-__all__ = ["WORD", "arrow_column", "document_key", "map_batches", "packed", "stored", "table", "word_count"]
+__all__ = ["WORD", "arrow_column", "document_key", "held", "map_batches", "packed", "stored", "table", "word_count"]
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +57,20 @@ def map_batches(
     return df.mapInArrow(function, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """An object that a worker keeps from task to task, until it works for another operator.
+
+    One at a time, so a worker that runs a whole pipeline does not gather what every stage remembered.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def arrow_column(
     spark: SparkSession, function: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str
 ) -> Callable[..., Column]:

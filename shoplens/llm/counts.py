@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column
+from .common import arrow_column, held
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF = 32
@@ -46,8 +46,6 @@ _ASCII_PIECES = re.compile(
 class Counter:
     """Cuts texts into pre-tokens and counts their tokens; one per worker."""
 
-    _loaded: dict[str, Counter] = {}
-
     def __init__(self, path: str):
         import tiktoken
 
@@ -62,9 +60,7 @@ class Counter:
 
     @classmethod
     def load(cls, path: str) -> Counter:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return held(("counts", path), lambda: cls(path))
 
     def cut(self, text: str) -> list[str]:
         return self.pattern.findall(text) if _ASCII.search(text) else _ASCII_PIECES.findall(text)

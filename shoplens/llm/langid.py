@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, map_batches, packed, stored
+from .common import arrow_column, held, map_batches, packed, stored
 
 UNKNOWN_LANGUAGE = "und"
 VOCABULARY = "piece_bpe_32k.model"
@@ -39,7 +39,7 @@ TRAIN_DOCUMENTS = 2000
 ROUNDS = 3
 LONGEST_PIECE = 16
 LONGEST_TRAINED_WORD = 40
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 SMOOTHING = 0.05
 SCALE = 1000.0
 
@@ -53,8 +53,6 @@ def words_of(text: str | None) -> list[str]:
 class Pieces:
     """Lower-case letter pieces of a public vocabulary; the last number stands for an unknown letter."""
 
-    _loaded: dict[str, Pieces] = {}
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -68,12 +66,6 @@ class Pieces:
         self.ending = {p[k:]: -1 for p in usable for k in range(len(p))} | self.number
         self.scale = np.array([[SCALE ** len(p)] for p in sorted(usable)] + [[SCALE]])
 
-    @classmethod
-    def load(cls, path: str) -> Pieces:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) of all pieces in a word, with its start marked."""
         text, number, found = f"▁{word}", self.number, []
@@ -218,7 +210,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expecting(path: str, langs: list[str], model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(path)
+        pieces = held(("pieces", path), lambda: Pieces(path))
         total = np.zeros((pieces.size, len(langs)))
         for batch in batches:
             by_lang: dict[str, list] = {}
@@ -244,7 +236,7 @@ def fit(
 ) -> tuple[list[str], np.ndarray]:
     """Languages by code point, and the probability of each piece (a row) under each of them (a column)."""
     path = path or public_tokenizers.path(VOCABULARY)
-    pieces = Pieces.load(path)
+    pieces = Pieces(path)
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     rows = labelled.groupBy("lang").count().collect()  # one row per language
     langs = sorted(r["lang"] for r in rows)
@@ -269,7 +261,7 @@ def fit(
 
 def scorer(path: str, langs: list[str], model: np.ndarray) -> Callable[[list[str | None]], tuple[list[str], list[float]]]:
     """A function from texts to languages and scores, which remembers words it has seen."""
-    pieces = Pieces.load(path)
+    pieces = Pieces(path)
     places: dict[str, int] = {}
     known = np.zeros((0, len(langs)))
 
@@ -302,16 +294,9 @@ def scorer(path: str, langs: list[str], model: np.ndarray) -> Callable[[list[str
     return score
 
 
-_SCORERS: dict[tuple, Callable] = {}
-
-
 def _scorer(path: str, langs: list[str], model: np.ndarray) -> Callable:
     """The scorer of this worker for a model; words stay remembered from task to task."""
-    key = (path, tuple(langs), hash(model.tobytes()))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = scorer(path, langs, model)
-    return _SCORERS[key]
+    return held(("langid", path, tuple(langs), hash(model.tobytes())), lambda: scorer(path, langs, model))
 
 
 def predicted(docs: DataFrame, langs: list[str], model: np.ndarray, path: str | None = None) -> Column:

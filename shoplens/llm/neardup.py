@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, packed, stored
 from .components import components
-from .sketch import WordHashes, mixed, shingle_hashes
+from .sketch import mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -46,14 +46,13 @@ SMALL_BAND = 32
 BLOCK = 1024
 LAST = (1 << 63) - 1
 
-_WORDS = WordHashes()
 _SKETCHED = "vertex long, cls long, cls2 long, n long, bands array<long>, planes array<long>"
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Distinct shingle hashes, ascending.  Words are lower-cased in A-Z and split at ASCII white space."""
     words = (text or "").encode().lower().split()
-    return np.unique(shingle_hashes(_WORDS.of(words), size))
+    return np.unique(shingle_hashes(word_hashes().of(words), size))
 
 
 def class_of(found: np.ndarray) -> tuple[int, int]:

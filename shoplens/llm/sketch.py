@@ -30,14 +30,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, map_batches, stored
+from .common import arrow_column, held, map_batches, stored
 
 SHINGLE = 5
 FRACTION = 1 / 8
 CELL = 512
 MOST_CELLS = 8192
 QUANTILES = 64
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -157,22 +157,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "text", following, "guest").where("not guest").drop("guest")
 
 
-_WORDS = WordHashes()
+def word_hashes() -> WordHashes:
+    """Those of this worker."""
+    return held(("words",), WordHashes)
 
 
 def _compared(size: int, fraction: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, np.ndarray] = ("", sketch(_WORDS, "", size, fraction))
+        hashes = word_hashes()
+        last: tuple[str, np.ndarray] = ("", sketch(hashes, "", size, fraction))
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             chars, sums, own, changed, near_edited, near_next = [], [], [], [], [], []
             for one, two in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text, following = expand(one).decode(), expand(two).decode()
                 # The next document of the row before is usually this one.
-                mine = last[1] if last[0] == text else sketch(_WORDS, text, size, fraction)
+                mine = last[1] if last[0] == text else sketch(hashes, text, size, fraction)
                 other = edited(text, following)
-                theirs = sketch(_WORDS, other, size, fraction)
-                last = (following, sketch(_WORDS, following, size, fraction))
+                theirs = sketch(hashes, other, size, fraction)
+                last = (following, sketch(hashes, following, size, fraction))
                 chars.append(len(text))
                 sums.append(hashlib.sha256(other.encode()).hexdigest())
                 own.append(written(mine))
@@ -210,8 +213,9 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, fraction: float = FRACTIO
     """Per row: doc_id and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
-            found = [written(sketch(_WORDS, t, size, fraction)) for t in batch.column(1).to_pylist()]
+            found = [written(sketch(hashes, t, size, fraction)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.string())], names=["doc_id", "fingerprint"]
             )

@@ -28,7 +28,7 @@ def segmentations(pieces, word):
 
 @pytest.fixture(scope="module")
 def model():
-    pieces = langid.Pieces.load(PATH)
+    pieces = langid.Pieces(PATH)
     random = np.random.default_rng(1)
     found = random.random((pieces.size, 3)) + 0.01
     return pieces, found / found.sum(axis=0)
