@@ -12,25 +12,32 @@ from shoplens import operators as ops
 from shoplens import plans
 from shoplens import testdata as data
 from shoplens.session import tune
-from shoplens.sources import run_sql_script, scratch_path
-from shoplens.streaming import ingest_files
+from shoplens.sources import (
+    load_collection,
+    read_collection,
+    read_result_csv,
+    run_sql_script,
+    scratch_path,
+    write_result,
+    write_sessions,
+)
+from shoplens.streaming import ingest_files, ingest_sessions
 
 try:  # an optional part of the library, with its pipeline
     import corpus_pipeline
     from shoplens.llm import queries as training_text
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "shoplens.llm"):
-        raise
+except ImportError:
     corpus_pipeline = training_text = None
 
 Query = Callable[[SparkSession, str], DataFrame]
+PROBABILITIES = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
 
 
 # Normalised lines, baskets, cohorts
 
 
 def line_items(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.line_items(data.line_documents(spark, folder), data.products(spark, folder))
+    return plans.line_items(data.order_documents(spark, folder), data.products(spark, folder))
 
 
 def dedupe_basket(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,6 +48,20 @@ def also_bought(spark: SparkSession, folder: str) -> DataFrame:
     return plans.also_bought(data.lines(spark, folder), products=data.products(spark, folder))
 
 
+def also_bought_large_baskets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs with nearly every basket treated as a large one."""
+    return plans.also_bought(
+        data.lines(spark, folder), products=data.products(spark, folder), small_basket=3
+    )
+
+
+def also_bought_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs after pruning rare products, whatever the number of lines."""
+    return plans.also_bought(
+        data.lines(spark, folder), products=data.products(spark, folder), small_basket=5, prune_from=0
+    )
+
+
 def copurchase_totals(spark: SparkSession, folder: str) -> DataFrame:
     return plans.copurchase_totals(also_bought(spark, folder))
 
@@ -67,7 +88,17 @@ def customer_value_from_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def user_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     headers = data.transactions(spark, folder)
-    return plans.user_segmentation(data.lines(spark, folder), headers=headers)
+    return plans.user_segmentation(data.priced_lines(spark, folder), headers=headers)
+
+
+def user_segmentation_range(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.user_segmentation(
+        data.priced_lines(spark, folder),
+        start="1995-01-01",
+        end="1996-12-31",
+        boundaries=[1, 2, 3, 5, 8],
+        headers=data.transactions(spark, folder),
+    )
 
 
 def customer_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,22 +122,51 @@ def box_stats(spark: SparkSession, folder: str) -> DataFrame:
     return box.withColumns({c: F.round(c, 4) for c in limits})
 
 
+def quantiles_bracketed(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of line prices with brackets narrow enough that even small tables use them."""
+    lines = data.lines(spark, folder)
+    found = ops.exact_quantiles(lines, ["subtotal"], PROBABILITIES, approximation=1000)
+    return found.select(F.posexplode("subtotal").alias("place", "value")).select(
+        "place", F.round("value", 4).alias("value")
+    )
+
+
 # Products
 
 
 def top_products(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.top_products(data.lines(spark, folder), data.products(spark, folder))
+    return plans.top_products(data.priced_lines(spark, folder), data.products(spark, folder))
+
+
+def top_products_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Best sellers of two years, from lines that carry their order's time."""
+    times = data.transactions(spark, folder).select("transaction_id", "timestamp")
+    lines = data.priced_lines(spark, folder).join(times, "transaction_id")
+    return plans.top_products(
+        lines, data.products(spark, folder), start="1995-01-01", end="1996-12-31", limit=15
+    )
 
 
 def revenue_by_category(spark: SparkSession, folder: str) -> DataFrame:
     return plans.revenue_by_category(
-        data.lines(spark, folder),
+        data.priced_lines(spark, folder),
         data.products(spark, folder),
         categories=data.categories(spark, folder),
         headers=data.transactions(spark, folder),
     )
 
 
+def revenue_by_category_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Without category names, in a range of time."""
+    return plans.revenue_by_category(
+        data.priced_lines(spark, folder),
+        data.products(spark, folder),
+        start="1995-06-01",
+        end="1996-05-31",
+        headers=data.transactions(spark, folder),
+    )
+
+
 def category_timeline(spark: SparkSession, folder: str) -> DataFrame:
     return plans.category_timeline(revenue_by_category(spark, folder))
 
@@ -122,6 +182,26 @@ def session_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return _sessions(spark, folder).drop("load_order")
 
 
+def session_flatten_alternatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sessions from JSON chunks of both layouts, loaded incrementally."""
+    chunks = scratch_path(spark, "chunks")
+    for documents in (data.session_documents(spark, folder), data.flat_session_documents(spark, folder)):
+        half = "cast(session_id as bigint) % 2"
+        side = 0 if "start_time" in documents.columns else 1
+        _write_arrays(documents.drop("load_order").where(f"{half} = {side}"), chunks, "session_id")
+    target, progress = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-progress")
+    loaded = ingest_sessions(spark, chunks, target, progress, pattern="part-*")
+    return plans.current_sessions(loaded)
+
+
+def _write_arrays(df: DataFrame, path: str, key: str, pretty: bool = False) -> None:
+    """JSON array files of about a thousand objects."""
+    text = F.to_json(F.collect_list(F.struct("*")), {"pretty": str(pretty).lower()})
+    pieces = F.floor(F.col(key).cast("bigint") / 1000).alias("piece")
+    arrays = df.groupBy(pieces).agg(text.alias("value")).select("value")
+    arrays.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+
+
 def session_row_key(spark: SparkSession, folder: str) -> DataFrame:
     events = data.table(spark, folder, "events")
     key = fn.row_key(F.format_string("user_%06d", "user_id"), F.col("ts").cast("string"))
@@ -137,7 +217,10 @@ def session_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.user_sessions(_sessions(spark, folder), "user_000000")
+    """Found by the prefix of the key in a stored table."""
+    path = scratch_path(spark, "sessions-stored")
+    write_sessions(_sessions(spark, folder).drop("load_order"), path)
+    return plans.user_sessions(spark.read.parquet(path), "user_000000")
 
 
 def converted_sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,19 +232,78 @@ def device_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    target = scratch_path(spark, "events")
-    ingest_files(
-        spark,
-        folder,
-        data.SCHEMAS["events"],
-        target,
-        checkpoint=scratch_path(spark, "events-progress"),
-        file_format="parquet",
-        pattern="events.parquet",
-    )
+    """Events that arrive in files, half of them after a first run, loaded over three runs."""
+    events = data.table(spark, folder, "events")
+    arriving, target = scratch_path(spark, "events-arriving"), scratch_path(spark, "events")
+    progress = scratch_path(spark, "events-progress")
+    for part in (0, 1, None):
+        if part is not None:
+            new = events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part)
+            new.repartition(3).write.mode("append").parquet(arriving)
+        ingest_files(
+            spark,
+            arriving,
+            data.SCHEMAS["events"],
+            target,
+            checkpoint=progress,
+            file_format="parquet",
+            pattern="*.parquet",
+            max_files_per_batch=2,
+        )
     return spark.read.schema(data.SCHEMAS["events"]).parquet(target)
 
 
+# Sources and sinks: a table written in a format and read back
+
+
+PRODUCT_FIELDS = "product_id bigint, name string, category_id int, base_price decimal(18,4)"
+
+
+def _products(spark: SparkSession, folder: str) -> DataFrame:
+    return data.products(spark, folder).withColumn("base_price", F.col("base_price").cast("decimal(18,4)"))
+
+
+def _read_back(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    found = read_collection(spark, path, PRODUCT_FIELDS, layout)
+    return found.withColumn("base_price", F.col("base_price").cast("double"))
+
+
+def json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "json-lines")
+    _products(spark, folder).write.json(path)
+    return _read_back(spark, path, "auto")
+
+
+def json_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "json-arrays")
+    _write_arrays(_products(spark, folder), path, "product_id")
+    return _read_back(spark, path, "auto")
+
+
+def json_indented(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "json-indented")
+    _write_arrays(_products(spark, folder), path, "product_id", pretty=True)
+    return _read_back(spark, path, "array")
+
+
+def json_load_append(spark: SparkSession, folder: str) -> DataFrame:
+    """A collection loaded with replacement, then once more, then appended to."""
+    path, target = scratch_path(spark, "json-users"), scratch_path(spark, "users")
+    data.users(spark, folder).select(F.col("user_id").cast("string")).write.json(path)
+    load_collection(spark, "users", path, target)
+    load_collection(spark, "users", path, target)
+    loaded = load_collection(spark, "users", path, target, drop_first=False)
+    return loaded.groupBy("user_id").agg(F.count("*").alias("rows"))
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer values as CSV in order, and back as numbers."""
+    path = scratch_path(spark, "csv")
+    write_result(_value(spark, folder), path, [F.col("total_revenue").desc()])
+    columns = ["user_id", "total_revenue", "num_orders"]
+    return read_result_csv(spark, path, columns, numeric=["total_revenue", "num_orders"])
+
+
 # Single operators
 
 
@@ -171,7 +313,7 @@ def time_range_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_total_fallback(spark: SparkSession, folder: str) -> DataFrame:
     flag, price = F.col("l_returnflag"), F.col("unit_price")
-    lines = data.lines(spark, folder).select(
+    lines = data.priced_lines(spark, folder).select(
         "transaction_id",
         "product_id",
         "quantity",
@@ -179,10 +321,18 @@ def line_total_fallback(spark: SparkSession, folder: str) -> DataFrame:
         F.when(flag == "R", price).alias("unit_price"),
         F.when(flag == "N", price).alias("price"),
     )
-    total = fn.dollars(ops.line_total_cents()).alias("line_total")
+    total = fn.amount(ops.line_total_parts()).alias("line_total")
     return ops.order_lines(lines).select("transaction_id", "product_id", total)
 
 
+def line_total_fine_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantity times prices of four decimals: a thousandth of the line's price per unit."""
+    price = (F.floor(F.col("subtotal") / F.col("quantity") / 1000 * 10000) / 10000).alias("unit_price")
+    lines = data.lines(spark, folder).select("transaction_id", "product_id", "quantity", price)
+    total = F.sum(ops.line_total_parts())
+    return ops.order_lines(lines).groupBy("product_id").agg(fn.amount(total).alias("revenue"))
+
+
 def parse_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     events = data.table(spark, folder, "events")
     exact = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -241,26 +391,39 @@ def queries() -> dict[str, Query]:
         line_items,
         dedupe_basket,
         also_bought,
+        also_bought_large_baskets,
+        also_bought_pruned,
         copurchase_totals,
         cohort_retention,
         customer_value,
         customer_value_from_items,
         user_segmentation,
+        user_segmentation_range,
         customer_segments,
         customer_scatter,
         box_stats,
+        quantiles_bracketed,
         top_products,
+        top_products_range,
         revenue_by_category,
+        revenue_by_category_range,
         category_timeline,
         session_flatten,
+        session_flatten_alternatives,
         session_row_key,
         session_upsert_latest,
         user_sessions,
         converted_sessions,
         device_distribution,
         incremental_ingest,
+        json_lines,
+        json_arrays,
+        json_indented,
+        json_load_append,
+        csv_round_trip,
         time_range_filter,
         line_total_fallback,
+        line_total_fine_prices,
         parse_timestamps,
         numeric_coerce_dropna,
         table_counts,
@@ -284,7 +447,7 @@ def queries() -> dict[str, Query]:
 # The same results in DuckDB SQL.
 
 _MONEY = "CAST(SUM(CAST({0} AS DECIMAL(18,2))) AS DOUBLE)"
-_UNIT_CENTS = "(CAST(ROUND(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT))"
+_UNIT_CENTS = "CAST(ROUND(p_retailprice * 100) AS BIGINT)"
 _REVENUE_CENTS = f"CAST(l_quantity AS BIGINT) * {_UNIT_CENTS}"
 _REVENUE = f"CAST(SUM({_REVENUE_CENTS}) AS DOUBLE) / 100"
 
@@ -328,6 +491,11 @@ _CATEGORY_REVENUE = f"""
     )
 """
 
+_PRODUCTS = """
+    SELECT p_partkey AS product_id, p_name AS name, p_size % 25 AS category_id, p_retailprice AS base_price
+    FROM part
+"""
+
 _SESSIONS = """
     keyed AS (
         SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
@@ -461,7 +629,7 @@ def oracle_sql() -> dict[str, str]:
             WITH tx AS (
                 SELECT l_orderkey AS t, MIN(o_custkey) AS u, MIN(o_orderdate) AS d,
                        SUM({_REVENUE_CENTS}) AS s
-                FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
                 GROUP BY l_orderkey
             ),
             people AS (SELECT u, COUNT(*) AS n, SUM(s) AS s, MAX(d) AS d FROM tx GROUP BY u)
@@ -493,6 +661,13 @@ def oracle_sql() -> dict[str, str]:
             FROM named WHERE revenue IS NOT NULL
         """,
         "session_flatten": f"WITH {_SESSIONS} SELECT * FROM sessions",
+        "session_flatten_alternatives": f"""
+            WITH {_SESSIONS}
+            SELECT * EXCLUDE (nth, cart_contents), replace(cart_contents, '}}', ',"price":null}}') AS cart_contents FROM (
+                SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY CAST(session_id AS BIGINT) DESC) AS nth
+                FROM sessions
+            ) WHERE nth = 1
+        """,
         "session_row_key": """
             SELECT event_id, printf('user_%06d', user_id) || '_' || regexp_replace(regexp_replace(
                        CAST(ts AS VARCHAR), '\\s+', '_', 'g'), '[^0-9A-Za-z_\\-:.T]', '', 'g') AS row_key,
@@ -515,8 +690,7 @@ def oracle_sql() -> dict[str, str]:
         "converted_sessions": f"""
             WITH {_SESSIONS}
             SELECT row_key, user_id, session_id, start_time, duration, device_type, referrer
-            FROM (SELECT * FROM sessions ORDER BY row_key, session_id LIMIT 1000)
-            WHERE conversion_status = 'converted' ORDER BY row_key, session_id LIMIT 10
+            FROM sessions WHERE conversion_status = 'converted' ORDER BY row_key, session_id LIMIT 10
         """,
         "device_distribution": """
             SELECT event_type AS device_type, COUNT(*) AS sessions,
@@ -524,6 +698,57 @@ def oracle_sql() -> dict[str, str]:
             FROM events GROUP BY event_type
         """,
         "incremental_ingest": "SELECT * FROM events",
+        "json_lines": _PRODUCTS,
+        "json_arrays": _PRODUCTS,
+        "json_indented": _PRODUCTS,
+        "json_load_append": """
+            SELECT CAST(c_custkey AS VARCHAR) AS user_id, 2 * COUNT(*) AS rows FROM customer GROUP BY 1
+        """,
+        "csv_round_trip": f"""
+            WITH {_VALUE}
+            SELECT CAST(user_id AS VARCHAR) AS user_id, total_revenue, CAST(num_orders AS DOUBLE) AS num_orders FROM value
+        """,
+        "line_total_fine_prices": """
+            SELECT l_partkey AS product_id, CAST(SUM(CAST(l_quantity AS BIGINT)
+                       * CAST(floor(l_extendedprice / l_quantity / 1000 * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS revenue
+            FROM lineitem GROUP BY 1
+        """,
+        "quantiles_bracketed": f"""
+            SELECT CAST(unnest(range({len(PROBABILITIES)})) AS INTEGER) AS place,
+                   unnest([round(q, 4) for q in quantile_cont(l_extendedprice, {list(PROBABILITIES)})]) AS value
+            FROM lineitem
+        """,
+        "also_bought_large_baskets": f"WITH {_PAIRS} SELECT * FROM pairs",
+        "also_bought_pruned": f"WITH {_PAIRS} SELECT * FROM pairs",
+        "top_products_range": f"""
+            SELECT l_partkey AS product_id, MIN(p_name) AS product_name,
+                   MIN(p_size % 25) AS category_id, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_qty,
+                   {_REVENUE} AS total_revenue, COUNT(DISTINCT l_orderkey) AS orders
+            FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+            WHERE o_orderdate >= '1995-01-01' AND o_orderdate <= '1996-12-31'
+            GROUP BY l_partkey ORDER BY total_revenue DESC, total_qty DESC, product_id LIMIT 15
+        """,
+        "revenue_by_category_range": f"""
+            SELECT p_size % 25 AS category_id, strftime(o_orderdate, '%Y-%m') AS year_month, {_REVENUE} AS revenue
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+            WHERE o_orderdate >= '1995-06-01' AND o_orderdate <= '1996-05-31'
+            GROUP BY 1, 2
+        """,
+        "user_segmentation_range": f"""
+            WITH tx AS (
+                SELECT l_orderkey AS t, MIN(o_custkey) AS u, MIN(o_orderdate) AS d,
+                       SUM({_REVENUE_CENTS}) AS s
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+                WHERE o_orderdate >= '1995-01-01' AND o_orderdate <= '1996-12-31'
+                GROUP BY l_orderkey
+            ),
+            people AS (SELECT u, COUNT(*) AS n, SUM(s) AS s, MAX(d) AS d FROM tx GROUP BY u)
+            SELECT CASE WHEN n >= 1 AND n < 2 THEN '1' WHEN n >= 2 AND n < 3 THEN '2'
+                        WHEN n >= 3 AND n < 5 THEN '3' WHEN n >= 5 AND n < 8 THEN '5' ELSE 'other' END AS bucket,
+                   COUNT(*) AS customers, SUM(n) / COUNT(*) AS avg_orders,
+                   CAST(SUM(s) AS DOUBLE) / 100 / COUNT(*) AS avg_spend, MAX(d) AS max_last_order_at
+            FROM people GROUP BY 1
+        """,
         "time_range_filter": """
             SELECT o_orderkey AS transaction_id, o_custkey AS user_id, o_orderdate AS "timestamp",
                    o_totalprice AS total, o_orderstatus AS status
@@ -534,7 +759,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN l_returnflag = 'A' THEN l_extendedprice
                         ELSE {_REVENUE_CENTS} / 100
                    END AS line_total
-            FROM lineitem
+            FROM lineitem JOIN part ON l_partkey = p_partkey
         """,
         "parse_timestamps": """
             SELECT event_id, ts, date_trunc('second', ts) AS ts_seconds, TRUE AS fraction_rejected

@@ -1,8 +1,9 @@
 """Money arithmetic.
 
-Amounts carry two decimals.  They are summed as whole cents in a bigint, which is exact, does not
-depend on the order of the rows and stays inside generated code; results become doubles at the end.
-A bigint holds 9.2e16 in currency units; with ANSI mode on (the default) Spark raises beyond that.
+Order totals carry two decimals, prices and what follows from them four.  Amounts are summed as whole
+cents, or as whole parts of a cent, in a bigint: that is exact, does not depend on the order of the
+rows and stays inside generated code; results become doubles at the end.  A bigint of parts holds
+9.2e14 in currency units; with ANSI mode on (the default) Spark raises beyond that.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+PARTS = 10_000  # of a currency unit
+
 
 def cents(amount: Column) -> Column:
     """A double or decimal amount as whole cents."""
@@ -19,3 +22,13 @@ def cents(amount: Column) -> Column:
 def dollars(amount_in_cents: Column) -> Column:
     """Whole cents as a double amount."""
     return amount_in_cents.cast("double") / 100
+
+
+def parts(amount: Column) -> Column:
+    """A double or decimal amount in parts of a cent (the fourth decimal)."""
+    return F.rint(amount.cast("double") * PARTS).cast("bigint")
+
+
+def amount(in_parts: Column) -> Column:
+    """Parts of a cent as a double amount."""
+    return in_parts.cast("double") / PARTS

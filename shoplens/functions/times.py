@@ -45,6 +45,21 @@ def month_text(df: DataFrame, column: str = "timestamp") -> Column:
     return F.date_format(column, "yyyy-MM")
 
 
+def month_key(df: DataFrame, column: str = "timestamp") -> Column:
+    """What groups by month: months since year 0 as a number, or the month's text if time is text."""
+    if timestamp_storage(df, column) == "string":
+        return F.substring(column, 1, 7)
+    return F.year(column) * 12 + F.month(column) - 1
+
+
+def month_of_key(key: Column, as_text: bool) -> Column:
+    """``yyyy-MM`` of a month key of either kind."""
+    if as_text:
+        return key
+    label = F.format_string("%04d-%02d", F.floor(key / 12).cast("int"), key % 12 + 1)
+    return F.when(key.isNotNull(), label)
+
+
 def month_start(moment: Column) -> Column:
     """First day of the month, as a date."""
     return F.trunc(moment, "month")

@@ -4,7 +4,7 @@ from .checks import duplicate_keys, table_counts, unparsed_timestamps
 from .coerce import coerce_numeric, top_values
 from .dedupe import basket_items, latest_by_key
 from .distribution import box_stats, exact_quantiles, histogram
-from .lines import in_time_range, line_total_cents, order_lines
+from .lines import in_time_range, line_total_parts, order_lines
 from .sessions import flatten_sessions
 
 __all__ = [
@@ -17,7 +17,7 @@ __all__ = [
     "histogram",
     "in_time_range",
     "latest_by_key",
-    "line_total_cents",
+    "line_total_parts",
     "order_lines",
     "table_counts",
     "top_values",

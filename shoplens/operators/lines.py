@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cents, column_or_null, parse_bound, timestamp_storage
+from ..functions import column_or_null, parse_bound, parse_iso, parts, timestamp_storage
 
 HEADER_FIELDS = {"transaction_id": "string", "user_id": "string", "timestamp": "timestamp_ntz"}
 LINE_FIELDS = {
@@ -52,24 +52,37 @@ def line_quantity() -> Column:
     return F.coalesce(F.col("quantity").cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def line_total_cents() -> Column:
-    """``line_total ?? quantity * (unit_price ?? price ?? 0)``, in cents."""
-    price = F.coalesce(cents(F.col("unit_price")), cents(F.col("price")), F.lit(0).cast("bigint"))
-    return F.coalesce(cents(F.col("line_total")), line_quantity() * price)
+def line_total_parts() -> Column:
+    """``line_total ?? quantity * (unit_price ?? price ?? 0)``, in parts of a cent."""
+    price = F.coalesce(parts(F.col("unit_price")), parts(F.col("price")), F.lit(0).cast("bigint"))
+    return F.coalesce(parts(F.col("line_total")), line_quantity() * price)
 
 
 def in_time_range(
-    df: DataFrame, start: str | None = None, end: str | None = None, column: str = "timestamp"
+    df: DataFrame,
+    start: str | None = None,
+    end: str | None = None,
+    column: str = "timestamp",
+    storage: str = "auto",
 ) -> DataFrame:
     """Rows from ``start`` to ``end``, both inclusive, either optional.
 
     A ten character bound means midnight, so ``end='2025-12-31'`` leaves out that day's later hours.
     Text columns are compared as text, which for ISO text gives the same order.  The comparison is
     with a literal and reaches the Parquet scan.  A frame with an ``order_month`` column next to
-    ``timestamp`` is limited by month as well, which prunes the folders of a stored table.
+    ``timestamp`` is limited by month as well, which prunes the folders of a stored table.  ``storage``
+    overrides the kind of comparison: ``date`` parses text, ``string`` compares a time as ISO text.
     """
+    if storage not in ("auto", "date", "string"):
+        raise ValueError("storage must be auto, date or string")
     bounds = {"start": (start, parse_bound(start)), "end": (end, parse_bound(end))}
-    as_text = timestamp_storage(df, column) == "string"
+    kind = timestamp_storage(df, column)
+    as_text = storage == "string" or (storage == "auto" and kind == "string")
+    moments = F.col(column)
+    if as_text and kind != "string":
+        moments = F.date_format(moments, "yyyy-MM-dd'T'HH:mm:ss")
+    elif not as_text and kind == "string":
+        moments = parse_iso(moments)
     for side, (text, moment) in bounds.items():
         if moment is None:
             continue
@@ -77,9 +90,9 @@ def in_time_range(
         month = F.lit(moment.strftime("%Y-%m"))
         by_month = column == "timestamp" and "order_month" in df.columns
         if side == "start":
-            df = df.where(F.col(column) >= bound)
+            df = df.where(moments >= bound)
             df = df.where(F.col("order_month") >= month) if by_month else df
         else:
-            df = df.where(F.col(column) <= bound)
+            df = df.where(moments <= bound)
             df = df.where(F.col("order_month") <= month) if by_month else df
     return df

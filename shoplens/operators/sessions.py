@@ -20,7 +20,8 @@ def _part(df: DataFrame, flat: str, field: str, structs: tuple[str, str]) -> Col
 
 
 def _json(df: DataFrame, name: str, kind: str, empty: str) -> Column:
-    return F.coalesce(F.to_json(column_or_null(df, name, kind)), F.lit(empty))
+    text = F.to_json(column_or_null(df, name, kind), {"ignoreNullFields": "false"})
+    return F.coalesce(text, F.lit(empty))
 
 
 def flatten_sessions(sessions: DataFrame) -> DataFrame:

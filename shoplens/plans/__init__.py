@@ -15,7 +15,13 @@ from .customers import (
 from .distribution import value_distribution_box, value_histogram
 from .items import line_items
 from .products import category_timeline, revenue_by_category, top_products
-from .sessions import converted_sessions, current_sessions, device_distribution, user_sessions
+from .sessions import (
+    converted_sessions,
+    current_sessions,
+    device_distribution,
+    keyless_sessions,
+    user_sessions,
+)
 
 __all__ = [
     "also_bought",
@@ -30,6 +36,7 @@ __all__ = [
     "customer_value",
     "customer_value_from_items",
     "device_distribution",
+    "keyless_sessions",
     "line_items",
     "revenue_by_category",
     "segment_users",

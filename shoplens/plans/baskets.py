@@ -10,7 +10,7 @@ b)`` the number of large ones, and ``h(p)`` the number of large baskets holding
 * A pair found in a small basket can reach the top k only if ``light + min(h(a), h(b)) >= floor``.
   For those few ``heavy`` is looked up by joining the products' large baskets.
 * A pair found in large baskets only needs ``h >= floor`` on both sides.  Products that lie in exactly
-  the same large baskets are interchangeable apart from their ids, and ties are won by smaller ids,
+  the same large baskets (by two 64-bit marks) are interchangeable apart from their ids, and ties are won by smaller ids,
   so the ``k + 1`` smallest ids of each such class suffice: any other pair is beaten by k pairs that
   count at least as much.  Only the remaining products are paired, in blocks.
 
@@ -21,7 +21,7 @@ kind of bound.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..operators import basket_items
@@ -124,18 +124,23 @@ def _without_rare(lines: DataFrame, k: int) -> tuple[DataFrame, int]:
 
 
 def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
-    """Lines per transaction; and on the driver, all lines and the number of large baskets.
+    """Lines of each large transaction, stored; and on the driver, all lines and the number of large baskets.
 
-    Lines without a product may be counted in: the sizes are upper bounds.
+    One pass gives all three.  Lines without a product may be counted in: the sizes are upper bounds.
     """
     ids = lines.select("transaction_id").na.drop()
     sizes = ids.groupBy("transaction_id").agg(F.count("*").alias("n"))
-    shape = sizes.agg(F.expr("coalesce(sum(n), 0)"), F.expr(f"count_if(n > {small})"))
-    total, large = shape.first()
-    return sizes, total, large
+    shape = Observation()
+    measured = sizes.observe(
+        shape, F.expr("coalesce(sum(n), 0L) as total"), F.expr(f"count_if(n > {small}) as large")
+    )
+    large_sizes = stored(measured.where(F.col("n") > small), "basket-sizes")
+    return large_sizes, shape.get["total"], shape.get["large"]
 
 
-def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
+def _top_pairs(
+    items: DataFrame, k: int, small: int, prune_from: int = PRUNE_FROM_LINES
+) -> DataFrame:
     """``a, b, co_count`` of the k most frequent pairs, ties by ids.
 
     A few numbers about sizes come to the driver first.  Without large baskets, the usual case, the
@@ -144,7 +149,7 @@ def _top_pairs(items: DataFrame, k: int, small: int) -> DataFrame:
     lines = items.select("transaction_id", "product_id").na.drop()
     floor = 1
     sizes, total, large = _shape(items, small)
-    if total >= PRUNE_FROM_LINES:
+    if total >= prune_from:
         lines, floor = _without_rare(lines, k)
         sizes, total, large = _shape(lines, small)
     if large == 0:
@@ -158,23 +163,25 @@ def _top_with_large(
     light: DataFrame, members: DataFrame, k: int, small: int, known_floor: int
 ) -> DataFrame:
     """The top pairs from the counts of small baskets and the lines of large ones."""
-    light = stored(light, "light-pairs")
     members = stored(members, "large-baskets")
     spans = members.groupBy("product_id").agg(
         F.count("*").alias("h"),
         F.bit_xor(F.xxhash64("transaction_id")).alias("mark"),
         F.bit_xor(F.xxhash64("transaction_id", F.lit(1))).alias("second_mark"),
     )
-    best_light = light.orderBy(F.col("light").desc()).limit(k)
-    floor = best_light.agg(
-        F.expr(f"greatest({known_floor}L, if(count(*) >= {k}, min(light), 1L))")
-    ).scalar()
     most = spans.agg(F.coalesce(F.max("h"), F.lit(0).cast("bigint"))).scalar()
 
-    # Pairs seen in small baskets that can still reach the floor.
+    def floor_of(counts: DataFrame) -> Column:
+        best = counts.orderBy(F.col("light").desc()).limit(k)
+        least = f"greatest({known_floor}L, if(count(*) >= {k}, min(light), 1L))"
+        return best.agg(F.expr(least)).scalar()
+
+    # Only pairs seen in small baskets that can still reach the floor are stored; the k best are among them.
+    light = stored(light.where(F.col("light") + most >= floor_of(light)), "light-pairs")
+    floor = floor_of(light)
     h_of = spans.select("product_id", "h")
     hopeful = (
-        light.where(F.col("light") + most >= floor)
+        light
         .join(h_of.select(F.col("product_id").alias("a"), F.col("h").alias("h_a")), "a", "left")
         .join(h_of.select(F.col("product_id").alias("b"), F.col("h").alias("h_b")), "b", "left")
         .na.fill(0, ["h_a", "h_b"])
@@ -222,6 +229,7 @@ def also_bought(
     k: int = 10,
     products: DataFrame | None = None,
     small_basket: int = SMALL_BASKET,
+    prune_from: int = PRUNE_FROM_LINES,
 ) -> DataFrame:
     """The k product pairs found together in most transactions.
 
@@ -229,9 +237,10 @@ def also_bought(
     a product counts once per transaction and ties are ordered by the ids.  Pairs are counted by id.
     The winners are computed when this is called; names are joined to them, from ``products`` or else
     from ``line_items``.
-    ``small_basket`` only divides the work; it does not change the result.
+    ``small_basket`` only divides the work, and ``prune_from`` lines or more are pruned of rare products
+    first; neither changes the result.
     """
-    best = stored(_top_pairs(line_items, k, small_basket), "top-pairs")
+    best = stored(_top_pairs(line_items, k, small_basket, prune_from), "top-pairs")
     if products is None:
         names = line_items.groupBy("product_id").agg(F.min("product_name").alias("name"))
     else:

@@ -13,9 +13,10 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_timestamp, cents, dollars
-from ..operators import coerce_numeric, exact_quantiles, in_time_range, line_total_cents, order_lines
+from ..functions import amount, as_timestamp, cents, dollars, parts, timestamp_storage
+from ..operators import coerce_numeric, exact_quantiles, in_time_range, line_total_parts, order_lines
 
+# The default boundaries and the names of the levels.
 DEFAULT_BOUNDARIES = (0, 1, 3, 5, 10, 1000)
 SPENDING_LEVELS = ("Low", "Medium", "High", "Premium")
 FREQUENCY_LEVELS = ("Occasional", "Regular", "Frequent", "VIP")
@@ -61,7 +62,7 @@ def customer_value_from_items(
     Lines that do not carry ``user_id`` themselves take it from ``headers`` (``transaction_id,
     user_id``); they are then added up per order before the join.
     """
-    lines = line_items.withColumn("subtotal", cents(F.col("subtotal")))
+    lines = line_items.withColumn("subtotal", parts(F.col("subtotal")))
     orders = F.count_distinct("transaction_id")
     if headers is not None:
         per_order = lines.groupBy("transaction_id").agg(F.sum("subtotal").alias("subtotal"))
@@ -70,7 +71,7 @@ def customer_value_from_items(
     return (
         lines.groupBy("user_id")
         .agg(F.sum("subtotal").alias("clv"), orders.alias("num_orders"))
-        .select("user_id", dollars(F.col("clv")).alias("clv"), "num_orders")
+        .select("user_id", amount(F.col("clv")).alias("clv"), "num_orders")
         .orderBy(F.col("clv").desc(), "user_id")
     )
 
@@ -80,27 +81,28 @@ def transaction_totals(
     start: str | None = None,
     end: str | None = None,
     headers: DataFrame | None = None,
+    storage: str = "auto",
 ) -> DataFrame:
-    """Money per order: ``transaction_id, user_id, created_at, tx_total`` (in cents).
+    """Money per order: ``transaction_id, user_id, created_at, tx_total`` (in parts of a cent).
 
     Takes order documents, or lines.  Lines without user and time take them from ``headers``; their
     sums are then formed before the join, so a huge order is one row when it meets its header.
     """
     if headers is None:
-        lines = order_lines(in_time_range(transactions, start, end))
-        return lines.groupBy("transaction_id").agg(
-            F.min("user_id").alias("user_id"),
-            F.min("timestamp").alias("created_at"),
-            F.sum(line_total_cents()).alias("tx_total"),
+        lines = order_lines(in_time_range(transactions, start, end, storage=storage))
+        # An order has one user; as a key, unlike as a minimum of text, it keeps the aggregate hashed.
+        return lines.groupBy("transaction_id", "user_id").agg(
+            F.min(as_timestamp(lines)).alias("created_at"),
+            F.sum(line_total_parts()).alias("tx_total"),
         )
     sums = (
         order_lines(transactions)
         .groupBy("transaction_id")
-        .agg(F.sum(line_total_cents()).alias("tx_total"))
+        .agg(F.sum(line_total_parts()).alias("tx_total"))
     )
-    chosen = in_time_range(headers, start, end)
+    chosen = in_time_range(headers, start, end, storage=storage)
     return sums.join(
-        chosen.select("transaction_id", "user_id", F.col("timestamp").alias("created_at")),
+        chosen.select("transaction_id", "user_id", as_timestamp(chosen).alias("created_at")),
         "transaction_id",
     ).select("transaction_id", "user_id", "created_at", "tx_total")
 
@@ -135,7 +137,7 @@ def segment_users(
         .agg(
             customers.alias("customers"),
             (F.sum("orders") / customers).alias("avg_orders"),
-            (dollars(F.sum("spend")) / customers).alias("avg_spend"),
+            (amount(F.sum("spend")) / customers).alias("avg_spend"),
             F.max("last_order_at").alias("max_last_order_at"),
         )
         .orderBy(F.col("lower").asc_nulls_last())
@@ -155,9 +157,15 @@ def user_segmentation(
     end: str | None = None,
     boundaries: Sequence[int] = DEFAULT_BOUNDARIES,
     headers: DataFrame | None = None,
+    storage: str = "auto",
 ) -> DataFrame:
     """`segment_users` over the orders of a time range."""
-    return segment_users(transaction_totals(transactions, start, end, headers), boundaries)
+    segments = segment_users(transaction_totals(transactions, start, end, headers, storage), boundaries)
+    if timestamp_storage(transactions if headers is None else headers) == "string":
+        # Times are aggregated as such, and given back as the ISO text they came as.
+        text = F.replace(F.col("max_last_order_at").cast("string"), F.lit(" "), F.lit("T"))
+        segments = segments.withColumn("max_last_order_at", text)
+    return segments
 
 
 def avg_transaction(value: DataFrame) -> DataFrame:

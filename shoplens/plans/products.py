@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dollars, month_text
-from ..operators import coerce_numeric, in_time_range, line_total_cents, order_lines
+from ..functions import amount, month_key, month_of_key, timestamp_storage
+from ..operators import coerce_numeric, in_time_range, line_total_parts, order_lines
 from ..operators.lines import line_quantity
-from ..sources.scratch import stored
-from .lookup import only
+from .lookup import BROADCAST_ROWS
 
 
 def top_products(
@@ -18,41 +17,46 @@ def top_products(
     start: str | None = None,
     end: str | None = None,
     limit: int = 20,
+    storage: str = "auto",
 ) -> DataFrame:
     """The products with most revenue, then most units.
 
-    ``product_id, product_name, category_id, total_qty, total_revenue, orders``.  Counting distinct
-    orders makes Spark aggregate by product and order first, which also spreads a product found in
-    every other line over all tasks.  The winners are computed when this is called and stored, so the
-    lookup of their names costs one reduced scan of the products.
+    ``product_id, product_name, category_id, total_qty, total_revenue, orders``.  Lines are added up
+    by product, already in the map tasks, and only the lines of the ``limit`` winners are shuffled to
+    count their distinct orders; up to BROADCAST_ROWS winners are sent to the lines.  Counting
+    distinct orders makes Spark aggregate by product and order first, which spreads a product found
+    in every other line over all tasks.
     """
-    lines = order_lines(in_time_range(transactions, start, end) if start or end else transactions)
+    if start or end:
+        transactions = in_time_range(transactions, start, end, storage=storage)
+    lines = order_lines(transactions)
     totals = (
         lines.select(
-            "product_id",
-            "transaction_id",
-            line_quantity().alias("qty"),
-            line_total_cents().alias("revenue"),
+            "product_id", line_quantity().alias("qty"), line_total_parts().alias("revenue")
         )
         .groupBy("product_id")
-        .agg(
-            F.sum("qty").alias("total_qty"),
-            F.sum("revenue").alias("revenue"),
-            F.count_distinct("transaction_id").alias("orders"),
-        )
+        .agg(F.sum("qty").alias("total_qty"), F.sum("revenue").alias("revenue"))
     )
     ranking = [F.col("revenue").desc(), F.col("total_qty").desc(), F.col("product_id")]
-    best = stored(totals.orderBy(*ranking).limit(limit), "top-products")
+    best = totals.orderBy(*ranking).limit(limit).withColumnRenamed("product_id", "winner")
+    if limit <= BROADCAST_ROWS:
+        best = F.broadcast(best)
+    orders = (
+        lines.select("product_id", "transaction_id")
+        .join(best, F.col("product_id").eqNullSafe(F.col("winner")))
+        .groupBy("product_id", "total_qty", "revenue")
+        .agg(F.count_distinct("transaction_id").alias("orders"))
+    )
     names = products.select("product_id", F.col("name").alias("product_name"), "category_id")
     return (
-        best.join(only(names, best.select("product_id"), limit), "product_id", "left")
+        orders.join(names, "product_id", "left")
         .orderBy(*ranking)
         .select(
             "product_id",
             "product_name",
             "category_id",
             "total_qty",
-            dollars(F.col("revenue")).alias("total_revenue"),
+            amount(F.col("revenue")).alias("total_revenue"),
             "orders",
         )
     )
@@ -65,27 +69,38 @@ def revenue_by_category(
     end: str | None = None,
     categories: DataFrame | None = None,
     headers: DataFrame | None = None,
+    storage: str = "auto",
 ) -> DataFrame:
     """Revenue per category and month: ``category_id, year_month, revenue[, category_name]``.
 
     Revenue is added up per product and month before products are joined, so the join sees no
     popular product twice in a month.  Unknown products form the null category.  Category names are
-    added when ``categories`` is given.  Lines without a time take it from ``headers``.
+    added when ``categories`` is given.  Lines without a time take it from ``headers``; what then
+    meets them is the order, the product and one amount of each line, and a number for the month.
     """
     if headers is None:
-        chosen = in_time_range(transactions, start, end)
-        lines = order_lines(chosen).withColumn("year_month", month_text(chosen))
+        chosen = in_time_range(transactions, start, end, storage=storage)
+        lines = order_lines(chosen).select(
+            "product_id", month_key(chosen).alias("month"), line_total_parts().alias("revenue")
+        )
     else:
-        chosen = in_time_range(headers, start, end)
-        months = chosen.select("transaction_id", month_text(chosen).alias("year_month"))
-        lines = order_lines(transactions).join(months, "transaction_id")
-    monthly = lines.groupBy("product_id", "year_month").agg(
-        F.sum(line_total_cents()).alias("revenue")
-    )
+        chosen = in_time_range(headers, start, end, storage=storage)
+        months = chosen.select("transaction_id", month_key(chosen).alias("month"))
+        lines = order_lines(transactions).select(
+            "transaction_id", "product_id", line_total_parts().alias("revenue")
+        )
+        lines = lines.join(months, "transaction_id")
+    as_text = timestamp_storage(chosen) == "string"
+    monthly = lines.groupBy("product_id", "month").agg(F.sum("revenue").alias("revenue"))
     revenue = (
         monthly.join(products.select("product_id", "category_id"), "product_id", "left")
-        .groupBy("category_id", "year_month")
-        .agg(dollars(F.sum("revenue")).alias("revenue"))
+        .groupBy("category_id", "month")
+        .agg(F.sum("revenue").alias("revenue"))
+        .select(
+            "category_id",
+            month_of_key(F.col("month"), as_text).alias("year_month"),
+            amount(F.col("revenue")).alias("revenue"),
+        )
     )
     columns = ["category_id", "year_month", "revenue"]
     if categories is not None:

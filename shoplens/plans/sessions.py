@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import row_key_user
@@ -15,9 +15,22 @@ def current_sessions(loaded: DataFrame) -> DataFrame:
     """The last loaded session of each row key, from a table that only ever grew.
 
     Two sessions of one user that start in the same second share a key; the later load replaces the
-    earlier one.
+    earlier one.  Sessions without a user or a start have no key of their own: all of them are kept, and
+    `keyless_sessions` counts them.
     """
-    return latest_by_key(loaded, ["row_key"], F.col("load_order")).drop("load_order")
+    kept = latest_by_key(loaded.where(has_key()), ["row_key"], F.col("load_order"))
+    return kept.unionByName(loaded.where(~has_key())).drop("load_order")
+
+
+def has_key() -> Column:
+    """Whether a row key names both a user and a start."""
+    key = F.col("row_key")
+    return F.coalesce(~(key.startswith("_") | key.endswith("_")), F.lit(False))
+
+
+def keyless_sessions(loaded: DataFrame) -> DataFrame:
+    """How many sessions lack a user or a start: one row, ``sessions``."""
+    return loaded.where(~has_key()).agg(F.count("*").alias("sessions"))
 
 
 def user_sessions(sessions: DataFrame, user_id: str, limit: int = 10) -> DataFrame:
@@ -45,12 +58,9 @@ def user_sessions(sessions: DataFrame, user_id: str, limit: int = 10) -> DataFra
 
 
 def converted_sessions(
-    sessions: DataFrame, limit: int = 10, scan_limit: int | None = 1000
+    sessions: DataFrame, limit: int = 10, scan_limit: int | None = None
 ) -> DataFrame:
-    """The first converted sessions among the first ``scan_limit`` row keys.
-
-    The report looks at a bounded stretch of keys by definition; ``scan_limit=None`` looks at all.
-    """
+    """The first converted sessions of all, or among the first ``scan_limit`` row keys only."""
     seen = sessions.select(
         "row_key",
         "session_id",

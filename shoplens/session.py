@@ -6,8 +6,10 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution picks joins by measured sizes and splits hot keys; forcing lets it split a hot join
 # key even where the rows must be shuffled once more for a following aggregation.  The last setting
-# keeps the first k rows of a window group ahead of the shuffle for every k this library uses.
+# keeps the first k rows of a window group ahead of the shuffle for every k this library uses.  Sets
+# collected per key are few months each, so a task may hold many keys before it falls back to sorting.
 SETTINGS = {
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

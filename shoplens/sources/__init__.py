@@ -2,7 +2,7 @@
 
 from .collections import load_collection, read_collection, read_sessions
 from .csv import read_result_csv
-from .scratch import scratch_path, stored
+from .scratch import scratch_path, scratch_scope, stored
 from .script import run_sql_script
 from .sinks import write_line_items, write_result, write_sessions
 from . import schemas
@@ -15,6 +15,7 @@ __all__ = [
     "run_sql_script",
     "schemas",
     "scratch_path",
+    "scratch_scope",
     "stored",
     "write_line_items",
     "write_result",

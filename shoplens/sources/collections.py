@@ -14,6 +14,7 @@ from . import schemas
 
 LAYOUTS = ("auto", "array", "lines")
 CHUNKS = "sessions_*.json"
+UNREAD = "_unread"
 
 
 def _struct(schema: str | T.StructType) -> T.StructType:
@@ -67,6 +68,30 @@ def array_elements(text: Column, schema: T.StructType) -> Column:
     )
 
 
+def with_unread(schema: T.StructType) -> T.StructType:
+    """The schema with a column for the text of a file the JSON source gave up on."""
+    return T.StructType([*schema.fields, T.StructField(UNREAD, T.StringType())])
+
+
+def _records(schema: T.StructType, elements: Column) -> Column:
+    """The records of a row of the JSON source: itself, or the elements of a file it gave up on."""
+    names = [f"`{name}`" for name in schema.fieldNames()]
+    return F.when(F.col(UNREAD).isNull(), F.array(F.struct(*names))).otherwise(elements)
+
+
+def session_elements(chunks: DataFrame, file: Column, schema: T.StructType) -> DataFrame:
+    """``load_order`` (file and row), ``element`` and ``record`` of chunks read with `with_unread`.
+
+    A chunk that is no JSON array gives nothing.
+    """
+    readable = F.from_json(UNREAD, "array<string>").isNotNull()
+    elements = F.when(readable, array_elements(F.col(UNREAD), schema))
+    order = F.struct(file.alias("file"), F.monotonically_increasing_id().alias("row"))
+    return chunks.select(
+        order.alias("load_order"), F.posexplode(_records(schema, elements)).alias("element", "record")
+    )
+
+
 def _read_arrays(
     spark: SparkSession, path: str, schema: T.StructType, position: bool = False, **options
 ) -> DataFrame:
@@ -75,15 +100,12 @@ def _read_arrays(
     The reader gives up on a whole file when one element is not an object and hands back its text;
     only such files take the second, element by element parse.
     """
-    broken = "_unread"
     raw = (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(broken, T.StringType())]))
-        .options(multiLine=True, columnNameOfCorruptRecord=broken, **options)
+        spark.read.schema(with_unread(schema))
+        .options(multiLine=True, columnNameOfCorruptRecord=UNREAD, **options)
         .json(path)
     )
-    rows = F.when(F.col(broken).isNull(), F.array(F.struct(*schema.fieldNames()))).otherwise(
-        array_elements(F.col(broken), schema)
-    )
+    rows = _records(schema, array_elements(F.col(UNREAD), schema))
     extra = []
     if position:
         extra = [
@@ -118,15 +140,19 @@ def read_collection(
 
 
 def read_sessions(
-    spark: SparkSession, folder: str, schema: str | T.StructType = schemas.SESSIONS
+    spark: SparkSession,
+    folder: str,
+    schema: str | T.StructType = schemas.SESSIONS_ANY,
+    pattern: str = CHUNKS,
 ) -> DataFrame:
     """All ``sessions_*.json`` chunks of a folder, with ``load_order`` (file name, then position).
 
-    A folder without any is an error.
+    The default schema has every spelling of the fields that flattening accepts.  A folder without any
+    chunk is an error.
     """
-    _find(spark, f"{folder.rstrip('/')}/{CHUNKS}")
+    _find(spark, f"{folder.rstrip('/')}/{pattern}")
     return _read_arrays(
-        spark, folder, _struct(schema), position=True, pathGlobFilter=CHUNKS
+        spark, folder, _struct(schema), position=True, pathGlobFilter=pattern
     )
 
 

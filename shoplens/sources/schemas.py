@@ -1,7 +1,8 @@
 """Schemas of the raw JSON collections, never inferred.
 
 Inference would read the data twice and would turn the cart map into a struct with one field per
-product.  Times stay ISO text here; the plans parse them.
+product.  Times stay ISO text here; the plans parse them.  Prices keep four decimals; a cart is only ever
+written as JSON again, so its prices stay as they were read.
 """
 
 USERS = """
@@ -21,10 +22,10 @@ PRODUCTS = """
 product_id string,
 name string,
 category_id string,
-base_price decimal(12,2),
+base_price decimal(18,4),
 current_stock int,
 is_active boolean,
-price_history array<struct<price:decimal(12,2),date:string>>,
+price_history array<struct<price:decimal(18,4),date:string>>,
 creation_date string
 """
 
@@ -36,10 +37,10 @@ timestamp string,
 items array<struct<
     product_id:string,
     quantity:int,
-    unit_price:decimal(12,2),
-    price:decimal(12,2),
-    subtotal:decimal(14,2),
-    line_total:decimal(14,2)>>,
+    unit_price:decimal(18,4),
+    price:decimal(18,4),
+    subtotal:decimal(18,4),
+    line_total:decimal(18,4)>>,
 subtotal decimal(14,2),
 discount decimal(14,2),
 total decimal(14,2),
@@ -57,7 +58,7 @@ geo_data struct<city:string,state:string,country:string,ip_address:string>,
 device_profile struct<type:string,os:string,browser:string>,
 viewed_products array<string>,
 page_views array<struct<timestamp:string,page_type:string,product_id:string,category_id:string,view_duration:int>>,
-cart_contents map<string,struct<quantity:int,price:decimal(12,2)>>,
+cart_contents map<string,struct<quantity:int,price:double>>,
 conversion_status string,
 referrer string
 """

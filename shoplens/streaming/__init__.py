@@ -1,5 +1,5 @@
 """Incremental loading of session files."""
 
-from .ingest import ingest_files, ingest_sessions
+from .ingest import broken_chunks, ingest_files, ingest_sessions
 
-__all__ = ["ingest_files", "ingest_sessions"]
+__all__ = ["broken_chunks", "ingest_files", "ingest_sessions"]

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 from ..operators import flatten_sessions
 from ..sources import schemas
-from ..sources.collections import CHUNKS, array_elements
+from ..sources.collections import CHUNKS, UNREAD, session_elements, with_unread
+
+FILE = "_file"
+BATCH = "load_batch"
 
 
 def ingest_files(
@@ -49,31 +52,57 @@ def ingest_files(
     query.awaitTermination()
 
 
-def ingest_sessions(spark: SparkSession, folder: str, target: str, checkpoint: str) -> DataFrame:
+def ingest_sessions(
+    spark: SparkSession,
+    folder: str,
+    target: str,
+    checkpoint: str,
+    schema: str | T.StructType = schemas.SESSIONS_ANY,
+    pattern: str = CHUNKS,
+) -> DataFrame:
     """Load new ``sessions_*.json`` chunks as flat sessions and return the table so far.
 
-    A chunk is one JSON array and is read by one task.  ``load_order`` is the time of the batch, which
-    a replayed batch keeps, then the file name and the place in the file.
+    A chunk is one JSON array, which the JSON source parses as it reads it; one task per chunk.  The default
+    schema has every spelling of the fields that flattening accepts.  A chunk that holds elements other than
+    objects is parsed once more, element by element.  A chunk that is no JSON array adds nothing to the table;
+    `broken_chunks` lists it.  Each batch replaces its own folder of the table, so a replayed batch leaves its
+    rows once; progress and table belong together.  ``load_order`` is the number of the batch, the file name
+    and the place in the file.
     """
-    schema = T.StructType.fromDDL(schemas.SESSIONS)
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    chunks = (
+        spark.readStream.schema(with_unread(fields))
+        .options(multiLine=True, columnNameOfCorruptRecord=UNREAD, pathGlobFilter=pattern)
+        .json(folder)
+        .select("*", F.col("_metadata.file_name").alias(FILE))
+    )
 
-    def sessions_of(chunks: DataFrame) -> DataFrame:
-        placed = chunks.select(
-            F.col("_metadata.file_name").alias("file"),
-            F.posexplode(array_elements(F.col("value"), schema)).alias("element", "session"),
-        )
-        order = F.struct(F.current_timestamp().alias("loaded_at"), "file", "element")
-        return flatten_sessions(placed.select("session.*", order.alias("load_order")))
+    def store(batch: DataFrame, number: int) -> None:
+        elements = session_elements(batch, F.col(FILE), fields)
+        order = F.struct(F.lit(number).cast("bigint").alias("batch"), "load_order.*", "element")
+        flat = flatten_sessions(elements.select("record.*", order.alias("load_order")))
+        flat.write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
 
-    ingest_files(
-        spark,
-        folder,
-        "value string",
-        target,
-        checkpoint,
-        file_format="text",
-        pattern=CHUNKS,
-        transform=sessions_of,
-        wholetext=True,
+    query = (
+        chunks.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(target).drop(BATCH)
+
+
+def broken_chunks(spark: SparkSession, folder: str, pattern: str = CHUNKS) -> DataFrame:
+    """The chunks of a folder that are no JSON arrays: ``file`` and how their text begins."""
+    chunks = (
+        spark.read.schema(with_unread(T.StructType.fromDDL("session_id string")))
+        .options(multiLine=True, columnNameOfCorruptRecord=UNREAD, pathGlobFilter=pattern)
+        .json(folder)
+    )
+    # The source wants a field of its own to be asked for beside the text it gave up on.
+    chunks = chunks.where(F.col("session_id").isNull())
+    unread = chunks.select(F.col("_metadata.file_name").alias("file"), F.col(UNREAD).alias("text"))
+    return unread.where(F.col("text").isNotNull() & F.from_json("text", "array<string>").isNull()).select(
+        "file", F.substring("text", 1, 80).alias("begins")
     )
-    return spark.read.parquet(target)

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import cents, dollars
-
 # The columns used, so that no file is opened for its schema.
 SCHEMAS = {
     "customer": "c_custkey bigint, c_name string",
@@ -60,29 +58,57 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines without user and time.
-
-    The unit price is what the line itself says, its amount over its quantity in whole cents, so
-    revenue needs no lookup of prices.
-    """
-    priced = table(spark, folder, "lineitem").select(
+    """Order lines without user, time and unit price."""
+    return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        cents(F.col("l_extendedprice")).alias("amount"),
         F.col("l_extendedprice").alias("subtotal"),
         "l_returnflag",
     )
-    unit = dollars(F.expr("amount div nullif(quantity, 0)"))
-    return priced.withColumn("unit_price", unit).drop("amount")
 
 
-def line_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Order documents holding one line each, ready to be unnested."""
+def priced_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with the retail price of their product as unit price."""
+    prices = products(spark, folder).select("product_id", F.col("base_price").alias("unit_price"))
+    return lines(spark, folder).join(prices, "product_id", "left")
+
+
+def order_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with their items, ready to be unnested; every order again with no items, and with null.
+
+    An order has a handful of lines, so collecting them is bounded.
+    """
     headers = transactions(spark, folder).select("transaction_id", "user_id", "timestamp")
     item = F.struct("product_id", "quantity", "unit_price", "subtotal")
-    documents = lines(spark, folder).select("transaction_id", F.array(item).alias("items"))
-    return documents.join(headers, "transaction_id")
+    items = priced_lines(spark, folder).groupBy("transaction_id").agg(F.collect_list(item).alias("items"))
+    full = items.join(headers, "transaction_id")
+    kind = full.schema["items"].dataType
+    empty = headers.withColumn("items", F.array().cast(kind))
+    missing = headers.withColumn("items", F.lit(None).cast(kind))
+    return full.unionByName(empty).unionByName(missing)
+
+
+def flat_session_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The sessions of `session_documents` with flat fields and other names; some in structs of other names."""
+    nested = session_documents(spark, folder)
+    return nested.select(
+        "session_id",
+        "user_id",
+        F.col("start_time").alias("timestamp"),
+        "end_time",
+        F.col("duration_seconds").alias("duration"),
+        F.col("device_profile").alias("device"),
+        F.col("geo_data.city").alias("city"),
+        F.col("geo_data.state").alias("state"),
+        F.col("geo_data.country").alias("country"),
+        F.col("geo_data.ip_address").alias("ip_address"),
+        F.size("page_views").alias("page_views_count"),
+        "conversion_status",
+        "referrer",
+        "viewed_products",
+        "cart_contents",
+    )
 
 
 def session_documents(spark: SparkSession, folder: str, start: str = "ts") -> DataFrame:

@@ -76,7 +76,7 @@ def test_customer_value_spans(transactions):
 def test_buckets(spark):
     counts = {"none": 1, "two": 2, "three": 3, "nine": 9, "ten": 10, "huge": 12}
     lines = [
-        (f"{user}-{i}", user, f"2025-01-{i + 1:02d}", 100)
+        (f"{user}-{i}", user, f"2025-01-{i + 1:02d}", 10_000)  # parts of a cent
         for user, n in counts.items()
         for i in range(n)
     ]

@@ -12,7 +12,8 @@ from shoplens.functions import (
     timestamp_storage,
     to_number,
 )
-from shoplens.operators import in_time_range, line_total_cents, order_lines, unparsed_timestamps
+from shoplens.operators import in_time_range, line_total_parts, order_lines, unparsed_timestamps
+from shoplens.sources import read_collection, schemas
 from shoplens.plans import (
     category_timeline,
     customer_value,
@@ -85,8 +86,8 @@ def test_defaults_of_missing_line_fields(transactions):
             ],
         )
     )
-    totals = order_lines(docs).select("product_id", line_total_cents().alias("cents"))
-    assert dict(rows(totals)) == {"a": 0, "b": 450, "c": 99, "d": 0, "e": 220}
+    totals = order_lines(docs).select("product_id", line_total_parts().alias("parts"))
+    assert dict(rows(totals)) == {"a": 0, "b": 45000, "c": 9900, "d": 0, "e": 22000}
 
 
 def test_items_may_lack_fields_altogether(spark):
@@ -94,7 +95,17 @@ def test_items_may_lack_fields_altogether(spark):
         "select 't' as transaction_id, array(named_struct('product_id', 'a', 'quantity', 2)) as items"
     )
     lines = order_lines(docs)
-    assert rows(lines.select("product_id", "user_id", line_total_cents())) == [("a", None, 0)]
+    assert rows(lines.select("product_id", "user_id", line_total_parts())) == [("a", None, 0)]
+
+
+def test_prices_below_a_cent_are_not_lost(spark, transactions, products, tmp_path):
+    docs = transactions(tx(1, [item("p1", 1000, 0.004)]))
+    assert top_products(docs, products(*CATALOG)).first().total_revenue == 4.0
+    assert revenue_by_category(docs, products(*CATALOG)).first().revenue == 4.0
+    assert user_segmentation(docs).first().avg_spend == 4.0
+    (tmp_path / "t.json").write_text('{"transaction_id": "t", "items": [{"product_id": "p1", "quantity": 1000, "unit_price": 0.004}]}')
+    read = read_collection(spark, str(tmp_path / "t.json"), schemas.TRANSACTIONS)
+    assert top_products(read, products(*CATALOG)).first().total_revenue == 4.0
 
 
 def test_three_revenues_differ(transactions, products):
@@ -134,6 +145,21 @@ def test_a_date_bound_is_midnight(transactions, typed):
     assert exact.count() == 4
 
 
+@pytest.mark.parametrize("typed", [False, True])
+@pytest.mark.parametrize("storage", ["auto", "date", "string"])
+def test_kind_of_comparison_can_be_chosen(transactions, typed, storage):
+    docs = transactions(
+        tx(1, []), tx(2, [], timestamp="2025-03-01T00:00:00"), tx(3, [], timestamp="2025-03-02T00:00:01")
+    )
+    if typed:
+        docs = docs.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    chosen = in_time_range(docs, "2025-03-01T00:00:00", "2025-03-02T00:00:00", storage=storage)
+    found = {r.transaction_id for r in chosen.collect()}
+    assert len(found) == 1
+    with pytest.raises(ValueError):
+        in_time_range(docs, "2025-03-01", storage="text")
+
+
 def test_bounds_are_checked(transactions):
     docs = transactions(tx(1, [item("p1")]))
     for bad in ("2025-13-01", "yesterday", "2025-01-01T00:00:00+02:00"):

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import rows
-from shoplens import testdata
+from shoplens import plans, testdata
 from shoplens.operators import exact_quantiles, in_time_range, latest_by_key
 from shoplens.plans import baskets, cohort_retention, line_items, top_products
-from shoplens.sources import write_line_items
+from shoplens.sources import read_collection, schemas, write_line_items
 
-QUERIES = entry.queries()
+OPTIONAL = {*entry.training_text.queries(), "pipeline"} if entry.training_text else set()
+QUERIES = {name: query for name, query in entry.queries().items() if name not in OPTIONAL}
 
 
 def plan(df):
@@ -57,7 +58,7 @@ def test_time_bounds_reach_the_scan(spark, folder):
 
 
 def test_time_bounds_prune_months(spark, folder, tmp_path):
-    items = line_items(testdata.line_documents(spark, folder), testdata.products(spark, folder))
+    items = line_items(testdata.order_documents(spark, folder), testdata.products(spark, folder))
     write_line_items(items, str(tmp_path / "items"))
     stored = spark.read.parquet(str(tmp_path / "items"))
     chosen = in_time_range(stored, "1996-02-10", "1996-04-01")
@@ -110,14 +111,29 @@ def test_tied_products_are_limited_before_the_shuffle(spark):
     assert re.search(r"WindowGroupLimit.*Partial", text)
 
 
-def test_names_are_looked_up_for_the_winners_only(spark, folder):
-    df = top_products(testdata.lines(spark, folder), testdata.products(spark, folder), limit=5)
+def test_only_lines_of_the_winners_are_shuffled_by_order(spark, folder):
+    df = top_products(testdata.priced_lines(spark, folder), testdata.products(spark, folder), limit=5)
     text = plan(df)
-    assert "lineitem" not in text  # the ranking is stored, not computed again
-    assert "LeftSemi" in text and "Exchange hashpartitioning" not in text.split("Initial Plan")[0]
+    # The ranking groups by product alone; orders are counted behind the broadcast winners.
+    assert "TakeOrderedAndProject(limit=5" in text and "BroadcastHashJoin" in text
+    ranking = text[text.index("TakeOrderedAndProject(limit=5") :]
+    assert "transaction_id" not in re.search(r"HashAggregate\(keys=\[product_id[^\n]*", ranking).group()
+    assert "SortAggregate" not in text
     assert df.count() == 5
 
 
+def test_the_order_join_carries_one_amount(spark, folder):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["revenue_by_category"](spark, folder))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # What is shuffled towards the order headers, and the month is no text there.
+    below = re.findall(r"Exchange hashpartitioning\(transaction_id[^\n]*\n[^\n]*Project \[([^\n]*)\]", text)
+    assert below and not any("quantity" in p and "unit_price" in p and "revenue" not in p for p in below)
+    assert "date_format" not in text.split("HashAggregate")[-1]
+
+
 def test_large_joins_shuffle_on_their_keys(spark, folder):
     """With broadcasting off the plans still work and agree."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -174,3 +190,18 @@ def test_a_hot_join_key_is_split(spark, tmp_path):
         for name in settings:
             spark.conf.unset(name)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("query", ["user_segmentation", "cohort_retention", "customer_value", "top_products"])
+def test_text_ids_and_times_are_aggregated_by_hash(spark, tmp_path, query):
+    """With the schemas of the raw collections, not the numbers of the test tables."""
+    (tmp_path / "t.json").write_text(
+        '{"transaction_id": "t1", "user_id": "u1", "timestamp": "2025-01-01T00:00:00", "total": 2.0,'
+        ' "items": [{"product_id": "p1", "quantity": 1, "unit_price": 2.0}]}'
+    )
+    orders = read_collection(spark, str(tmp_path / "t.json"), schemas.TRANSACTIONS)
+    catalog = spark.createDataFrame([], schemas.PRODUCTS)
+    args = (orders, catalog) if query == "top_products" else (orders,)
+    df = getattr(plans, query)(*args)
+    assert df.count() == 1
+    assert "SortAggregate" not in plan(df)

@@ -1,7 +1,8 @@
 import json
 
-from shoplens.plans import current_sessions
-from shoplens.streaming import ingest_sessions
+from shoplens.plans import current_sessions, keyless_sessions
+from shoplens.sources import read_sessions
+from shoplens.streaming import broken_chunks, ingest_sessions
 
 
 def chunk(folder, name, ids):
@@ -34,3 +35,55 @@ def test_restarts_neither_skip_nor_repeat(spark, tmp_path):
     assert "load_order" not in newest.columns
     # Sessions 8 to 14 share user and second with 0 to 6 and came later.
     assert sorted(int(r.session_id[1:]) for r in newest.collect()) == [7, *range(8, 15)]
+
+
+FLAT = [
+    {
+        "session_id": f"s{i}",
+        "user_id": "user_000001",
+        "timestamp": f"2025-01-01T00:00:0{i}",
+        "duration": 5,
+        "device_type": "mobile",
+        "city": "Paris",
+        "geo": {"state": "IDF", "country": "FR"},
+        "page_views_count": 3,
+        "cart_contents": {"p1": {"quantity": 1, "price": None}},
+    }
+    for i in range(3)
+]
+
+
+def test_other_layouts_keep_their_fields(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "sessions_0.json").write_text(json.dumps(FLAT))
+    table = ingest_sessions(spark, str(source), str(tmp_path / "out"), str(tmp_path / "progress"))
+    newest = current_sessions(table).orderBy("row_key").collect()
+    assert [r.row_key for r in newest] == [f"user_000001_2025-01-01T00:00:0{i}" for i in range(3)]
+    assert {(r.duration, r.device_type, r.city, r.state, r.page_views_count) for r in newest} == {
+        (5, "mobile", "Paris", "IDF", 3)
+    }
+    assert newest[0].cart_contents == '{"p1":{"quantity":1,"price":null}}'
+    assert read_sessions(spark, str(source)).where("duration = 5 and city = 'Paris'").count() == 3
+
+
+def test_sessions_without_user_or_start_are_counted_not_merged(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    broken = [{"session_id": f"s{i}", "user_id": "user_000001"} for i in range(3)] + [{"session_id": "x"}] * 2
+    (source / "sessions_0.json").write_text(json.dumps(broken + FLAT[:1] * 2))
+    table = ingest_sessions(spark, str(source), str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert keyless_sessions(table).first().sessions == 5
+    assert current_sessions(table).count() == 6
+
+
+def test_a_broken_chunk_is_set_aside(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "sessions_0.json").write_text("[{broken")
+    (source / "sessions_1.json").write_text(json.dumps([*FLAT, 7, None]))
+    args = str(source), str(tmp_path / "out"), str(tmp_path / "progress")
+    assert ingest_sessions(spark, *args).count() == 3
+    chunk(source, "sessions_2.json", range(4))
+    assert ingest_sessions(spark, *args).count() == 7
+    assert [r.file for r in broken_chunks(spark, str(source)).collect()] == ["sessions_0.json"]
