@@ -663,7 +663,7 @@ def oracle_sql() -> dict[str, str]:
         "session_flatten": f"WITH {_SESSIONS} SELECT * FROM sessions",
         "session_flatten_alternatives": f"""
             WITH {_SESSIONS}
-            SELECT * EXCLUDE (nth, cart_contents), replace(cart_contents, '}}', ',"price":null}}') AS cart_contents FROM (
+            SELECT * EXCLUDE (nth, cart_contents), replace(cart_contents, '}}}}', ',"price":null}}}}') AS cart_contents FROM (
                 SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY CAST(session_id AS BIGINT) DESC) AS nth
                 FROM sessions
             ) WHERE nth = 1
