@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 APPROXIMATION = 10_000  # rank error of the first pass is at most rows / APPROXIMATION
@@ -31,18 +31,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row, one ``array<double>`` per column.
 
-    The first pass sketches a narrow bracket of values around each wanted rank.  The second keeps the
-    distinct values inside brackets, no more than about ``4 * rows / approximation`` for each, and
-    folds everything between two brackets into one counter.  A value is one row, however many ranks
-    are wanted.  Values are numbered within their stretch only, and the stretches' totals give the
-    offsets, so neither pass gathers a column in one task; repeated values cost nothing because they
-    are counted before the shuffle.  The least and the greatest value come from the first pass.  A
-    bracket that missed its rank, which the sketch's guarantee rules out, raises.
+    The first pass sketches a narrow bracket of values around each wanted rank.  The second folds
+    everything below a bracket into one counter, drops what lies above, and ranks only the distinct
+    values inside: no more than about ``4 * rows / approximation`` of them.  Neither pass gathers a
+    column in one task, and repeated values cost nothing because they are counted before the
+    shuffle.  A bracket that missed its rank, which the sketch's guarantee rules out, raises.
     """
     numbers = _numbers(df, columns)
     margin = 2.0 / approximation
-    inner = sorted({p for p in probabilities if 0.0 < p < 1.0})
-    edges = [min(max(p + side, 0.0), 1.0) for p in inner or [0.5] for side in (-margin, margin)]
+    edges = [min(max(p + side, 0.0), 1.0) for p in probabilities for side in (-margin, margin)]
     ranks = ", ".join(f"{e}d" for e in edges)
     sketch = numbers.selectExpr(
         *(
@@ -52,72 +49,59 @@ def exact_quantiles(
         )
     )
 
-    def side(c: str, at: int, p: float, low: bool) -> str:
+    def bracket(c: str, i: int, p: float) -> str:
         # A small column is ranked whole; so is the side of a bracket that runs off an end.
-        whole = f"`{c}`.n < {10 * approximation} or {p <= margin if low else p >= 1 - margin}"
-        return f"if({whole}, `{c}`.{'lo' if low else 'hi'}, `{c}`.edges[{2 * at + (not low)}])"
-
-    def bracket(c: str) -> str:
-        lows = ", ".join(side(c, i, p, True) for i, p in enumerate(inner))
-        highs = ", ".join(side(c, i, p, False) for i, p in enumerate(inner))
+        small = f"`{c}`.n < {10 * approximation}"
+        low = f"if({small} or {p <= margin}, `{c}`.lo, `{c}`.edges[{2 * i}])"
+        high = f"if({small} or {p >= 1 - margin}, `{c}`.hi, `{c}`.edges[{2 * i + 1}])"
         return (
-            f"struct('{c}' as metric, `{c}`.n as n, `{c}`.lo as lo, `{c}`.hi as hi, "
-            f"cast(array({lows}) as array<double>) as lows, cast(array({highs}) as array<double>) as highs)"
+            f"struct('{c}' as metric, {i} as slot, {low} as low, {high} as high, "
+            f"{p}d * (`{c}`.n - 1) as position)"
         )
 
-    brackets = sketch.selectExpr(_inline(map(bracket, columns)))
+    brackets = sketch.selectExpr(
+        _inline(bracket(c, i, p) for c in columns for i, p in enumerate(probabilities))
+    )
     values = numbers.selectExpr(_inline(f"struct('{c}' as metric, `{c}` as value)" for c in columns))
-    slots = range(len(inner))
-    stretch = " + ".join(["0", *(f"if(value > highs[{i}], 1, 0)" for i in slots)])
-    within = " or ".join(["false", *(f"value between lows[{i}] and highs[{i}]" for i in slots)])
-    # The broadcast side has a row per column.
-    counted = (
+    # The broadcast side has len(columns) * len(probabilities) rows.
+    inside = (
         values.where("value is not null")
         .join(F.broadcast(brackets), "metric")
-        .selectExpr("metric", "n", "lo", "hi", "value", f"{stretch} as stretch", f"{within} as inside")
-        .groupBy("metric", "n", "lo", "hi", "stretch", "inside", F.expr("if(inside, value, null) as kept"))
-        .agg(F.expr("count(*) as copies"), F.expr("min(value) as at"))
-    )
-    totals = counted.groupBy("metric", "stretch").agg(F.expr("sum(copies) as total"))
-    # At most one row per column and stretch.
-    before = totals.selectExpr(
-        "metric", "stretch", "sum(total) over (partition by metric order by stretch) - total as before"
+        .where("value <= high")
+        .groupBy("metric", "slot", "position", F.expr("if(value >= low, value, null) as value"))
+        .agg(F.expr("count(*) as copies"))
     )
-    ranked = counted.join(F.broadcast(before), ["metric", "stretch"]).selectExpr(
+    ranked = inside.selectExpr(
         "*",
-        """before + sum(copies) over (partition by metric, stretch order by at, inside
+        """sum(copies) over (partition by metric, slot order by value nulls first
            rows between unbounded preceding and current row) as through""",
     )
+    # `lower` and `upper` are the least values with more than that many values up to them.  The row
+    # folded from everything below a bracket has no value and must end before the rank.
+    found = (
+        ranked.groupBy("metric", "slot", "position")
+        .agg(
+            F.expr("min(if(through > floor(position), value, null)) as lower"),
+            F.expr("min(if(through > ceil(position), value, null)) as upper"),
+            F.expr("coalesce(max(if(value is null, through, 0)), 0) as folded"),
+        )
+        .selectExpr(
+            "metric",
+            "slot",
+            """if(upper is not null and folded <= floor(position),
+                  lower + (upper - lower) * (position - floor(position)),
+                  cast(raise_error('quantile bracket missed its rank') as double)) as quantile""",
+        )
+    )
+
+    def slots(c: str) -> str:
+        found_in = (
+            f"max(if(metric = '{c}' and slot = {i}, quantile, null))"
+            for i in range(len(probabilities))
+        )
+        return f"array({', '.join(found_in)}) as `{c}`"
 
-    def reached(i: int, rank: str, only: str) -> str:
-        return f"min(if(through > {rank}({inner[i]}d * (n - 1)){only}, at, null))"
-
-    parts = {"least": "min(lo)", "most": "max(hi)", "size": "min(n)"}
-    for i in slots:
-        for name, rank in (("lower", "floor"), ("upper", "ceil")):
-            parts[f"{name}{i}"] = reached(i, rank, " and inside")
-            parts[f"any_{name}{i}"] = reached(i, rank, "")
-    found = ranked.groupBy("metric").agg(*(F.expr(f"{e} as {name}") for name, e in parts.items()))
-
-    def quantile(p: float) -> str:
-        if not 0.0 < p < 1.0:
-            return "least" if p <= 0.0 else "most"
-        i = inner.index(p)
-        position = f"({p}d * (size - 1))"
-        return f"""if(lower{i} = any_lower{i} and upper{i} = any_upper{i},
-            lower{i} + (upper{i} - lower{i}) * ({position} - floor({position})),
-            cast(raise_error('quantile bracket missed its rank') as double))"""
-
-    rows = found.selectExpr("metric", f"array({', '.join(map(quantile, probabilities))}) as quantiles")
-    return rows.selectExpr(
-        *(f"max(if(metric = '{c}', quantiles, null)) as `{c}`" for c in columns)
-    ).select(*(_full(c, len(probabilities)) for c in columns))
-
-
-def _full(column: str, n: int) -> Column:
-    """The quantiles of a column, nulls for a column without numbers."""
-    empty = F.array_repeat(F.lit(None).cast("double"), n)
-    return F.coalesce(F.col(f"`{column}`"), empty).alias(column)
+    return found.selectExpr(*(slots(c) for c in columns))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
