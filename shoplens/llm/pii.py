@@ -1,11 +1,15 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction beyond them.
 
-Emails, addresses, card and phone numbers that match their patterns are the seeds.  The words beside a seed and the
-shape of the seed make lexical patterns; the same patterns around other identifier-like tokens (four digits or more)
-tie those tokens to the seeds.  Spark scores the graph of patterns and instances in rounds: a pattern is worth the
-mean score of its distinct instances, an unknown instance the mean worth of its patterns, a seed always 1.  A
-pattern counts only with several distinct seeds.  Tokens that enough patterns of high worth surround are reported as
-further spans of the kind ``id``; base spans always stay.
+Emails, addresses, card and phone numbers that match their patterns are the seeds.  The one or two words before and
+after a seed make lexical patterns, whatever the seed looks like (its shape counts only where a line has no word
+on that side); the same patterns around other identifier-like
+tokens (four digits or more) tie those tokens to the seeds, so a token needs no shape that a seed has.  Spark scores
+the graph of patterns and instances in rounds: a pattern is worth the mean score of its distinct instances, an
+unknown instance the mean worth of its patterns, a seed always 1.  A pattern counts only with several distinct seeds.
+An unknown instance that is found in half of its distinct contexts or more is a seed of the next round, so the
+contexts it has besides become patterns too.  Tokens that enough patterns of high worth surround are reported as
+further spans of the kind ``id``; base spans always stay.  A token whose contexts no seed of any round shares, such
+as a secret that always follows the same words, is not found.
 
 Texts are read once.  The graph holds only occurrences of identifiers, and is aggregated by pattern and instance, so
 a pattern or an identifier that a third of all documents share is one row per task before it is shuffled.
@@ -18,7 +22,7 @@ a pattern or an identifier that a third of all documents share is one row per ta
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +48,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~^"
 _SHAPE = re.compile(r"([0-9]+)|([^\W\d_]+)|(.)", re.S)
+_WRAPS = "\"'`()[]{}<>"
 
 Span = tuple[int, int, int]
 
@@ -95,18 +100,27 @@ def shape(identifier: str) -> str:
     return "".join(f"9{len(d)}" if d else "a" if a else o for d, a, o in parts)
 
 
-def _neighbours(text: str, start: int, end: int) -> tuple[str, str]:
-    """The words before and after a span in its line, lower case; empty at the line's ends."""
-    before = text[text.rfind("\n", 0, start) + 1 : start][-80:].split()
+def _plain(words: list[str]) -> list[str]:
+    """Words in lower case without quotes, brackets and the punctuation at their ends, which stays where it is alone."""
+    bare = [w.strip(_WRAPS).lower() for w in words]
+    return [w.strip(_EDGE) or w for w in bare if w]
+
+
+def _neighbours(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """The two words before and the two after a span in its line, the nearest first; empty at the line's ends."""
+    before = _plain(text[text.rfind("\n", 0, start) + 1 : start][-80:].split())[:-3:-1]
     stop = text.find("\n", end)
-    after = text[end : len(text) if stop < 0 else stop][:80].split()
-    return before[-1].lower() if before else "", after[0].lower() if after else ""
+    after = _plain(text[end : len(text) if stop < 0 else stop][:80].split())[:2]
+    return before + [""] * (2 - len(before)), after + [""] * (2 - len(after))
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    kind = shape(text[start:end][:LONGEST_IDENTIFIER])
-    before, after = _neighbours(text, start, end)
-    return [f"{before}\t*\t{kind}", f"*\t{after}\t{kind}", f"{before}\t{after}\t{kind}"]
+    """Words on either side; where a line has none, its end tells too little and the shape is added."""
+    (near, far), (next_, later) = _neighbours(text, start, end)
+    kind = "" if near and next_ else shape(text[start:end][:LONGEST_IDENTIFIER])
+    before = [f"{near}\t*", f"{far} {near}\t*"] if near else [f"\t*\t\t{kind}"]
+    after = [f"*\t{next_}", f"*\t{next_} {later}"] if next_ else [f"*\t\t{kind}"]
+    return [*before, *after, f"{near}\t*\t{next_}" + ("" if near or next_ else f"\t\t\t{kind}")]
 
 
 def identifiers(text: str, known: list[Span]) -> Iterator[tuple[int, int]]:
@@ -188,8 +202,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """pattern and worth, from edges of pattern, instance and seed; each pair occurs once."""
+def scored_patterns(
+    edges: DataFrame,
+    rounds: int = ROUNDS,
+    least_seeds: int = LEAST_SEEDS,
+    confident: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """pattern and worth, from edges of pattern, instance and seed; each pair occurs once.
+
+    ``confident`` gives, from the worths of a round, the instances that count as seeds in the next one.
+    """
     scores = edges.withColumn("score", F.col("seed").cast("double"))
     for round_ in range(rounds):
         worth = scores.groupBy("pattern").agg(
@@ -201,19 +223,33 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, least_seeds: int = L
         if round_ + 1 == rounds:
             return worth
         known = edges.join(worth, "pattern")
-        instances = known.groupBy("instance").agg(F.avg("worth").alias("mean"))
+        instances = known.groupBy("instance").agg(F.avg("worth").alias("mean"), F.max("seed").alias("sure"))
+        if confident:
+            more = confident(worth).select("instance", F.lit(True).alias("more"))
+            instances = instances.join(more, "instance", "left")
+            instances = instances.withColumn("sure", F.col("sure") | F.coalesce("more", F.lit(False)))
         scores = stored(
-            edges.join(instances, "instance").select(
+            edges.drop("seed").join(instances, "instance").select(
                 "pattern",
                 "instance",
-                "seed",
-                F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("mean")).alias("score"),
+                F.col("sure").alias("seed"),
+                F.when(F.col("sure"), F.lit(1.0)).otherwise(F.col("mean")).alias("score"),
             ),
             "pii-scores",
         )
     raise ValueError("rounds must be 1 or more")
 
 
+def found_instances(contexts: DataFrame, worth: DataFrame, least_worth: float, least_patterns: int) -> DataFrame:
+    """Instances found in half of their distinct contexts or more, from contexts of instance and patterns."""
+    good = worth.where(F.col("worth") >= least_worth).select("pattern")
+    each = contexts.select("instance", F.xxhash64("patterns").alias("context"), F.explode("patterns").alias("pattern"))
+    found = each.join(good, "pattern", "left_semi").groupBy("instance", "context").count()
+    found = found.where(F.col("count") >= least_patterns).groupBy("instance").agg(F.count("*").alias("n_found"))
+    all_ = contexts.groupBy("instance").agg(F.count("*").alias("n_contexts"))
+    return found.join(all_, "instance").where("2 * n_found >= n_contexts").select("instance")
+
+
 def personal_data(
     docs: DataFrame,
     rounds: int = ROUNDS,
@@ -225,9 +261,13 @@ def personal_data(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("text_key"), "text")
     scanned = stored(map_batches(texts, _scan, _SCANNED), "pii-scanned")
     seen = scanned.select("doc_id", "text_key", F.explode("seen").alias("s")).select("doc_id", "text_key", "s.*")
+    contexts = stored(seen.where("not seed").select("instance", "patterns").distinct(), "pii-contexts")
     edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed")
     edges = stored(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    good = scored_patterns(edges, rounds, least_seeds).where(F.col("worth") >= least_worth).select("pattern")
+    worth = scored_patterns(
+        edges, rounds, least_seeds, lambda known: found_instances(contexts, known, least_worth, least_patterns)
+    )
+    good = worth.where(F.col("worth") >= least_worth).select("pattern")
     unknown = seen.where("not seed").select("doc_id", "text_key", "start", "stop", F.explode("patterns").alias("pattern"))
     place = ["doc_id", "text_key", "start", "stop"]
     found = unknown.distinct().join(good, "pattern", "left_semi").groupBy(*place).count()

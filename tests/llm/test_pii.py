@@ -72,6 +72,51 @@ def test_contexts_of_seeds_find_unseen_identifiers(make):
     assert all(found[i]["spans"] == found[i]["base"] != "" for i in range(8))
 
 
+SEEDED = [(i, f"ask holder of record user{i}@mail.example.com before closing it", "en", "a") for i in range(6)]
+
+
+def span_of(token, text):
+    start = text.index(token)
+    return f"id:{start}:{start + len(token)}"
+
+
+def test_a_shape_that_no_seed_has_is_found_by_the_words_around_it(make):
+    tokens = ("078-05-1120", "04dbebab91ab85687d33", "AC/5521/77", "83920174")
+    rows = [(20 + i, f"ask holder of record {t} before closing it", "en", "a") for i, t in enumerate(tokens)]
+    rows += [(30, "holder of record: \"555-123-4567\" or some other end", "en", "a")]
+    rows += [(40, "in the year 2024 there were 1999 of them", "en", "a")]
+    found = by_id(pii.personal_data(make(*SEEDED, *rows)))
+    for i, t in enumerate(tokens):
+        assert found[20 + i]["spans"] == span_of(t, rows[i][1])
+    assert found[30]["spans"] == span_of("555-123-4567", rows[4][1])
+    assert found[40]["spans"] == ""
+
+
+def test_found_instances_are_seeds_of_new_patterns(make):
+    tokens = ("AC-1001-7", "AC-1002-7", "AC-1003-7", "AC-1004-7")
+    rows = [(20 + i, f"ask holder of record {t} before closing it", "en", "a") for i, t in enumerate(tokens)]
+    rows += [(30 + i, f"ledger entry named {t} was paid twice", "en", "a") for i, t in enumerate(tokens)]
+    rows += [(40, "ledger entry named 99/8877 was paid twice", "en", "a")]
+    docs = make(*SEEDED, *rows)
+    assert by_id(pii.personal_data(docs))[40]["spans"] == span_of("99/8877", rows[-1][1])
+    assert by_id(pii.personal_data(docs, rounds=1))[40]["spans"] == ""
+
+
+def test_an_instance_found_in_few_of_its_contexts_is_no_seed(make):
+    years = ("1995", "1996", "1997", "1998")
+    rows = [(20 + i, f"ask holder of record {y} before closing it", "en", "a") for i, y in enumerate(years)]
+    rows += [
+        (100 + 10 * k + i, f"in {word} the year {y} it rained", "en", "a")
+        for k, word in enumerate(("fact", "short", "total"))
+        for i, y in enumerate(years)
+    ]
+    rows += [(300 + i, f"back at {w} {y} {w} again", "en", "a") for i, y in enumerate(years) for w in ("home", "sea")]
+    rows += [(200, "in fact the year 2024 it rained", "en", "a")]
+    found = by_id(pii.personal_data(make(*SEEDED, *rows)))
+    assert found[20]["spans"] != ""
+    assert found[200]["spans"] == ""
+
+
 def brute_worth(edges, rounds, least):
     score = {e[:2]: 1.0 if e[2] else 0.0 for e in edges}
     for round_ in range(rounds):
