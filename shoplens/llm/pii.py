@@ -14,6 +14,9 @@ as a secret that always follows the same words, is not found.
 Texts are read once.  The graph holds only occurrences of identifiers, and is aggregated by pattern and instance, so
 a pattern or an identifier that a third of all documents share is one row per task before it is shuffled.
 
+* identifiers are cut out at white space and at quotes, brackets and ``, = : ; & ? ! |``, at the characters of scripts
+  without spaces and at their punctuation, so minified JSON, CSV lines and URLs are read too.  Groups of hex digits
+  between colons stay together.  Ends are code points, and a token may have any length.
 * null and empty text: no spans.  Very long texts are read in linear time.
 * null doc_id and repeated rows: rows equal in doc_id and text get equal results; each is kept.
 * an empty table gives an empty result.  Other columns are neither read nor needed, and may have any name.
@@ -21,6 +24,7 @@ a pattern or an identifier that a third of all documents share is one row per ta
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -48,7 +52,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]++")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&=~^"
 _SHAPE = re.compile(r"([0-9]+)|([^\W\d_]+)|(.)", re.S)
-_WRAPS = "\"'`()[]{}<>"
+# Scripts written without spaces, and punctuation beyond ASCII.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WIDE = "\u00ab\u00bb\u2018-\u201f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_MARKS = r"\s\"'`,=:;&()\[\]{}<>" + _WIDE
+_CUT = re.compile(rf"(?!(?<=[0-9])\)[0-9])[{_MARKS}?!|{_UNSPACED}]")
+_SPACE = re.compile(r"\s")
+_GROUPED = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}::?){2,}+[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_WORD = re.compile(f"[{_UNSPACED}]|[^{_MARKS}{_UNSPACED}]+")
 
 Span = tuple[int, int, int]
 
@@ -100,17 +111,17 @@ def shape(identifier: str) -> str:
     return "".join(f"9{len(d)}" if d else "a" if a else o for d, a, o in parts)
 
 
-def _plain(words: list[str]) -> list[str]:
-    """Words in lower case without quotes, brackets and the punctuation at their ends, which stays where it is alone."""
-    bare = [w.strip(_WRAPS).lower() for w in words]
-    return [w.strip(_EDGE) or w for w in bare if w]
+def _plain(text: str) -> list[str]:
+    """Words in lower case, cut at quotes and brackets too; of the punctuation at their ends only what stands alone."""
+    return [w.strip(_EDGE).lower() or w for w in _WORD.findall(text)]
 
 
 def _neighbours(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """The two words before and the two after a span in its line, the nearest first; empty at the line's ends."""
-    before = _plain(text[text.rfind("\n", 0, start) + 1 : start][-80:].split())[:-3:-1]
-    stop = text.find("\n", end)
-    after = _plain(text[end : len(text) if stop < 0 else stop][:80].split())[:2]
+    low, high = max(0, start - 80), min(len(text), end + 80)
+    before = _plain(text[max(low, text.rfind("\n", low, start) + 1) : start])[:-3:-1]
+    stop = text.find("\n", end, high)
+    after = _plain(text[end : high if stop < 0 else stop])[:2]
     return before + [""] * (2 - len(before)), after + [""] * (2 - len(after))
 
 
@@ -123,29 +134,63 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return [*before, *after, f"{near}\t*\t{next_}" + ("" if near or next_ else f"\t\t\t{kind}")]
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A token without the punctuation at its ends."""
+    token = text[start:end]
+    return start + len(token) - len(token.lstrip(_EDGE)), end - (len(token) - len(token.rstrip(_EDGE)))
+
+
+def _tokens(text: str, cut: re.Pattern, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """The stretches between two cuts that hold digits and lie between two places."""
+    digits = _DIGITS.search(text, low, high)
+    while digits:
+        start, end = digits.span()
+        while start > low and not cut.match(text, start - 1):
+            start -= 1
+        found = cut.search(text, end, high)
+        low = end = found.start() if found else high
+        yield start, end
+        digits = _DIGITS.search(text, low, high)
+
+
+def _pieces(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """The tokens of a stretch without white space; groups of hex digits between colons are one."""
+    for m in _GROUPED.finditer(text, low, high):
+        yield from _tokens(text, _CUT, low, m.start())
+        yield m.span()
+        low = m.end()
+    yield from _tokens(text, _CUT, low, high)
+
+
+def _n_digits(token: str) -> int:
+    return sum(map(len, _DIGITS.findall(token)))
+
+
 def identifiers(text: str, known: list[Span]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens outside the known spans."""
+    """Identifier-like tokens outside the known spans, cut at white space and the punctuation between values.
+
+    Where no piece has enough digits, the token between white space is taken whole if it is not too long.
+    """
     taken = sorted((start, end) for _, start, end in known)
-    done = k = 0
-    for m in _DIGITS.finditer(text):
-        if m.start() < done:
+    k = 0
+    for low, high in _tokens(text, _SPACE, 0, len(text)):
+        if _n_digits(text[low:high]) < LEAST_DIGITS:
             continue
-        start, end = m.span()
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        done = end
-        token = text[start:end]
-        start += len(token) - len(token.lstrip(_EDGE))
-        end -= len(token) - len(token.rstrip(_EDGE))
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        # Spans of different kinds may overlap, so the ones after the first are looked at as well.
-        if any(s < end and e > start for s, e in taken[k : k + 8]):
-            continue
-        if end - start <= LONGEST_IDENTIFIER and sum(c in "0123456789" for c in text[start:end]) >= LEAST_DIGITS:
-            yield start, end
+        pieces = [p for p in _pieces(text, low, high) if _n_digits(text[p[0] : p[1]]) >= LEAST_DIGITS]
+        if not pieces and high - low <= LONGEST_IDENTIFIER:
+            pieces = [(low, high)]
+        for piece in pieces:
+            start, end = _trimmed(text, *piece)
+            while k < len(taken) and taken[k][1] <= start:
+                k += 1
+            # Spans of different kinds may overlap, so the ones after the first are looked at as well.
+            if not any(s < end and e > start for s, e in taken[k : k + 8]):
+                yield start, end
+
+
+def _instance(token: str) -> str:
+    """What stands for a token in the graph: itself, or its hash if it is long."""
+    return token if len(token) <= LONGEST_IDENTIFIER else hashlib.sha256(token.encode()).hexdigest()
 
 
 def joined(spans: list[Span]) -> str:
@@ -183,7 +228,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     {
                         "start": s,
                         "stop": e,
-                        "instance": text[s:e][:LONGEST_IDENTIFIER],
+                        "instance": _instance(text[s:e]),
                         "seed": seed,
                         "patterns": patterns(text, s, e),
                     }

@@ -117,6 +117,33 @@ def test_an_instance_found_in_few_of_its_contexts_is_no_seed(make):
     assert found[200]["spans"] == ""
 
 
+def test_identifiers_are_cut_out_of_text_without_spaces(make):
+    def tokens(text):
+        return [text[s:e] for s, e in pii.identifiers(text, pii.base_spans(text))]
+
+    filler = "".join(f'"k{c}":"v",' for c in "abcdefghij" * 10)
+    assert tokens("{" + filler + '"acct":"99887-766","ssn":"078-05-1120"}') == ["99887-766", "078-05-1120"]
+    assert tokens("Smith,78-4471,2031/5,x;1234") == ["78-4471", "2031/5", "1234"]
+    assert tokens("http://a.b/c?id=88112233&t=ab12cd34#x") == ["88112233", "ab12cd34#x"]
+    assert tokens("电话：5551234567，账号99887766号") == ["5551234567", "99887766"]
+    assert tokens("é😀[4471]") == ["4471"]
+    long = "a1" * 5000
+    assert tokens(f"x={long};") == [long]
+    # What was one token before and has no piece of its own stays one.
+    assert tokens("00:1B:44:11:3A:B7 1,234,567 (555)123-4567") == ["00:1B:44:11:3A:B7", "1,234,567", "555)123-4567"]
+
+    rows = [(i, f'{{"n":{i},"holder":"user{i}@mail.example.com","open":true}}', "en", "a") for i in range(6)]
+    rows += [(20, '{"n":7,"holder":"DE-4471-0093","open":true}' + "é" * 300, "en", "a")]
+    found = by_id(pii.personal_data(make(*rows)))
+    assert found[20]["spans"] == span_of("DE-4471-0093", rows[-1][1])
+
+
+def test_long_lines_of_many_identifiers_take_linear_time():
+    for text in ("1234," * 60_000, "1:" * 150_000, "1)" * 150_000, "12:34:" * 50_000, "1" * 300_000 + ":"):
+        for s, e in list(pii.identifiers(text, [])):
+            pii.patterns(text, s, e)
+
+
 def brute_worth(edges, rounds, least):
     score = {e[:2]: 1.0 if e[2] else 0.0 for e in edges}
     for round_ in range(rounds):
