@@ -4,6 +4,7 @@ A fingerprint keeps every hash of a word shingle below a fixed fraction of the h
 does not depend on the size of the text, so fingerprints merge by union and estimate the containment of a short
 document in a long one as well as that of equals.  A text whose hashes all lie above the threshold keeps its least
 one as a stand-in; being above the threshold, a stand-in is recognised, and a merge with kept hashes drops it.
+The containment of short texts is an estimate from few hashes; README gives its error by size.
 
 For the comparison of neighbours, documents are dealt into cells of ascending doc_id, each cell is sorted, and the
 first document of a cell is also sent to the cell before it, so that the next document is at hand everywhere.  The
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_column, held, map_batches, stored
 
 SHINGLE = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 2
 CELL = 512
 MOST_CELLS = 8192
 QUANTILES = 64

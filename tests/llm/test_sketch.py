@@ -39,6 +39,20 @@ def test_containment_of_unequal_documents():
     assert abs(found - exact) < 0.12
 
 
+def test_error_against_full_shingle_sets_by_size():
+    for n in (16, 64, 256, 1024):
+        errors = []
+        for k in range(300):
+            text = " ".join(f"w{k}x{i}" for i in range(n + s.SHINGLE - 1))
+            other = s.edited(text, " ".join(f"v{k}x{i}" for i in range(n + s.SHINGLE - 1)))
+            a, b = full(text), full(other)
+            exact = len(a & b) / min(len(a), len(b))
+            found = s.containment(*(s.sketch(WORDS, t, s.SHINGLE, s.FRACTION) for t in (text, other)))
+            errors.append(abs(found - exact))
+        # A share of n / 2 draws is off by 0.4 / sqrt(n / 2) in the mean, at most.
+        assert np.mean(errors) < 0.4 / np.sqrt(n / 2), (n, np.mean(errors))
+
+
 def test_fingerprints_keep_all_below_the_threshold_and_merge():
     a, b = (" ".join(f"{c}{i}" for i in range(500)) for c in "ab")
     limit = int(s.FRACTION * 2**64)
