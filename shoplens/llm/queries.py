@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, langid, linededup, mix, neardup, pii, quality, shards, sketch
+from . import align, bpe, counts, langid, linededup, mix, neardup, pii, quality, shards, sketch
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,12 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).drop("char_distance", "word_distance")
 
 
+def op13_align(spark: SparkSession, folder: str) -> DataFrame:
+    found = align.align_tokens(table(spark, folder, "documents"), keep=["doc_id"], digest=True)
+    counts_of = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return found.select("row.doc_id", *counts_of, F.col("groups").alias("groups_sha256"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_mix_sources,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_fingerprints,
         op10_quality,
+        op13_align,
     ]
     return {query.__name__: query for query in found}
 
