@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, counts, langid, linededup, mix, neardup, pii, quality, shards, sketch
+from . import align, bpe, conversations, counts, langid, linededup, mix, neardup, pii, quality, shards, sketch, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,16 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents")).drop("char_distance", "word_distance")
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("row.doc_id", "held_out", "score", "predicted")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    table_ = table(spark, folder, "conversations")
+    return conversations.repair_conversations(conversations.damage(table_), table_)
+
+
 def op13_align(spark: SparkSession, folder: str) -> DataFrame:
     found = align.align_tokens(table(spark, folder, "documents"), keep=["doc_id"], digest=True)
     counts_of = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -85,6 +95,8 @@ def queries() -> dict[str, Query]:
         op8_near_duplicates,
         op9_fingerprints,
         op10_quality,
+        op11_toxicity,
+        op12_conversation_repair,
         op13_align,
     ]
     return {query.__name__: query for query in found}
@@ -97,6 +109,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": _LINES,
         "op8_near_duplicates": _NEAR,
         "op10_quality": _QUALITY,
+        "op12_conversation_repair": _REPAIR,
     }
 
 
@@ -289,3 +302,99 @@ def _quality_sql() -> str:
 
 
 _QUALITY = _quality_sql()
+
+
+_REPAIR = f"""
+    WITH RECURSIVE named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                              lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+        FROM conversations
+    ),
+    summed AS (
+        SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda crc, byte:
+                   list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i:
+                       CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS kind
+        FROM named
+    ),
+    turns AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM summed WHERE kind <> 0
+    ),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM turns
+    ),
+    judged AS (
+        SELECT *, left(role, 1) AS initial,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+               CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault
+        FROM placed
+    ),
+    moves(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+    inserts(p, q, cost, audit) AS (
+        VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'),
+               (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 3, 3, 'I'), (3, 2, 3, 'I')
+    ),
+    edits AS (
+        SELECT conv_id, pos, p, p AS q, 4 AS cost, 'D' AS audit FROM judged, (VALUES (0), (1), (2), (3)) states(p)
+        UNION ALL
+        SELECT conv_id, pos, p, q, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K'
+        FROM judged JOIN moves USING (initial) WHERE fault IN ('none', 'truncated')
+        UNION ALL
+        SELECT conv_id, pos, p, q, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R'
+        FROM judged, moves WHERE fault IN ('none', 'truncated') AND moves.initial <> 's'
+    ),
+    steps(conv_id, pos, state, cost, audit) AS (
+        SELECT DISTINCT conv_id, 0::BIGINT, q, i.cost, i.audit FROM judged, inserts i WHERE p = 0
+        UNION ALL
+        SELECT conv_id, pos, state, best.cost, best.audit
+        FROM (
+            SELECT s.conv_id, e.pos, i.q AS state,
+                   min({{'cost': s.cost + e.cost + i.cost, 'audit': s.audit || e.audit || i.audit}}) AS best
+            FROM steps s JOIN edits e ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND e.pos = s.pos + 1 AND e.p = s.state
+                 JOIN inserts i ON i.p = e.q
+            GROUP BY s.conv_id, e.pos, i.q
+        )
+    ),
+    counted AS (
+        SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, max(pos) AS n,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM judged GROUP BY conv_id
+    ),
+    best AS (
+        SELECT c.conv_id, min({{'cost': s.cost, 'audit': s.audit}}) AS best
+        FROM counted c JOIN steps s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = c.n AND s.state IN (0, 3)
+        GROUP BY c.conv_id
+    ),
+    letters AS (
+        SELECT conv_id, at, letter,
+               sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY at) AS pos,
+               sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY at) AS place
+        FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS at, audit[at] AS letter FROM best)
+    ),
+    kept AS (
+        SELECT l.conv_id, l.place, l.letter, j.role, CASE WHEN l.letter = 'I' THEN '' ELSE j.text END AS text,
+               max(CASE WHEN l.place = 1 AND l.letter = 'K' AND j.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system
+        FROM letters l LEFT JOIN judged j ON l.conv_id IS NOT DISTINCT FROM j.conv_id AND l.pos = j.pos
+        WHERE l.letter <> 'D'
+    ),
+    repaired AS (
+        SELECT conv_id, sha256(string_agg(
+                   CASE WHEN letter = 'K' THEN role WHEN (place + system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                   chr(10) ORDER BY place)) AS digest
+        FROM kept GROUP BY conv_id
+    )
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+           coalesce(best.audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+         LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+         LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+         LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
