@@ -54,7 +54,8 @@ A_PATH = public_tokenizers.path("byte_bpe_50k.json")
 B_PATH = public_tokenizers.path("piece_bpe_32k.model")
 RADIX_BITS = 6
 LONGEST_HELD = 64
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 250_000
+TOGETHER = 2000
 
 _SPACE_AFTER_SPACE = re.compile(r"\s[ \n]")
 _WORD_END = re.compile(r"(?<=\S)(?=[ \n])")
@@ -82,6 +83,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -91,9 +93,9 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = _byte_alphabet()
         self.bytes_a = [b""] * self.a.get_vocab_size()
+        special = set(self.a.get_added_tokens_decoder())
         for entry, number in self.a.get_vocab().items():
-            known = all(c in alphabet for c in entry)
-            self.bytes_a[number] = bytes(alphabet[c] for c in entry) if known else entry.encode()
+            self.bytes_a[number] = entry.encode() if number in special else bytes(alphabet[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces
@@ -105,8 +107,18 @@ class Aligner:
         if self.a_bits + self.b_bits > 32:
             raise ValueError("the ids of a pair must fit 32 bits together")
         self.words: dict[str, tuple | None] = {}
-
-    def key(self, a: int, b: int) -> int:
+        self.width_a = np.array([len(token) for token in self.bytes_a])
+        self.width_b = np.array([len(token) for token in self.bytes_b])
+        #: Ids as text with the sign that follows: within the side of a group, and behind it.
+        self.written = [f"{i}{sign}" for i in range(len(self.bytes_a)) for sign in ",|"]
+        self.written += [f"{i}{sign}" for i in range(len(self.bytes_b)) for sign in ",;"]
+        # The same merges by rank, which are those of the vocabulary's numbers, and faster on short words.
+        ranks = {token: number for number, token in enumerate(self.bytes_a) if number not in special}
+        self.ranks = tiktoken.Encoding(
+            "side-a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+
+    def key(self, a, b):
         """A pair as a number that orders by radix, then B, then A."""
         low = b & ((1 << RADIX_BITS) - 1)
         return ((low << (self.b_bits - RADIX_BITS) | b >> RADIX_BITS) << self.a_bits) | a
@@ -134,38 +146,71 @@ class Aligner:
         return found
 
     def learn(self, words: list[str]) -> None:
-        """Align words not met before."""
-        encoded_a = self.a.encode_batch(words, add_special_tokens=False)
-        # B adds a space.  A word after a line break has none, and there the added one stays a piece of its own.
-        encoded_b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
-        for word, of_a, ids_b in zip(words, encoded_a, encoded_b, strict=True):
-            if word == " ":  # B adds no space to an empty word
-                ids_b = [self.b.piece_to_id("▁")]
-            elif word[0] != " ":
-                ids_b = ids_b[1:]
-            self.words[word] = self.align(word, of_a.ids, ids_b)
-
-    def align(self, word: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """Groups as text, links as packed keys, and the numbers of tokens; None if the bytes differ."""
-        tokens_a = [self.bytes_a[i] for i in ids_a]
-        tokens_b = [self.bytes_b[i] for i in ids_b]
-        raw = word.encode()
-        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-            return None
-        groups, keys = [], []
-        i = j = start_a = start_b = end_a = end_b = 0
-        while i < len(ids_a):
-            end_a += len(tokens_a[i])
-            i += 1
-            while end_b < end_a:
-                end_b += len(tokens_b[j])
-                j += 1
-            if end_a == end_b:
-                side_a, side_b = ids_a[start_a:i], ids_b[start_b:j]
-                groups.append(f"{','.join(map(str, side_a))}|{','.join(map(str, side_b))}")
-                keys.append(self.key(side_a[-1], side_b[-1]))
-                start_a, start_b = i, j
-        return ";".join(groups), np.array(keys, np.uint32).tobytes(), len(ids_a), len(ids_b)
+        """Align words not met before: many at a time, as they would stand in a text."""
+        # A text's last word may end with white space and would run into the next one; so it stands alone.
+        usual = [word for word in words if len(word) <= LONGEST_HELD and not word[-1].isspace()]
+        # B adds a space to a text, so the first word of one has to begin with it.
+        usual.sort(key=lambda word: word[0] != " ")
+        for at in range(0, len(usual), TOGETHER):
+            some = usual[at : at + TOGETHER]
+            whole = "".join(some)
+            if some[0][0] != " " or not self._align(some, self.ranks.encode_ordinary(whole), self.b.encode(whole[1:])):
+                for word in some:
+                    self._alone(word)
+        for word in words:
+            if word not in self.words:
+                self._alone(word)
+
+    def _alone(self, word: str) -> None:
+        ids_a = self.a.encode(word, add_special_tokens=False).ids
+        if word == " ":  # B adds no space to an empty text
+            ids_b = [self.b.piece_to_id("▁")]
+        elif word[0] == " ":
+            ids_b = self.b.encode(word[1:])
+        else:  # the space B adds stays a piece of its own before a line break
+            ids_b = self.b.encode(word)[1:]
+        if not self._align([word], ids_a, ids_b):
+            self.words[word] = None
+
+    def _align(self, words: list[str], ids_a: list[int], ids_b: list[int]) -> bool:
+        """Remember the groups and links of words that stand one after the other; False if the bytes differ.
+
+        What is kept of a word: its groups as text, each with a semicolon behind it, its links as packed keys, and
+        its numbers of tokens.
+        """
+        raws = [word.encode() for word in words]
+        whole = b"".join(raws)
+        for ids, known in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            if b"".join([known[i] for i in ids]) != whole:
+                return False
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        ends = np.cumsum([len(raw) for raw in raws])
+        of_word = [np.searchsorted(side, ends) for side in (ends_a, ends_b)]
+        if any((side[np.minimum(at, len(side) - 1)] != ends).any() for side, at in zip((ends_a, ends_b), of_word, strict=True)):
+            return False
+        cuts, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        keys = self.key(a[last_a], b[last_b]).astype(np.uint32)
+        # Tokens in the order of the text: those of A, then those of B of each group, each with the sign behind it.
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        until_a, until_b = last_a + 1, np.r_[0, last_b + 1]
+        places_a = np.arange(len(a)) + until_b[group_a]
+        places_b = np.arange(len(b)) + until_a[group_b]
+        signs = np.empty(len(a) + len(b), np.int64)
+        signs[places_a] = a * 2
+        signs[places_a[last_a]] += 1
+        signs[places_b] = 2 * len(self.bytes_a) + b * 2
+        signs[places_b[last_b]] += 1
+        written = [self.written[sign] for sign in signs.tolist()]
+        links = keys.tobytes()
+        n_a, n_b = of_word[0] + 1, of_word[1] + 1
+        upto = np.searchsorted(cuts, ends) + 1
+        start = start_a = start_b = 0
+        for word, end, end_a, end_b in zip(words, upto.tolist(), n_a.tolist(), n_b.tolist(), strict=True):
+            groups = "".join(written[start_a + start_b : end_a + end_b])
+            self.words[word] = (groups, links[4 * start : 4 * end], end_a - start_a, end_b - start_b)
+            start, start_a, start_b = end, end_a, end_b
+        return True
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, np.ndarray]]:
         """Tokens of A and of B, the groups and the links' keys of each text."""
@@ -181,7 +226,7 @@ class Aligner:
                 yield 0, 0, "", np.empty(0, np.uint32)
                 continue
             groups, keys, n_a, n_b = zip(*found, strict=True)
-            yield sum(n_a), sum(n_b), ";".join(groups), np.frombuffer(b"".join(keys), np.uint32)
+            yield sum(n_a), sum(n_b), "".join(groups)[:-1], np.frombuffer(b"".join(keys), np.uint32)
         for word in missing:
             if len(word) > LONGEST_HELD:
                 del self.words[word]

@@ -58,9 +58,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
         .withColumn("open", F.sum("weight").over(everything) - F.sum("weight").over(by_ratio) + F.col("weight"))
         .withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
         .withColumn("level", (F.col("budget") - F.col("below")) / F.col("open"))
+        .withColumn("at", F.row_number().over(by_ratio))
         .withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
     )
-    first = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)
+    # Of sources with equal ratios the first place counts, whose limit is not yet taken off the budget.
+    first = F.min(F.when(F.col("fits"), F.struct("at", "level"))).over(everything)
     level = F.coalesce(first["level"], F.lit(float("inf")))
     return ranked.select(
         "source", "n", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target")

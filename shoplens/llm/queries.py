@@ -114,7 +114,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 _MIX = f"""
-    WITH draws AS (
+    WITH RECURSIVE draws AS (
         SELECT doc_id, source,
                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
                (CAST('0x' || substr(md5('{mix.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
@@ -127,15 +127,19 @@ _MIX = f"""
                [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
         FROM sizes
     ),
-    levels AS (
-        SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER ratio - cap))
-                  / (sum(weight) OVER () - sum(weight) OVER ratio + weight) AS level
-        FROM weighed WINDOW ratio AS (ORDER BY cap / weight, source NULLS LAST)
+    levels(step, level) AS (
+        SELECT 0, 1.5::DOUBLE * sum(source_size) / sum(weight) FROM weighed
+        UNION ALL
+        SELECT step + 1, (
+            SELECT (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN cap < weight * level THEN cap ELSE 0 END))
+                   / nullif(sum(CASE WHEN cap < weight * level THEN 0 ELSE weight END), 0)
+            FROM weighed)
+        FROM levels WHERE step < (SELECT count(*) FROM weighed) AND level IS NOT NULL
     ),
     targets AS (
-        SELECT source, n, source_size, least(cap, weight * coalesce(
-            (SELECT arg_min(level, cap / weight) FROM levels WHERE level * weight <= cap), 'inf'::DOUBLE)) AS target
-        FROM levels
+        SELECT source, n, source_size,
+               least(cap, weight * coalesce((SELECT arg_max(coalesce(level, 'inf'::DOUBLE), step) FROM levels), 'inf'::DOUBLE)) AS target
+        FROM weighed
     ),
     placed AS (
         SELECT d.*, n, source_size, target,

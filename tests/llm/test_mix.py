@@ -16,6 +16,33 @@ def test_targets_share_by_weight_up_to_the_limit(make):
     assert found["b"]["target"] == pytest.approx(80)
 
 
+@pytest.mark.parametrize(
+    ("words", "weights", "targets"),
+    [
+        ((1000, 1000), (1, 1), (1500, 1500)),
+        ((3000, 1000, 2000), (3, 1, 2), (4500, 1500, 3000)),
+        ((100, 100, 5000), (1, 1, 1), (200, 200, 7400)),
+        ((10, 10, 10, 10), (3, 1, 2), (20, 20 / 3, 40 / 3, 20)),
+    ],
+)
+def test_targets_of_sources_that_tie(make, words, weights, targets):
+    """By the definition: what is over a limit is shared again until no source is above its own."""
+    rows = [(i * 100 + k, "w " * (n // 10), "en", f"s{i}") for i, n in enumerate(words) for k in range(10)]
+    found = {r["source"]: r["target"] for r in plan(make(*rows), weights=weights)}
+    limits, shares, full = [2.0 * n for n in words], [weights[i % len(weights)] for i in range(len(words))], set()
+    while True:
+        left = 1.5 * sum(words) - sum(limits[i] for i in full)
+        open_ = [i for i in range(len(words)) if i not in full]
+        level = left / sum(shares[i] for i in open_) if open_ else 0
+        above = {i for i in open_ if shares[i] * level > limits[i]}
+        if not above:
+            break
+        full |= above
+    wanted = [limits[i] if i in full else shares[i] * level for i in range(len(words))]
+    assert wanted == pytest.approx(targets)
+    assert [found[f"s{i}"] for i in range(len(words))] == pytest.approx(wanted)
+
+
 def test_taken_words_come_near_targets(documents):
     by = {}
     for r in plan(documents):
