@@ -377,10 +377,10 @@ _REPAIR = f"""
         GROUP BY c.conv_id
     ),
     letters AS (
-        SELECT conv_id, at, letter,
-               sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY at) AS pos,
-               sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY at) AS place
-        FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS at, audit[at] AS letter FROM best)
+        SELECT conv_id, letter,
+               sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY nth) AS pos,
+               sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY nth) AS place
+        FROM (SELECT conv_id, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS nth, audit[nth] AS letter FROM best)
     ),
     kept AS (
         SELECT l.conv_id, l.place, l.letter, j.role, CASE WHEN l.letter = 'I' THEN '' ELSE j.text END AS text,
