@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens import functions as fn
@@ -13,15 +13,21 @@ from shoplens import plans
 from shoplens import testdata as data
 from shoplens.session import tune
 from shoplens.sources import (
+    first_ranges,
     load_collection,
+    merge_ranges,
+    read_array_blocks,
     read_collection,
+    read_ranges,
     read_result_csv,
     run_sql_script,
     scratch_path,
+    write_ragged,
+    write_ranges,
     write_result,
     write_sessions,
 )
-from shoplens.streaming import ingest_files, ingest_sessions
+from shoplens.streaming import ingest_files, ingest_growing_sessions, ingest_sessions
 
 try:  # an optional part of the library, with its pipeline
     import corpus_pipeline
@@ -194,12 +200,23 @@ def session_flatten_alternatives(spark: SparkSession, folder: str) -> DataFrame:
     return plans.current_sessions(loaded)
 
 
-def _write_arrays(df: DataFrame, path: str, key: str, pretty: bool = False) -> None:
-    """JSON array files of about a thousand objects."""
-    text = F.to_json(F.collect_list(F.struct("*")), {"pretty": str(pretty).lower()})
-    pieces = F.floor(F.col(key).cast("bigint") / 1000).alias("piece")
-    arrays = df.groupBy(pieces).agg(text.alias("value")).select("value")
-    arrays.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+def _write_arrays(
+    df: DataFrame, path: str, key: str, pretty: bool = False, ordered: bool = False, by_piece: bool = False
+) -> None:
+    """JSON array files of about a thousand objects, in order of the key or as they come."""
+    number = F.col(key).cast("bigint")
+    listed = F.collect_list(F.struct("*"))
+    if ordered:
+        placed = F.collect_list(F.struct(number.alias("at"), F.struct("*").alias("object")))
+        placed = F.array_sort(placed, lambda a, b: F.signum(a["at"] - b["at"]).cast("int"))
+        listed = F.transform(placed, lambda one: one["object"])
+    text = F.to_json(listed, {"pretty": str(pretty).lower()})
+    arrays = df.groupBy(F.floor(number / 1000).alias("piece")).agg(text.alias("value"))
+    writer = arrays.write.mode("append").option("maxRecordsPerFile", 1)
+    if by_piece:
+        writer.partitionBy("piece").text(path)
+    else:
+        arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
 
 
 def session_row_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,6 +233,34 @@ def session_upsert_latest(spark: SparkSession, folder: str) -> DataFrame:
     return plans.current_sessions(kept)
 
 
+def session_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Three loads whose keys collide, put one after the other into a table in ranges of its key."""
+    sessions = _sessions(spark, folder, "date_trunc('day', ts)")
+    loads = sessions.select("row_key", "session_id", "device_type", "duration", "load_order")
+    path = scratch_path(spark, "session-ranges")
+    last = data.table(spark, folder, "events").agg(F.max("event_id")).first()[0] or 0
+    third = F.floor(F.col("load_order") * 3 / (last + 1))
+    write_ranges(plans.current_sessions(loads.where(third == 0)), path, 24)
+    for part in (1, 2):
+        merge_ranges(spark, path, loads.where(third == part), unkeyed=~plans.has_key())
+    return read_ranges(spark, path).drop("key_range")
+
+
+def converted_sessions_in_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The first converted sessions, from the first ranges of a stored table."""
+    path = scratch_path(spark, "session-ranges")
+    write_ranges(_sessions(spark, folder).drop("load_order"), path, 64)
+    wanted = F.col("conversion_status") == "converted"
+    return plans.converted_sessions(first_ranges(spark, path, wanted, 10))
+
+
+def user_sessions_in_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """One user's sessions, from the ranges that can hold them."""
+    path = scratch_path(spark, "session-ranges")
+    write_ranges(_sessions(spark, folder).drop("load_order"), path, 64)
+    return plans.user_sessions(read_ranges(spark, path, "user_000000_"), "user_000000")
+
+
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Found by the prefix of the key in a stored table."""
     path = scratch_path(spark, "sessions-stored")
@@ -253,6 +298,34 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(data.SCHEMAS["events"]).parquet(target)
 
 
+def ingest_grown_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that are sent in part, then whole, then once more, with a load after each."""
+    documents = data.session_documents(spark, folder).drop("load_order")
+    number = F.col("session_id").cast("bigint")
+    arriving, target = scratch_path(spark, "growing"), scratch_path(spark, "grown")
+    # The second sending has each chunk's first half again and its other half behind it; the third is the second.
+    for sending, part in enumerate((number % 1000 < 500, F.lit(True), F.lit(True))):
+        made = scratch_path(spark, "sending")
+        _write_arrays(documents.where(part), made, "session_id", ordered=True, by_piece=True)
+        _send(spark, made, arriving, sending)
+        loaded = ingest_growing_sessions(spark, arriving, target)
+    return loaded.drop("load_order")
+
+
+def _send(spark: SparkSession, made: str, folder: str, sending: int) -> None:
+    """Put each chunk in place of the one of that name."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+    fs = path(made).getFileSystem(conf)
+    fs.mkdirs(path(folder))
+    for status in fs.globStatus(path(f"{made}/piece=*/part-*")):
+        piece = status.getPath().getParent().getName().split("=")[1]
+        goal = path(f"{folder}/sessions_{piece}.json")
+        fs.delete(goal, False)
+        fs.rename(status.getPath(), goal)
+        # Sent files differ in time even where a file system counts whole seconds.
+        fs.setTimes(goal, status.getModificationTime() + 2000 * sending, -1)
+
+
 # Sources and sinks: a table written in a format and read back
 
 
@@ -280,6 +353,20 @@ def json_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return _read_back(spark, path, "auto")
 
 
+def json_array_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """One array in one file on one line, cut into blocks."""
+    path = scratch_path(spark, "json-line")
+    products = _products(spark, folder)
+    least = products.agg(F.min("product_id")).scalar()
+    sign = F.when(F.col("product_id") == least, "[").otherwise(",")
+    objects = products.select("product_id", F.concat(sign, F.to_json(F.struct("*"))).alias("value"))
+    end = spark.range(1).select(F.lit(None).cast("bigint").alias("product_id"), F.lit("]").alias("value"))
+    whole = objects.unionByName(end).coalesce(1).sortWithinPartitions(F.col("product_id").asc_nulls_last())
+    whole.select("value").write.option("lineSep", " ").text(path)
+    found = read_array_blocks(spark, path, PRODUCT_FIELDS)
+    return found.drop("file", "place").withColumn("base_price", F.col("base_price").cast("double"))
+
+
 def json_indented(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "json-indented")
     _write_arrays(_products(spark, folder), path, "product_id", pretty=True)
@@ -304,6 +391,35 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_result_csv(spark, path, columns, numeric=["total_revenue", "num_orders"])
 
 
+def csv_ragged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as rows of differing keys, in one CSV file with the union of the keys, and back."""
+    k = F.get_json_object("props", "$.k")
+    parts = {
+        "click": ("event_id", "click_k", "user_id"),
+        "purchase": ("user_id", "event_id", "event_type"),
+    }
+    values = {
+        "event_id": F.col("event_id").cast("string"),
+        "user_id": F.col("user_id").cast("string"),
+        "event_type": F.col("event_type"),
+        "click_k": k,
+        "other_k": k,
+    }
+
+    def record(names: tuple[str, ...]) -> Column:
+        return F.create_map(*(c for name in names for c in (F.lit(name), values[name])))
+
+    kind = F.col("event_type")
+    rows = F.when(kind == "click", record(parts["click"])).when(kind == "purchase", record(parts["purchase"]))
+    rows = rows.otherwise(record(("other_k", "event_id")))
+    path = scratch_path(spark, "csv-ragged")
+    order = [F.col("user_id").desc(), F.col("event_id")]
+    columns = write_ragged(
+        data.table(spark, folder, "events").withColumn("record", rows), path, "record", order, single_file=True
+    )
+    return read_result_csv(spark, path, columns).withColumn("header", F.lit(",".join(columns)))
+
+
 # Single operators
 
 
@@ -412,15 +528,21 @@ def queries() -> dict[str, Query]:
         session_flatten_alternatives,
         session_row_key,
         session_upsert_latest,
+        session_merge,
         user_sessions,
+        user_sessions_in_ranges,
         converted_sessions,
+        converted_sessions_in_ranges,
         device_distribution,
         incremental_ingest,
+        ingest_grown_chunks,
         json_lines,
         json_arrays,
+        json_array_blocks,
         json_indented,
         json_load_append,
         csv_round_trip,
+        csv_ragged_rows,
         time_range_filter,
         line_total_fallback,
         line_total_fine_prices,
@@ -583,6 +705,28 @@ def _segments_sql() -> str:
     """
 
 
+_LATEST_SESSIONS = """
+    SELECT printf('user_%06d', user_id) || '_' || strftime(ts, '%Y-%m-%d') || 'T00:00:00.000000' AS row_key,
+           CAST(MAX(event_id) AS VARCHAR) AS session_id,
+           arg_max(event_type, event_id) AS device_type,
+           CAST(json_extract_string(arg_max(props, event_id), '$.k') AS INTEGER) AS duration
+    FROM events GROUP BY 1
+"""
+
+_USER_SESSIONS = f"""
+    WITH {_SESSIONS}
+    SELECT row_key, session_id, start_time, duration, conversion_status, device_type, browser,
+           city, state, page_views_count AS page_views
+    FROM sessions WHERE starts_with(row_key, 'user_000000_') ORDER BY row_key, session_id LIMIT 10
+"""
+
+_CONVERTED = f"""
+    WITH {_SESSIONS}
+    SELECT row_key, user_id, session_id, start_time, duration, device_type, referrer
+    FROM sessions WHERE conversion_status = 'converted' ORDER BY row_key, session_id LIMIT 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over the same tables, for each query that SQL can express."""
     found = {
@@ -674,24 +818,40 @@ def oracle_sql() -> dict[str, str]:
                    printf('user_%06d', user_id) AS key_user
             FROM events
         """,
-        "session_upsert_latest": """
-            SELECT printf('user_%06d', user_id) || '_' || strftime(ts, '%Y-%m-%d') || 'T00:00:00.000000' AS row_key,
-                   CAST(MAX(event_id) AS VARCHAR) AS session_id,
-                   arg_max(event_type, event_id) AS device_type,
-                   CAST(json_extract_string(arg_max(props, event_id), '$.k') AS INTEGER) AS duration
-            FROM events GROUP BY 1
-        """,
-        "user_sessions": f"""
+        "session_merge": _LATEST_SESSIONS,
+        "json_array_blocks": _PRODUCTS,
+        "user_sessions_in_ranges": _USER_SESSIONS,
+        "converted_sessions_in_ranges": _CONVERTED,
+        "ingest_grown_chunks": f"""
             WITH {_SESSIONS}
-            SELECT row_key, session_id, start_time, duration, conversion_status, device_type, browser,
-                   city, state, page_views_count AS page_views
-            FROM sessions WHERE starts_with(row_key, 'user_000000_') ORDER BY row_key, session_id LIMIT 10
+            SELECT * EXCLUDE (cart_contents), replace(cart_contents, '}}}}', ',"price":null}}}}') AS cart_contents
+            FROM sessions
         """,
-        "converted_sessions": f"""
-            WITH {_SESSIONS}
-            SELECT row_key, user_id, session_id, start_time, duration, device_type, referrer
-            FROM sessions WHERE conversion_status = 'converted' ORDER BY row_key, session_id LIMIT 10
+        "csv_ragged_rows": """
+            WITH named AS (
+                SELECT *, json_extract_string(props, '$.k') AS k,
+                       CASE event_type WHEN 'click' THEN ['event_id', 'click_k', 'user_id']
+                            WHEN 'purchase' THEN ['user_id', 'event_id', 'event_type']
+                            ELSE ['other_k', 'event_id'] END AS names
+                FROM events
+            ),
+            spread AS (
+                SELECT user_id, event_id, unnest(names) AS name, unnest(range(len(names))) AS nth FROM named
+            ),
+            firsts AS (
+                SELECT name, min({'a': -user_id, 'b': event_id, 'c': nth}) AS first FROM spread GROUP BY name
+            ),
+            header AS (SELECT string_agg(name, ',' ORDER BY first) AS header FROM firsts)
+            SELECT CAST(event_id AS VARCHAR) AS event_id,
+                   CASE WHEN event_type IN ('click', 'purchase') THEN CAST(user_id AS VARCHAR) END AS user_id,
+                   CASE WHEN event_type = 'purchase' THEN event_type END AS event_type,
+                   CASE WHEN event_type = 'click' THEN k END AS click_k,
+                   CASE WHEN event_type NOT IN ('click', 'purchase') THEN k END AS other_k, header
+            FROM named, header
         """,
+        "session_upsert_latest": _LATEST_SESSIONS,
+        "user_sessions": _USER_SESSIONS,
+        "converted_sessions": _CONVERTED,
         "device_distribution": """
             SELECT event_type AS device_type, COUNT(*) AS sessions,
                    COUNT(*) / (SELECT COUNT(*) FROM events) * 100 AS pct

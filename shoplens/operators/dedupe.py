@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def basket_items(line_items: DataFrame) -> DataFrame:
@@ -14,12 +15,42 @@ def basket_items(line_items: DataFrame) -> DataFrame:
     return line_items.select(*keys).na.drop(subset=keys).dropDuplicates(keys)
 
 
-def latest_by_key(df: DataFrame, keys: Sequence[str], load_order: Column) -> DataFrame:
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(field.dataType) for field in kind.fields)
+    return not isinstance(kind, T.MapType)
+
+
+def latest_by_key(
+    df: DataFrame, keys: Sequence[str], load_order: Column, always: Column | None = None
+) -> DataFrame:
     """The row with the greatest ``load_order`` of each key: what repeated puts leave behind.
 
-    ``max_by`` is combined before the shuffle, so a key with very many versions sends one row per
-    input task and no task ever gathers all of them.
+    Rows are dealt out once by key, load order and a hash of their content, so no task gets all versions of a
+    hot key.  From that shuffle a narrow aggregate, combined before its own small shuffle, finds each key's
+    newest version, and the same shuffle is read again for the rows that carry it.  With a load order of a
+    fixed width (a number or a time) both aggregates are hash aggregates.  Of several rows with the greatest
+    load order those of one content stay; a null key is a key, a null load order never the newest.
+
+    Rows for which ``always`` holds (never null) are kept in the same pass, whatever their key.
     """
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), load_order).alias("newest")
-    return df.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*df.columns)
+    hashed = [f.name for f in df.schema.fields if _hashable(f.dataType)]
+    content = F.xxhash64(*(F.col(f"`{name}`") for name in hashed))
+
+    def version(at: Column, of: Column) -> Column:
+        return F.struct(F.struct(*keys).alias("key"), at.alias("at"), of.alias("content"))
+
+    mine = version(load_order, content)
+    dealt = df.repartition(mine)
+    versions = dealt if always is None else dealt.where(~always)
+    newest = (
+        versions.groupBy(*keys)
+        .agg(F.max(load_order).alias("_at"), F.max_by(content, load_order).alias("_content"))
+        .select(version(F.col("_at"), F.col("_content")).alias("_newest"))
+    )
+    if always is None:
+        return dealt.join(newest, mine == F.col("_newest"), "left_semi")
+    found = dealt.join(newest, mine == F.col("_newest"), "left")
+    return found.where(always | F.col("_newest").isNotNull()).drop("_newest")

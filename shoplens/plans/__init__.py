@@ -19,6 +19,7 @@ from .sessions import (
     converted_sessions,
     current_sessions,
     device_distribution,
+    has_key,
     keyless_sessions,
     user_sessions,
 )
@@ -36,6 +37,7 @@ __all__ = [
     "customer_value",
     "customer_value_from_items",
     "device_distribution",
+    "has_key",
     "keyless_sessions",
     "line_items",
     "revenue_by_category",

@@ -18,8 +18,7 @@ def current_sessions(loaded: DataFrame) -> DataFrame:
     earlier one.  Sessions without a user or a start have no key of their own: all of them are kept, and
     `keyless_sessions` counts them.
     """
-    kept = latest_by_key(loaded.where(has_key()), ["row_key"], F.col("load_order"))
-    return kept.unionByName(loaded.where(~has_key())).drop("load_order")
+    return latest_by_key(loaded, ["row_key"], F.col("load_order"), always=~has_key()).drop("load_order")
 
 
 def has_key() -> Column:

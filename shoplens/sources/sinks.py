@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 
 from ..functions import month_text
+from .scratch import stored
 
 
 def write_result(
@@ -21,18 +22,31 @@ def write_result(
     ``single_file`` sends the result through one task and is meant for reports of bounded size, such
     as a top-k.  The sort then happens inside that one partition, so the file is ordered for certain.
     Otherwise a global sort spreads the ordered rows over many files.  ``skip_empty`` leaves the
-    target alone when there are no rows.
+    target alone when there are no rows; the result is then computed into scratch space, looked at and copied.
     """
-    if skip_empty and df.isEmpty():
-        return False
+    if skip_empty:
+        df = stored(df, "result")
+        if df.isEmpty():
+            return False
+    write_ordered(df, path, order_by, single_file)
+    return True
+
+
+def write_ordered(
+    df: DataFrame,
+    path: str,
+    order_by: Sequence[str | Column],
+    single_file: bool,
+    columns: Sequence[str | Column] = ("*",),
+) -> None:
+    """Write ``columns`` as CSV, ordered by what need not be among them."""
     if single_file:
         df = df.repartition(1)
         if order_by:
             df = df.sortWithinPartitions(*order_by)
     elif order_by:
         df = df.orderBy(*order_by)
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
-    return True
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_sessions(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,0 +1,81 @@
+import json
+import os
+
+from shoplens.plans import current_sessions
+from shoplens.streaming import ingest_growing_sessions
+
+
+def document(i):
+    return {
+        "session_id": f"s{i}",
+        "user_id": f"user_{i % 4:06d}",
+        "start_time": f"2025-01-01T00:00:{i:02d}",
+        "cart_contents": {},
+    }
+
+
+class Folder:
+    def __init__(self, path):
+        self.path, self.clock = path, 1_700_000_000
+        path.mkdir()
+
+    def send(self, name, documents, text=None):
+        """A file with a time of its own."""
+        target = self.path / name
+        target.write_text(json.dumps(documents) if text is None else text)
+        self.clock += 10
+        os.utime(target, (self.clock, self.clock))
+
+
+def ids(df):
+    return sorted(int(r.session_id[1:]) for r in df.collect())
+
+
+def test_grown_and_resent_chunks_add_only_new_rows(spark, tmp_path):
+    folder, target = Folder(tmp_path / "in"), str(tmp_path / "out")
+
+    def load(**options):
+        return ingest_growing_sessions(spark, str(folder.path), target, **options)
+
+    assert load().count() == 0
+    folder.send("sessions_0.json", [document(i) for i in range(5)])
+    folder.send("sessions_1.json", [document(i) for i in range(10, 13)])
+    folder.send("notes.json", [document(99)])
+    assert ids(load()) == [*range(5), *range(10, 13)]
+    folder.send("sessions_0.json", [document(i) for i in range(8)])  # grown
+    folder.send("sessions_1.json", [document(i) for i in range(10, 13)])  # sent again
+    folder.send("sessions_2.json", [document(i) for i in range(20, 22)])  # new
+    assert ids(load()) == [*range(8), *range(10, 13), 20, 21]
+    assert ids(load()) == [*range(8), *range(10, 13), 20, 21]
+    folder.send("sessions_0.json", [document(i) for i in range(3)])  # shorter: nothing to add
+    assert load().count() == 13
+    folder.send("sessions_0.json", [document(i) for i in range(9)])
+    table = load(max_files=1)
+    assert ids(table) == [*range(9), *range(10, 13), 20, 21]
+    orders = [tuple(r.load_order) for r in table.orderBy("load_order").collect()]
+    assert len(set(orders)) == len(orders)
+    assert [o[2] for o in orders if o[1] == "sessions_0.json"] == list(range(9))
+    assert current_sessions(table).count() == 14
+
+
+def test_a_lost_run_is_done_over(spark, tmp_path):
+    folder, target = Folder(tmp_path / "in"), str(tmp_path / "out")
+    folder.send("sessions_0.json", [document(i) for i in range(4)])
+    ingest_growing_sessions(spark, str(folder.path), target)
+    folder.send("sessions_1.json", [document(i) for i in range(4, 6)])
+    ingest_growing_sessions(spark, str(folder.path), target)
+    # As if the second run had written its rows, but not its progress.
+    (tmp_path / "out" / "_progress" / "load_batch=1" / "_SUCCESS").unlink()
+    folder.send("sessions_1.json", [document(i) for i in range(4, 7)])
+    assert ids(ingest_growing_sessions(spark, str(folder.path), target)) == list(range(7))
+
+
+def test_a_broken_chunk_is_read_when_mended(spark, tmp_path):
+    folder, target = Folder(tmp_path / "in"), str(tmp_path / "out")
+    folder.send("sessions_0.json", None, "[{broken")
+    folder.send("sessions_1.json", [document(0), 7, None, document(1)])
+    args = spark, str(folder.path), target
+    assert ids(ingest_growing_sessions(*args)) == [0, 1]
+    folder.send("sessions_0.json", [document(5)])
+    folder.send("sessions_1.json", [document(0), 7, None, document(1), "x", document(2)])
+    assert ids(ingest_growing_sessions(*args)) == [0, 1, 2, 5]
