@@ -8,11 +8,16 @@ b)`` the number of large ones, and ``h(p)`` the number of large baskets holding
 * ``heavy(a, b) <= min(h(a), h(b))``, and the k-th largest ``light`` count, the *floor*, is a lower
   bound of the k-th largest total.
 * A pair found in a small basket can reach the top k only if ``light + min(h(a), h(b)) >= floor``.
-  For those few ``heavy`` is looked up by joining the products' large baskets.
 * A pair found in large baskets only needs ``h >= floor`` on both sides.  Products that lie in exactly
   the same large baskets (by two 64-bit marks) are interchangeable apart from their ids, and ties are won by smaller ids,
   so the ``k + 1`` smallest ids of each such class suffice: any other pair is beaten by k pairs that
-  count at least as much.  Only the remaining products are paired, in blocks.
+  count at least as much.  Only the remaining products, the chosen ones, are paired, which gives ``heavy`` for all of
+  their pairs.
+
+Large baskets are numbered, and the baskets of a product make a bitmap, in words of 64 baskets.  ``heavy`` of a pair
+of the first kind whose products are not both chosen is the number of bits that the two bitmaps share.  Chosen products
+are paired within a basket if it is of moderate size; in the others either within a basket or, where that makes fewer
+pairs, within a word, whose shared bits then count as many baskets at once.  Both are done in blocks.
 
 So one basket with a third of all lines costs a few passes over its lines, and no result is lost.
 Before any of this, large data sets drop the products that are sold too rarely to matter, by the same
@@ -24,7 +29,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..operators import basket_items
 from ..sources.scratch import stored
 from .lookup import BROADCAST_ROWS, only
 
@@ -48,45 +52,98 @@ def _pairs_of_small(baskets: DataFrame) -> DataFrame:
 def _small_and_large(
     lines: DataFrame, sizes: DataFrame, small: int, total: int, large: int
 ) -> tuple[DataFrame, DataFrame]:
-    """The lines of small baskets, and the distinct lines of the ``large`` larger ones.
+    """The lines of small baskets, and the distinct products of the ``large`` larger ones with number and size.
 
     Large baskets are told apart by broadcasting their ids while there are at most BROADCAST_ROWS.
     Beyond that only the hugest are: fewer than BROADCAST_ROWS baskets can hold more than
     1 / BROADCAST_ROWS of all lines each.  What the join by transaction then shuffles has no hot key.
     """
     limit = small if large <= BROADCAST_ROWS else max(small, total // BROADCAST_ROWS)
-    huge = stored(sizes.where(F.col("n") > limit).select("transaction_id"), "large-basket-ids")
-    huge = F.broadcast(huge)
-    rest = lines.join(huge, "transaction_id", "left_anti")
-    members = lines.join(huge, "transaction_id", "left_semi")
+    huge = F.broadcast(sizes.where(F.col("n") > limit))
+    rest = lines.join(F.broadcast(huge.select("transaction_id")), "transaction_id", "left_anti")
+    members = lines.join(huge, "transaction_id")
     if large > BROADCAST_ROWS:
-        middling = sizes.where(F.col("n").between(small + 1, limit)).select("transaction_id")
-        members = members.unionByName(rest.join(middling, "transaction_id", "left_semi"))
+        middling = sizes.where(F.col("n").between(small + 1, limit))
+        members = members.unionByName(rest.join(middling, "transaction_id"))
         rest = rest.join(middling, "transaction_id", "left_anti")
-    return rest, basket_items(members)
+    return rest, members.select("number", "n", "product_id").na.drop().distinct()
 
 
-def _pairs_in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """``a, b`` for every pair of products within a transaction, however many it has.
+def _pairs_in_blocks(units: DataFrame, block: int) -> DataFrame:
+    """``a, b, n`` for every pair of products within a ``unit`` that share bits, however many it has.
 
     The first side of the self join is split by product into blocks and the second repeated for each
-    of them, so a task meets about ``block`` products of one transaction at a time.
+    of them, so a task meets about ``block`` products of one unit at a time.
     """
-    blocks = members.groupBy("transaction_id").agg(
-        F.ceil(F.count("*") / block).cast("int").alias("blocks")
-    )
-    sized = members.join(blocks, "transaction_id")
+    blocks = units.groupBy("unit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = units.join(blocks, "unit")
     left = sized.select(
-        "transaction_id",
+        "unit",
         F.pmod(F.xxhash64("product_id"), F.col("blocks")).cast("int").alias("block"),
         F.col("product_id").alias("a"),
+        F.col("bits").alias("bits_a"),
     )
     right = sized.select(
-        "transaction_id",
+        "unit",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.col("product_id").alias("b"),
+        F.col("bits").alias("bits_b"),
+    )
+    shared = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))).cast("bigint")
+    pairs = left.join(right, ["unit", "block"]).where("a < b").select("a", "b", shared.alias("n"))
+    return pairs.where("n > 0")
+
+
+def _word() -> Column:
+    return F.shiftright("number", 6).alias("word")
+
+
+def _bitmaps(members: DataFrame) -> DataFrame:
+    """``product_id, word, bits``: a bit for each large basket that holds the product, 64 to a word."""
+    bit = F.expr("shiftleft(1L, cast(number & 63L as int))")
+    return members.groupBy("product_id", _word()).agg(F.bit_or(bit).alias("bits"))
+
+
+def _pairs_of_large(picked: DataFrame, moderate: int) -> DataFrame:
+    """``a, b, n`` for the products in large baskets, to be added up by pair.
+
+    Baskets of up to ``moderate`` lines are enumerated.  The others go by words of 64 baskets or one by one,
+    whichever pairs fewer products.
+    """
+    listed = picked.where(F.col("n") <= moderate).groupBy("number")
+    enumerated = _pairs_of_small(listed.agg(F.array_sort(F.collect_list("product_id")).alias("products")))
+    many = picked.where(F.col("n") > moderate)
+    bitmaps = _bitmaps(many)
+    held = many.groupBy("number").agg(F.count("*").alias("held")).groupBy(_word())
+    one_by_one = held.agg(F.sum(F.col("held") * F.col("held")).alias("one_by_one"))
+    together = bitmaps.groupBy("word").agg((F.count("*") * F.count("*")).alias("together"))
+    dense = together.join(one_by_one, "word").where("together < one_by_one").select("word")
+    # Words and baskets are numbered apart.
+    words = bitmaps.join(dense, "word", "left_semi").select((-1 - F.col("word")).alias("unit"), "product_id", "bits")
+    singles = (
+        many.select("number", _word(), "product_id")
+        .join(dense, "word", "left_anti")
+        .select(F.col("number").alias("unit"), "product_id", F.lit(1).cast("bigint").alias("bits"))
+    )
+    paired = _pairs_in_blocks(words.unionByName(singles), moderate)
+    return enumerated.select("a", "b", F.lit(1).cast("bigint").alias("n")).unionByName(paired)
+
+
+def _shared_baskets(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b, n``: how many large baskets hold both products of the given pairs, from their bitmaps."""
+    # Start from the rarer product of each pair: fewer words to look the other one up in.
+    from_a = F.col("h_a") <= F.col("h_b")
+    probes = pairs.select(
+        "a",
+        "b",
+        F.when(from_a, F.col("a")).otherwise(F.col("b")).alias("product_id"),
+        F.when(from_a, F.col("b")).otherwise(F.col("a")).alias("other"),
     )
-    return left.join(right, ["transaction_id", "block"]).where("a < b").select("a", "b")
+    bitmaps = _bitmaps(members)
+    others = bitmaps.select(F.col("product_id").alias("other"), "word", F.col("bits").alias("other_bits"))
+    shared = F.bit_count(F.col("bits").bitwiseAND(F.col("other_bits"))).cast("bigint")
+    met = probes.join(bitmaps, "product_id").join(others, ["other", "word"])
+    return met.select("a", "b", shared.alias("n"))
 
 
 def _ranking(count: str) -> list[Column]:
@@ -124,7 +181,7 @@ def _without_rare(lines: DataFrame, k: int) -> tuple[DataFrame, int]:
 
 
 def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
-    """Lines of each large transaction, stored; and on the driver, all lines and the number of large baskets.
+    """Lines and number of each large transaction, stored; and on the driver, all lines and how many are large.
 
     One pass gives all three.  Lines without a product may be counted in: the sizes are upper bounds.
     """
@@ -134,7 +191,8 @@ def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
     measured = sizes.observe(
         shape, F.expr("coalesce(sum(n), 0L) as total"), F.expr(f"count_if(n > {small}) as large")
     )
-    large_sizes = stored(measured.where(F.col("n") > small), "basket-sizes")
+    numbered = measured.where(F.col("n") > small).withColumn("number", F.monotonically_increasing_id())
+    large_sizes = stored(numbered, "basket-sizes")
     return large_sizes, shape.get["total"], shape.get["large"]
 
 
@@ -156,18 +214,16 @@ def _top_pairs(
         light = _light_counts(lines).withColumnRenamed("light", "co_count")
         return light.orderBy(*_ranking("co_count")).limit(k)
     light_lines, members = _small_and_large(lines, sizes, small, total, large)
-    return _top_with_large(_light_counts(light_lines), members, k, small, floor)
+    return _top_with_large(_light_counts(light_lines), members, k, floor)
 
 
-def _top_with_large(
-    light: DataFrame, members: DataFrame, k: int, small: int, known_floor: int
-) -> DataFrame:
-    """The top pairs from the counts of small baskets and the lines of large ones."""
+def _top_with_large(light: DataFrame, members: DataFrame, k: int, known_floor: int) -> DataFrame:
+    """The top pairs from the counts of small baskets and the products of large ones."""
     members = stored(members, "large-baskets")
     spans = members.groupBy("product_id").agg(
         F.count("*").alias("h"),
-        F.bit_xor(F.xxhash64("transaction_id")).alias("mark"),
-        F.bit_xor(F.xxhash64("transaction_id", F.lit(1))).alias("second_mark"),
+        F.bit_xor(F.xxhash64("number")).alias("mark"),
+        F.bit_xor(F.xxhash64("number", F.lit(1))).alias("second_mark"),
     )
     most = spans.agg(F.coalesce(F.max("h"), F.lit(0).cast("bigint"))).scalar()
 
@@ -179,48 +235,37 @@ def _top_with_large(
     # Only pairs seen in small baskets that can still reach the floor are stored; the k best are among them.
     light = stored(light.where(F.col("light") + most >= floor_of(light)), "light-pairs")
     floor = floor_of(light)
-    h_of = spans.select("product_id", "h")
-    hopeful = (
-        light
-        .join(h_of.select(F.col("product_id").alias("a"), F.col("h").alias("h_a")), "a", "left")
-        .join(h_of.select(F.col("product_id").alias("b"), F.col("h").alias("h_b")), "b", "left")
-        .na.fill(0, ["h_a", "h_b"])
-        .where(F.col("light") + F.least("h_a", "h_b") >= floor)
-    )
-    # Start from the rarer product of each pair: fewer large baskets to look the other one up in.
-    from_a = F.col("h_a") <= F.col("h_b")
-    probes = hopeful.where(F.least("h_a", "h_b") > 0).select(
-        "a",
-        "b",
-        F.when(from_a, F.col("a")).otherwise(F.col("b")).alias("product_id"),
-        F.when(from_a, F.col("b")).otherwise(F.col("a")).alias("other"),
-    )
-    met = (
-        probes.join(members, "product_id")
-        .select("a", "b", "transaction_id", F.col("other").alias("product_id"))
-        .join(members, ["transaction_id", "product_id"])
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("heavy"))
-    )
-    seen = hopeful.join(met, ["a", "b"], "left").select(
-        "a", "b", (F.col("light") + F.coalesce("heavy", F.lit(0).cast("bigint"))).alias("co_count")
-    )
 
-    # Pairs that large baskets alone can lift to the floor.
+    # Products that large baskets alone can lift to the floor.
     by_id = Window.partitionBy("h", "mark", "second_mark").orderBy("product_id")
-    strong = (
+    chosen = (
         spans.where(F.col("h") >= floor)
         .withColumn("place", F.row_number().over(by_id))
         .where(F.col("place") <= k + 1)
-        .select("product_id")
+        .select("product_id", F.lit(True).alias("chosen"))
+    )
+    known = stored(spans.select("product_id", "h").join(chosen, "product_id", "left"), "large-products")
+
+    def side(name: str) -> DataFrame:
+        return known.toDF(name, f"h_{name}", f"chosen_{name}")
+
+    hopeful = (
+        light
+        .join(side("a"), "a", "left")
+        .join(side("b"), "b", "left")
+        .na.fill(0, ["h_a", "h_b"])
+        .where(F.col("light") + F.least("h_a", "h_b") >= floor)
     )
-    unseen = (
-        _pairs_in_blocks(members.join(strong, "product_id", "left_semi"), small)
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("co_count"))
+    paired = F.coalesce(F.col("chosen_a") & F.col("chosen_b"), F.lit(False))
+    apart = hopeful.where((F.least("h_a", "h_b") > 0) & ~paired)
+    picked = members.join(known.where("chosen"), "product_id", "left_semi")
+    counts = (
+        hopeful.select("a", "b", F.col("light").alias("n"))
+        .unionByName(_shared_baskets(apart, members))
+        .unionByName(_pairs_of_large(picked, SMALL_BASKET))
     )
-    # A pair in both parts has its full count in the first.
-    both = seen.unionByName(unseen).groupBy("a", "b").agg(F.max("co_count").alias("co_count"))
+    # A pair that is not hopeful may lack its small baskets here: with them it would not reach the floor either.
+    both = counts.groupBy("a", "b").agg(F.sum("n").alias("co_count"))
     return both.orderBy(*_ranking("co_count")).limit(k)
 
 

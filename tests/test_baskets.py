@@ -92,6 +92,31 @@ def test_only_giant_baskets(spark):
     assert found(spark, lines, 4, 200) == [(0, 1, 3), (0, 2, 3), (0, 3, 3), (0, 4, 3)]
 
 
+@pytest.mark.parametrize("moderate", [2, 12, 200])
+def test_all_ways_through_large_baskets(spark, monkeypatch, moderate):
+    """Baskets enumerated, paired one by one and by words of 64; a third of the lines on three products."""
+    monkeypatch.setattr(baskets, "SMALL_BASKET", moderate)
+    rng = random.Random(moderate)
+    lines = random_lines(rng, 40, 0, 60)
+    for t in range(1000, 1130):  # dense words: nearly every basket holds nearly every one of few products
+        lines += [(t, p) for p in range(25) if rng.random() < 0.9]
+    for t in range(2000, 2100):  # baskets of their own
+        lines += [(t, 1000 + 30 * t + p) for p in range(14)] + [(t, p) for p in (1, 2, 3)]
+    for k, small in ((10, 4), (60, 4), (5, 30)):
+        assert found(spark, lines, k, small) == brute_force(lines, k)
+
+
+def test_bitmaps_count_shared_baskets(spark):
+    members = spark.createDataFrame(
+        [(n, 1, p) for n in range(300) for p in (1, 2, 3) if n % (p + 1) == 0], "number bigint, n bigint, product_id bigint"
+    )
+    bitmaps = baskets._bitmaps(members)
+    assert bitmaps.where("product_id = 1").count() == 5
+    pairs = spark.createDataFrame([(1, 2, 150, 100), (2, 3, 100, 75), (1, 9, 150, 0)], "a bigint, b bigint, h_a bigint, h_b bigint")
+    shared = baskets._shared_baskets(pairs, members).groupBy("a", "b").sum("n")
+    assert sorted(rows(shared)) == [(1, 2, 50), (2, 3, 25)]
+
+
 def test_names_and_ties(spark):
     items = spark.createDataFrame(
         [
