@@ -449,6 +449,14 @@ def line_total_fine_prices(spark: SparkSession, folder: str) -> DataFrame:
     return ops.order_lines(lines).groupBy("product_id").agg(fn.amount(total).alias("revenue"))
 
 
+def top_products_six_decimals(spark: SparkSession, folder: str) -> DataFrame:
+    """Best sellers by prices of six decimals: a millionth of the line's price per unit, of which nothing is lost."""
+    millionths = F.floor(F.col("subtotal") / F.col("quantity")).cast("decimal(12,0)")
+    price = (millionths * F.expr("0.000001BD")).cast("decimal(18,6)").alias("unit_price")
+    lines = data.lines(spark, folder).select("transaction_id", "product_id", "quantity", price)
+    return plans.top_products(lines, data.products(spark, folder), limit=50)
+
+
 def parse_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     events = data.table(spark, folder, "events")
     exact = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -546,6 +554,7 @@ def queries() -> dict[str, Query]:
         time_range_filter,
         line_total_fallback,
         line_total_fine_prices,
+        top_products_six_decimals,
         parse_timestamps,
         numeric_coerce_dropna,
         table_counts,
@@ -818,6 +827,15 @@ def oracle_sql() -> dict[str, str]:
                    printf('user_%06d', user_id) AS key_user
             FROM events
         """,
+        "top_products_six_decimals": """
+            SELECT l_partkey AS product_id, any_value(p_name) AS product_name, any_value(p_size) % 25 AS category_id,
+                   CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_qty,
+                   CAST(SUM(CAST(l_quantity AS BIGINT) * CAST(floor(l_extendedprice / l_quantity) AS BIGINT)) AS DOUBLE)
+                       / 1000000 AS total_revenue,
+                   COUNT(DISTINCT l_orderkey) AS orders
+            FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
+            GROUP BY l_partkey ORDER BY total_revenue DESC, total_qty DESC, product_id LIMIT 50
+        """,
         "session_merge": _LATEST_SESSIONS,
         "json_array_blocks": _PRODUCTS,
         "user_sessions_in_ranges": _USER_SESSIONS,

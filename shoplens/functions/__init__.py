@@ -1,7 +1,7 @@
 """Column helpers shared by the operators: money, time, text and optional fields."""
 
 from .columns import column_or_null, nested_or_null
-from .money import amount, cents, dollars, parts
+from .money import amount, cents, decimals, dollars, exact_amount, parts, total
 from .text import row_key, row_key_part, row_key_user, to_number
 from .times import (
     as_timestamp,
@@ -21,7 +21,9 @@ __all__ = [
     "as_timestamp",
     "cents",
     "column_or_null",
+    "decimals",
     "dollars",
+    "exact_amount",
     "month_index",
     "month_key",
     "month_of_key",
@@ -37,4 +39,5 @@ __all__ = [
     "row_key_user",
     "timestamp_storage",
     "to_number",
+    "total",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import column_or_null, parse_bound, parse_iso, parts, timestamp_storage
+from ..functions import column_or_null, decimals, exact_amount, parse_bound, parse_iso, timestamp_storage
 
 HEADER_FIELDS = {"transaction_id": "string", "user_id": "string", "timestamp": "timestamp_ntz"}
 LINE_FIELDS = {
@@ -52,10 +52,17 @@ def line_quantity() -> Column:
     return F.coalesce(F.col("quantity").cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def line_total_parts() -> Column:
-    """``line_total ?? quantity * (unit_price ?? price ?? 0)``, in parts of a cent."""
-    price = F.coalesce(parts(F.col("unit_price")), parts(F.col("price")), F.lit(0).cast("bigint"))
-    return F.coalesce(parts(F.col("line_total")), line_quantity() * price)
+def line_total_parts(lines: DataFrame | None = None) -> Column:
+    """``line_total ?? quantity * (unit_price ?? price ?? 0)``, in parts of a cent.
+
+    Given the ``lines``, whose prices are decimals of more than four places, the total is a decimal of that
+    scale instead; other prices among them are rounded to it.
+    """
+    scale = None if lines is None else decimals(lines, ("unit_price", "price", "line_total"))
+    known = [exact_amount(F.col(name), scale) for name in ("unit_price", "price")]
+    nothing = F.lit(0).cast("bigint") if scale is None else exact_amount(F.lit(0), scale)
+    quantity = line_quantity() if scale is None else line_quantity().cast("decimal(10,0)")
+    return F.coalesce(exact_amount(F.col("line_total"), scale), quantity * F.coalesce(*known, nothing))
 
 
 def in_time_range(

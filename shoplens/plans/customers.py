@@ -12,8 +12,9 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import amount, as_timestamp, cents, dollars, parts, timestamp_storage
+from ..functions import amount, as_timestamp, cents, decimals, dollars, exact_amount, timestamp_storage, total
 from ..operators import coerce_numeric, exact_quantiles, in_time_range, line_total_parts, order_lines
 
 # The default boundaries and the names of the levels.
@@ -62,17 +63,16 @@ def customer_value_from_items(
     Lines that do not carry ``user_id`` themselves take it from ``headers`` (``transaction_id,
     user_id``); they are then added up per order before the join.
     """
-    lines = line_items.withColumn("subtotal", parts(F.col("subtotal")))
+    scale = decimals(line_items, ["subtotal"])
+    lines = line_items.withColumn("subtotal", exact_amount(F.col("subtotal"), scale))
     orders = F.count_distinct("transaction_id")
     if headers is not None:
         per_order = lines.groupBy("transaction_id").agg(F.sum("subtotal").alias("subtotal"))
         lines = per_order.join(headers.select("transaction_id", "user_id"), "transaction_id")
         orders = F.count("*")  # one row per order by now
-    return (
-        lines.groupBy("user_id")
-        .agg(F.sum("subtotal").alias("clv"), orders.alias("num_orders"))
-        .select("user_id", amount(F.col("clv")).alias("clv"), "num_orders")
-        .orderBy(F.col("clv").desc(), "user_id")
+    value = lines.groupBy("user_id").agg(F.sum("subtotal").alias("clv"), orders.alias("num_orders"))
+    return value.select("user_id", total(value, "clv").alias("clv"), "num_orders").orderBy(
+        F.col("clv").desc(), "user_id"
     )
 
 
@@ -83,7 +83,7 @@ def transaction_totals(
     headers: DataFrame | None = None,
     storage: str = "auto",
 ) -> DataFrame:
-    """Money per order: ``transaction_id, user_id, created_at, tx_total`` (in parts of a cent).
+    """Money per order: ``transaction_id, user_id, created_at, tx_total`` (in parts of a cent, or a finer decimal).
 
     Takes order documents, or lines.  Lines without user and time take them from ``headers``; their
     sums are then formed before the join, so a huge order is one row when it meets its header.
@@ -93,13 +93,10 @@ def transaction_totals(
         # An order has one user; as a key, unlike as a minimum of text, it keeps the aggregate hashed.
         return lines.groupBy("transaction_id", "user_id").agg(
             F.min(as_timestamp(lines)).alias("created_at"),
-            F.sum(line_total_parts()).alias("tx_total"),
+            F.sum(line_total_parts(lines)).alias("tx_total"),
         )
-    sums = (
-        order_lines(transactions)
-        .groupBy("transaction_id")
-        .agg(F.sum(line_total_parts()).alias("tx_total"))
-    )
+    lines = order_lines(transactions)
+    sums = lines.groupBy("transaction_id").agg(F.sum(line_total_parts(lines)).alias("tx_total"))
     chosen = in_time_range(headers, start, end, storage=storage)
     return sums.join(
         chosen.select("transaction_id", "user_id", as_timestamp(chosen).alias("created_at")),
@@ -132,12 +129,14 @@ def segment_users(
         F.max("created_at").alias("last_order_at"),
     )
     customers = F.count("*")
+    exact = isinstance(totals.schema["tx_total"].dataType, T.DecimalType)
+    spend = F.sum("spend").cast("double") if exact else amount(F.sum("spend"))
     return (
         users.groupBy(_bucket(F.col("orders"), boundaries).alias("lower"))
         .agg(
             customers.alias("customers"),
             (F.sum("orders") / customers).alias("avg_orders"),
-            (amount(F.sum("spend")) / customers).alias("avg_spend"),
+            (spend / customers).alias("avg_spend"),
             F.max("last_order_at").alias("max_last_order_at"),
         )
         .orderBy(F.col("lower").asc_nulls_last())

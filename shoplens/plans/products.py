@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import amount, month_key, month_of_key, timestamp_storage
+from ..functions import month_key, month_of_key, timestamp_storage, total
 from ..operators import coerce_numeric, in_time_range, line_total_parts, order_lines
 from ..operators.lines import line_quantity
 from .lookup import BROADCAST_ROWS
@@ -32,7 +32,7 @@ def top_products(
     lines = order_lines(transactions)
     totals = (
         lines.select(
-            "product_id", line_quantity().alias("qty"), line_total_parts().alias("revenue")
+            "product_id", line_quantity().alias("qty"), line_total_parts(lines).alias("revenue")
         )
         .groupBy("product_id")
         .agg(F.sum("qty").alias("total_qty"), F.sum("revenue").alias("revenue"))
@@ -56,7 +56,7 @@ def top_products(
             "product_name",
             "category_id",
             "total_qty",
-            amount(F.col("revenue")).alias("total_revenue"),
+            total(totals, "revenue").alias("total_revenue"),
             "orders",
         )
     )
@@ -80,15 +80,15 @@ def revenue_by_category(
     """
     if headers is None:
         chosen = in_time_range(transactions, start, end, storage=storage)
-        lines = order_lines(chosen).select(
-            "product_id", month_key(chosen).alias("month"), line_total_parts().alias("revenue")
+        lines = order_lines(chosen)
+        lines = lines.select(
+            "product_id", month_key(chosen).alias("month"), line_total_parts(lines).alias("revenue")
         )
     else:
         chosen = in_time_range(headers, start, end, storage=storage)
         months = chosen.select("transaction_id", month_key(chosen).alias("month"))
-        lines = order_lines(transactions).select(
-            "transaction_id", "product_id", line_total_parts().alias("revenue")
-        )
+        lines = order_lines(transactions)
+        lines = lines.select("transaction_id", "product_id", line_total_parts(lines).alias("revenue"))
         lines = lines.join(months, "transaction_id")
     as_text = timestamp_storage(chosen) == "string"
     monthly = lines.groupBy("product_id", "month").agg(F.sum("revenue").alias("revenue"))
@@ -99,7 +99,7 @@ def revenue_by_category(
         .select(
             "category_id",
             month_of_key(F.col("month"), as_text).alias("year_month"),
-            amount(F.col("revenue")).alias("revenue"),
+            total(monthly, "revenue").alias("revenue"),
         )
     )
     columns = ["category_id", "year_month", "revenue"]

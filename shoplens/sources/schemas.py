@@ -2,9 +2,19 @@
 
 Inference would read the data twice and would turn the cart map into a struct with one field per
 product.  Times stay ISO text here; the plans parse them.  Prices keep four decimals; a cart is only ever
-written as JSON again, so its prices stay as they were read.
+written as JSON again, so its prices stay as they were read.  `finer` gives a schema whose prices keep more.
 """
 
+PRICE = "decimal(18,4)"  # as it stands in the schemas below
+
+
+def finer(schema: str, places: int) -> str:
+    """A schema whose prices keep so many decimals, which the plans then add up exactly."""
+    if not 4 <= places <= 18:
+        raise ValueError("between 4 and 18 decimals")
+    return schema.replace(PRICE, f"decimal({14 + places},{places})")
+
+
 USERS = """
 user_id string,
 geo_data struct<city:string,state:string,country:string>,

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -246,3 +247,39 @@ def test_category_names_and_timeline(spark, transactions, products):
         "revenue", F.when(F.col("category_id") == "c1", "n/a").otherwise("3.0")
     )
     assert [(r.category_name, r.revenue) for r in category_timeline(text).collect()] == [("c2", 3.0)]
+
+
+FINE = [
+    {
+        "transaction_id": f"t{k}",
+        "user_id": "u",
+        "timestamp": f"2025-01-0{k + 1}T00:00:00",
+        "items": [
+            {"product_id": "a", "quantity": 1_000_000, "unit_price": 0.00004, "subtotal": 0.000123},
+            {"product_id": "b", "quantity": 3, "price": 0.333333, "subtotal": 0.999999},
+            {"product_id": "c", "quantity": 7, "line_total": 0.000001, "subtotal": 99_999_999.999999},
+        ],
+    }
+    for k in range(3)
+]
+
+
+def test_prices_of_six_decimals_are_not_rounded(spark, tmp_path):
+    (tmp_path / "t.json").write_text("\n".join(map(json.dumps, FINE)))
+    docs = read_collection(spark, str(tmp_path / "t.json"), schemas.finer(schemas.TRANSACTIONS, 6))
+    catalog = spark.createDataFrame([("a", "A", "x"), ("b", "B", "x")], "product_id string, name string, category_id string")
+    top = top_products(docs, catalog)
+    assert [(r.product_id, r.total_revenue) for r in top.collect()] == [("a", 120.0), ("b", 2.999997), ("c", 0.000003)]
+    assert "SortAggregate" not in top._jdf.queryExecution().toString()
+    revenue = revenue_by_category(docs, catalog).collect()
+    assert [(r.category_id, r.revenue) for r in revenue] == [(None, 0.000003), ("x", 122.999997)]
+    assert user_segmentation(docs).first().avg_spend == 123.0
+    lines = order_lines(docs)
+    assert customer_value_from_items(lines).first().clv == 300_000_003.000363
+    with pytest.raises(ValueError):
+        schemas.finer(schemas.TRANSACTIONS, 3)
+
+
+def test_four_decimals_stay_whole_numbers(spark, transactions):
+    docs = transactions(*FINE)
+    assert dict(order_lines(docs).select(line_total_parts(order_lines(docs)).alias("x")).dtypes) == {"x": "bigint"}
