@@ -15,13 +15,16 @@ from shoplens.session import tune
 from shoplens.sources import (
     first_ranges,
     load_collection,
+    load_unique,
     merge_ranges,
     read_array_blocks,
     read_collection,
     read_ranges,
     read_result_csv,
+    read_unique,
     run_sql_script,
     scratch_path,
+    set_aside,
     write_ragged,
     write_ranges,
     write_result,
@@ -383,6 +386,17 @@ def json_load_append(spark: SparkSession, folder: str) -> DataFrame:
     return loaded.groupBy("user_id").agg(F.count("*").alias("rows"))
 
 
+def unique_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a collection with a unique customer, in two loads that overlap: rows by what became of them."""
+    orders = data.table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    path = scratch_path(spark, "unique")
+    for part in (0, 1):
+        load_unique(orders.where(F.col("o_orderkey") % 2 == part), path, "o_custkey", order_by="o_orderkey")
+    taken = read_unique(spark, path).withColumn("outcome", F.lit("taken"))
+    others = set_aside(spark, path).select("o_orderkey", "o_custkey", F.col("reason").alias("outcome"))
+    return taken.unionByName(others)
+
+
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Customer values as CSV in order, and back as numbers."""
     path = scratch_path(spark, "csv")
@@ -549,6 +563,7 @@ def queries() -> dict[str, Query]:
         json_array_blocks,
         json_indented,
         json_load_append,
+        unique_loads,
         csv_round_trip,
         csv_ragged_rows,
         time_range_filter,
@@ -836,6 +851,17 @@ def oracle_sql() -> dict[str, str]:
             FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
             GROUP BY l_partkey ORDER BY total_revenue DESC, total_qty DESC, product_id LIMIT 50
         """,
+        "unique_loads": """
+            WITH loads AS (SELECT o_orderkey, o_custkey, o_orderkey % 2 AS load FROM orders),
+            ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY o_custkey, load ORDER BY o_orderkey) AS nth,
+                       min(load) OVER (PARTITION BY o_custkey) AS first_load
+                FROM loads
+            )
+            SELECT o_orderkey, o_custkey, CASE WHEN load > first_load THEN 'known' WHEN nth = 1 THEN 'taken'
+                                               ELSE 'repeated' END AS outcome
+            FROM ranked
+        """,
         "session_merge": _LATEST_SESSIONS,
         "json_array_blocks": _PRODUCTS,
         "user_sessions_in_ranges": _USER_SESSIONS,

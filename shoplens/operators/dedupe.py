@@ -44,10 +44,11 @@ def latest_by_key(
 
     mine = version(load_order, content)
     dealt = df.repartition(mine)
-    versions = dealt if always is None else dealt.where(~always)
+    # Within the aggregates, not before them: a filter would move below the shuffle, which then had to be made twice.
+    order = load_order if always is None else F.when(~always, load_order)
     newest = (
-        versions.groupBy(*keys)
-        .agg(F.max(load_order).alias("_at"), F.max_by(content, load_order).alias("_content"))
+        dealt.groupBy(*keys)
+        .agg(F.max(order).alias("_at"), F.max_by(content, order).alias("_content"))
         .select(version(F.col("_at"), F.col("_content")).alias("_newest"))
     )
     if always is None:

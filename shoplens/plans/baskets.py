@@ -104,7 +104,7 @@ def _bitmaps(members: DataFrame) -> DataFrame:
     return members.groupBy("product_id", _word()).agg(F.bit_or(bit).alias("bits"))
 
 
-def _pairs_of_large(picked: DataFrame, moderate: int) -> DataFrame:
+def _pairs_of_large(picked: DataFrame, moderate: int, largest: int) -> DataFrame:
     """``a, b, n`` for the products in large baskets, to be added up by pair.
 
     Baskets of up to ``moderate`` lines are enumerated.  The others go by words of 64 baskets or one by one,
@@ -112,6 +112,9 @@ def _pairs_of_large(picked: DataFrame, moderate: int) -> DataFrame:
     """
     listed = picked.where(F.col("n") <= moderate).groupBy("number")
     enumerated = _pairs_of_small(listed.agg(F.array_sort(F.collect_list("product_id")).alias("products")))
+    enumerated = enumerated.select("a", "b", F.lit(1).cast("bigint").alias("n"))
+    if largest <= moderate:
+        return enumerated
     many = picked.where(F.col("n") > moderate)
     bitmaps = _bitmaps(many)
     held = many.groupBy("number").agg(F.count("*").alias("held")).groupBy(_word())
@@ -126,7 +129,7 @@ def _pairs_of_large(picked: DataFrame, moderate: int) -> DataFrame:
         .select(F.col("number").alias("unit"), "product_id", F.lit(1).cast("bigint").alias("bits"))
     )
     paired = _pairs_in_blocks(words.unionByName(singles), moderate)
-    return enumerated.select("a", "b", F.lit(1).cast("bigint").alias("n")).unionByName(paired)
+    return enumerated.unionByName(paired)
 
 
 def _shared_baskets(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -180,8 +183,8 @@ def _without_rare(lines: DataFrame, k: int) -> tuple[DataFrame, int]:
     return lines.join(F.broadcast(frequent), "product_id", "left_semi"), kth[1]
 
 
-def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
-    """Lines and number of each large transaction, stored; and on the driver, all lines and how many are large.
+def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int, int]:
+    """Lines and number of each large transaction, stored; and on the driver, all lines, how many are large, the largest.
 
     One pass gives all three.  Lines without a product may be counted in: the sizes are upper bounds.
     """
@@ -189,11 +192,14 @@ def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int]:
     sizes = ids.groupBy("transaction_id").agg(F.count("*").alias("n"))
     shape = Observation()
     measured = sizes.observe(
-        shape, F.expr("coalesce(sum(n), 0L) as total"), F.expr(f"count_if(n > {small}) as large")
+        shape,
+        F.expr("coalesce(sum(n), 0L) as total"),
+        F.expr(f"count_if(n > {small}) as large"),
+        F.expr("coalesce(max(n), 0L) as largest"),
     )
     numbered = measured.where(F.col("n") > small).withColumn("number", F.monotonically_increasing_id())
     large_sizes = stored(numbered, "basket-sizes")
-    return large_sizes, shape.get["total"], shape.get["large"]
+    return large_sizes, shape.get["total"], shape.get["large"], shape.get["largest"]
 
 
 def _top_pairs(
@@ -206,18 +212,20 @@ def _top_pairs(
     """
     lines = items.select("transaction_id", "product_id").na.drop()
     floor = 1
-    sizes, total, large = _shape(items, small)
+    sizes, total, large, largest = _shape(items, small)
     if total >= prune_from:
         lines, floor = _without_rare(lines, k)
-        sizes, total, large = _shape(lines, small)
+        sizes, total, large, largest = _shape(lines, small)
     if large == 0:
         light = _light_counts(lines).withColumnRenamed("light", "co_count")
         return light.orderBy(*_ranking("co_count")).limit(k)
     light_lines, members = _small_and_large(lines, sizes, small, total, large)
-    return _top_with_large(_light_counts(light_lines), members, k, floor)
+    return _top_with_large(_light_counts(light_lines), members, k, floor, largest)
 
 
-def _top_with_large(light: DataFrame, members: DataFrame, k: int, known_floor: int) -> DataFrame:
+def _top_with_large(
+    light: DataFrame, members: DataFrame, k: int, known_floor: int, largest: int
+) -> DataFrame:
     """The top pairs from the counts of small baskets and the products of large ones."""
     members = stored(members, "large-baskets")
     spans = members.groupBy("product_id").agg(
@@ -244,7 +252,7 @@ def _top_with_large(light: DataFrame, members: DataFrame, k: int, known_floor: i
         .where(F.col("place") <= k + 1)
         .select("product_id", F.lit(True).alias("chosen"))
     )
-    known = stored(spans.select("product_id", "h").join(chosen, "product_id", "left"), "large-products")
+    known = spans.select("product_id", "h").join(chosen, "product_id", "left")
 
     def side(name: str) -> DataFrame:
         return known.toDF(name, f"h_{name}", f"chosen_{name}")
@@ -262,7 +270,7 @@ def _top_with_large(light: DataFrame, members: DataFrame, k: int, known_floor: i
     counts = (
         hopeful.select("a", "b", F.col("light").alias("n"))
         .unionByName(_shared_baskets(apart, members))
-        .unionByName(_pairs_of_large(picked, SMALL_BASKET))
+        .unionByName(_pairs_of_large(picked, SMALL_BASKET, largest))
     )
     # A pair that is not hopeful may lack its small baskets here: with them it would not reach the floor either.
     both = counts.groupBy("a", "b").agg(F.sum("n").alias("co_count"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators import flatten_sessions
 from ..sources import schemas, stored
+from ..sources.batches import finished_batches
 from ..sources.collections import CHUNKS, UNREAD, session_elements, with_unread
 
 BATCH = "load_batch"
@@ -28,16 +29,6 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _committed(spark: SparkSession, target: str) -> list[str]:
-    """The progress folders of finished batches, by number."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{PROGRESS}")
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found: list[str] = []
-    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"{BATCH}={len(found)}/_SUCCESS")):
-        found.append(f"{target}/{PROGRESS}/{BATCH}={len(found)}")
-    return found
-
-
 def _progress(spark: SparkSession, target: str, batches: list[str]) -> DataFrame:
     """What is known of each file after the last batch that looked at it."""
     if not batches:
@@ -80,7 +71,7 @@ def ingest_growing_sessions(
     """
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     while True:
-        batches = _committed(spark, target)
+        batches = finished_batches(spark, f"{target}/{PROGRESS}", BATCH)
         number = len(batches)
         changed = stored(_changed(spark, folder, pattern, _progress(spark, target, batches)), "changed-chunks")
         some = changed.orderBy("file").limit(max_files)

@@ -103,6 +103,15 @@ def test_hot_keys_are_combined_before_the_shuffle(spark, folder):
     assert "partial_collect_set" in cohort
 
 
+def test_an_upsert_scans_once_and_aggregates_by_hash(spark, folder):
+    """Both the search for the newest versions and their rows read one shuffle."""
+    df = QUERIES["session_upsert_latest"](spark, folder)
+    df.collect()
+    final = plan(df).split("\n+- == Initial Plan ==")[0]
+    assert final.count("FileScan") == 1, final
+    assert "ReusedExchange" in final and "SortAggregate" not in final
+
+
 def test_tied_products_are_limited_before_the_shuffle(spark):
     lines = spark.range(3000).select(
         (F.col("id") % 3).alias("transaction_id"), (F.col("id") / 3).cast("bigint").alias("product_id")
