@@ -1,18 +1,15 @@
 """Line deduplication by winnowing over line hashes.
 
-A window starts at a line and ends at the first line with which it holds ``least_words`` words.  The least
-line hash of a window (the last one among equals) is its fingerprint: equal windows choose the same line, so
+A run of lines with ``least_words`` words that occurs earlier goes: in a document of smaller doc_id, or further up in
+the same one.  A window starts at a line and ends at the first line with which it holds that many words, or ends at a
+line and starts at the last one with which it does.  Every line of a repeated run lies in a window of one of the two
+kinds that is within the run, so the match grows both ways to its full length, whichever earlier place it agrees with.
+
+The least line hash of a window (the last one among equals) is its fingerprint: equal windows choose the same line, so
 every run of lines with that many words that occurs twice shares a fingerprint at the same place.  Fingerprints
 found at one place only are dropped first.  For the others, the windows around the fingerprint are joined with
 the earliest place of the same window, and overlapping windows are one match.  A line is deleted if it lies in
-such a window that occurs earlier: in a document of smaller doc_id, or further up in the same one.  Of a run that
-repeats itself with overlap, the first period stays.
-
-By default, which is what the SQL of ``op4_line_dedup`` says, the last lines of a repeated run stay if no window
-that starts at one of them ends within the run: they hold fewer than ``least_words`` words.  With ``whole_runs``
-the windows that end at a line and start at the last one with which they hold ``least_words`` words count as well.
-Every line of a repeated run lies in a window of one of the two kinds that is within the run, so the match grows
-both ways to its full length, whichever earlier place it agrees with.
+such a window that occurs earlier.  Of a run that repeats itself with overlap, the first period stays.
 
 Places of a window are reduced to the earliest by a minimum that combines before the shuffle, so a passage in
 a third of all documents forms no pairs.  Lines are compared as 64-bit hashes, windows by the hash of theirs.
@@ -63,7 +60,7 @@ def _minimal(hashes: list[int], words: list[int], least_words: int) -> Iterator[
             least.popleft()
 
 
-def windows(lines: list[str], least_words: int, whole_runs: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+def windows(lines: list[str], least_words: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(first line, line after the last, fingerprint's line, fingerprint, hash of the window) of each window."""
     coded = [line.encode() for line in lines]
     hashes = [xxhash.xxh64_intdigest(line) for line in coded]
@@ -71,24 +68,22 @@ def windows(lines: list[str], least_words: int, whole_runs: bool = False) -> Ite
     words = [len(line.split()) for line in coded]  # bytes are split at ASCII white space only
     stops = {}
     for start, stop, at in _minimal(hashes, words, least_words):
-        if whole_runs:
-            stops[start] = stop
+        stops[start] = stop
         yield start, stop, at, hashes[at], xxhash.xxh64_intdigest(packed_hashes[8 * start : 8 * stop])
-    if whole_runs:
-        n = len(lines)
-        for *bounds, at in _minimal(hashes[::-1], words[::-1], least_words):
-            stop, start = (n - x for x in bounds)
-            # A window of both kinds is one wherever it occurs, and has been given already.
-            if stops.get(start) != stop:
-                at = n - 1 - at
-                yield start, stop, at, hashes[at], xxhash.xxh64_intdigest(packed_hashes[8 * start : 8 * stop])
+    n = len(lines)
+    for *bounds, at in _minimal(hashes[::-1], words[::-1], least_words):
+        stop, start = (n - x for x in bounds)
+        # A window of both kinds is one wherever it occurs, and has been given already.
+        if stops.get(start) != stop:
+            at = n - 1 - at
+            yield start, stop, at, hashes[at], xxhash.xxh64_intdigest(packed_hashes[8 * start : 8 * stop])
 
 
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def _window_batches(least_words: int, whole_runs: bool):
+def _window_batches(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -97,7 +92,7 @@ def _window_batches(least_words: int, whole_runs: bool):
                     (doc, key, *w)
                     for doc, key, text in zip(ids[k : k + 64], keys[k : k + 64], texts[k : k + 64])
                     if text
-                    for w in windows(text.split("\n"), least_words, whole_runs)
+                    for w in windows(text.split("\n"), least_words)
                 ]
                 if rows:
                     doc, key, start, stop, at, prints, window = zip(*rows)
@@ -119,10 +114,10 @@ def _place(*more: str) -> Column:
     return F.struct("doc_id", "text_key", *more)
 
 
-def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per document with repeats: doc_id, text_key, runs (array of first line, line after the last)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("text_key"), "text")
-    found = stored(map_batches(texts, _window_batches(least_words, whole_runs), _WINDOWS), "lines-windows")
+    found = stored(map_batches(texts, _window_batches(least_words), _WINDOWS), "lines-windows")
     places = found.groupBy("print").agg(F.min(_place("at")).alias("first"), F.max(_place("at")).alias("last"))
     shared = places.where("first != last").select("print")
     around = found.join(shared, "print", "left_semi")
@@ -160,9 +155,9 @@ def _rewritten(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
         )
 
 
-def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``row`` (the input row as a struct), its deduplicated ``text``, n_lines and n_removed."""
-    found = repeated_runs(docs, least_words, whole_runs).select(
+    found = repeated_runs(docs, least_words).select(
         F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), "windows"
     )
     rows = docs.select(packed(docs).alias("row"))
@@ -173,9 +168,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs: boo
     return joined.select("row", "done.*")
 
 
-def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated runs cut from their texts; documents of which nothing stays are left out."""
-    done = dedup_lines(docs, least_words, whole_runs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    done = dedup_lines(docs, least_words).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return done.select(
         *[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     )

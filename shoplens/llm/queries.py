@@ -183,6 +183,11 @@ _LINES = f"""
         FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.pos >= a.pos
              AND b.upto - a.upto + a.words >= {linededup.LEAST_WORDS}
         GROUP BY a.doc_id, a.pos
+        UNION
+        SELECT b.doc_id, max(a.pos), b.pos
+        FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.pos >= a.pos
+             AND b.upto - a.upto + a.words >= {linededup.LEAST_WORDS}
+        GROUP BY b.doc_id, b.pos
     ),
     wins AS (
         SELECT e.*, array_to_string(list_slice(lines, start, stop), chr(10)) AS content

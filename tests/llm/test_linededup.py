@@ -7,21 +7,26 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows, least):
-    """Texts by doc_id, in the order of ids."""
+    """Texts by doc_id, in the order of ids: runs as the shortest ones that begin or end at each line."""
     seen, out = set(), {}
     for doc, text in sorted(rows):
         lines = text.split("\n")
+        words = [len(WORD.findall(line)) for line in lines]
+        spans = set()
+        for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+            for i in order:
+                total = 0
+                for j in order[order.index(i) :]:
+                    total += words[j]
+                    if total >= least:
+                        spans.add((min(i, j), max(i, j) + 1))
+                        break
         gone = set()
-        for i in range(len(lines)):
-            total = 0
-            for j in range(i, len(lines)):
-                total += len(WORD.findall(lines[j]))
-                if total >= least:
-                    key = tuple(lines[i : j + 1])
-                    if key in seen:
-                        gone.update(range(i, j + 1))
-                    seen.add(key)
-                    break
+        for start, stop in sorted(spans):
+            key = tuple(lines[start:stop])
+            if key in seen:
+                gone.update(range(start, stop))
+            seen.add(key)
         out[doc] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
     return out
 
@@ -89,8 +94,8 @@ def brute_runs(rows, least):
 def test_the_tail_of_a_whole_run_goes(make):
     long, short = (" ".join(f"{w}{i}" for i in range(n)) for w, n in (("a", 40), ("b", 20)))
     docs = make((1, f"x\n{long}\n{short}\ny", "en", "a"), (2, f"p\n{long}\n{short}\nq", "en", "a"))
-    assert done(docs, whole_runs=True)[2]["text"] == "p\nq"
-    assert done(docs, whole_runs=True)[1]["n_removed"] == 0
+    assert done(docs)[2]["text"] == "p\nq"
+    assert done(docs)[1]["n_removed"] == 0
 
 
 def test_whole_runs_against_brute_force(make):
@@ -99,14 +104,14 @@ def test_whole_runs_against_brute_force(make):
     rows = [(k, "\n".join(pick.choice(pool) for _ in range(pick.randrange(1, 14)))) for k in range(120)]
     docs = make(*[(k, text, "en", "a") for k, text in rows])
     for least in (4, 9, 15):
-        assert {d: r["text"] for d, r in done(docs, least_words=least, whole_runs=True).items()} == brute_runs(rows, least)
+        assert {d: r["text"] for d, r in done(docs, least_words=least).items()} == brute_runs(rows, least)
 
 
 def test_whole_runs_of_the_table(documents):
     # Longer documents have too many runs to list them all.
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     short = [(d, text) for d, text in rows if text.count("\n") < 60]
-    found = done(documents.where("len(text) - len(replace(text, '\n', '')) < 60"), whole_runs=True)
+    found = done(documents.where("len(text) - len(replace(text, '\n', '')) < 60"))
     assert {d: r["text"] for d, r in found.items()} == brute_runs(short, 30)
 
 
