@@ -49,6 +49,18 @@ def line_items(spark: SparkSession, folder: str) -> DataFrame:
     return plans.line_items(data.order_documents(spark, folder), data.products(spark, folder))
 
 
+def line_items_hot_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lines with the products of many lines dealt out; three quarters are moved to five products."""
+    orders, few = data.order_documents(spark, folder), F.lit(5).cast("bigint")
+    moved = F.transform(
+        "items",
+        lambda line: line.withField(
+            "product_id", F.when(line["product_id"] % 4 == 0, line["product_id"]).otherwise(line["product_id"] % few + 1)
+        ),
+    )
+    return plans.line_items(orders.withColumn("items", moved), data.products(spark, folder), salts=16)
+
+
 def dedupe_basket(spark: SparkSession, folder: str) -> DataFrame:
     return ops.basket_items(data.lines(spark, folder))
 
@@ -527,6 +539,7 @@ def queries() -> dict[str, Query]:
     """Every query by name; each takes (spark, folder of the tables)."""
     plain = [
         line_items,
+        line_items_hot_products,
         dedupe_basket,
         also_bought,
         also_bought_large_baskets,
@@ -761,6 +774,17 @@ def oracle_sql() -> dict[str, str]:
                    p_name AS product_name, p_size % 25 AS category_id
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         """,
+        "line_items_hot_products": f"""
+            WITH moved AS (
+                SELECT *, CASE WHEN l_partkey % 4 = 0 THEN l_partkey ELSE l_partkey % 5 + 1 END AS product_id FROM lineitem
+            )
+            SELECT l_orderkey AS transaction_id, o_custkey AS user_id, o_orderdate AS "timestamp",
+                   product_id, CAST(l_quantity AS INTEGER) AS quantity,
+                   {_UNIT_CENTS.replace("p_retailprice", "price.p_retailprice")} / 100 AS unit_price, l_extendedprice AS subtotal,
+                   named.p_name AS product_name, named.p_size % 25 AS category_id
+            FROM moved JOIN orders ON l_orderkey = o_orderkey JOIN part price ON l_partkey = price.p_partkey
+                 LEFT JOIN part named ON product_id = named.p_partkey
+        """,
         "dedupe_basket": """
             SELECT DISTINCT l_orderkey AS transaction_id, l_partkey AS product_id FROM lineitem
             WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL

@@ -6,6 +6,7 @@ from .dedupe import basket_items, latest_by_key
 from .distribution import box_stats, exact_quantiles, histogram
 from .lines import in_time_range, line_total_parts, order_lines
 from .sessions import flatten_sessions
+from .skew import hot_keys, join_hot
 
 __all__ = [
     "basket_items",
@@ -15,7 +16,9 @@ __all__ = [
     "exact_quantiles",
     "flatten_sessions",
     "histogram",
+    "hot_keys",
     "in_time_range",
+    "join_hot",
     "latest_by_key",
     "line_total_parts",
     "order_lines",
