@@ -6,14 +6,15 @@ document in a long one as well as that of equals.  A text whose hashes all lie a
 one as a stand-in; being above the threshold, a stand-in is recognised, and a merge with kept hashes drops it.
 The containment of short texts is an estimate from few hashes; README gives its error by size.
 
-For the comparison of neighbours, documents are dealt into cells of ascending doc_id, each cell is sorted, and the
-first document of a cell is also sent to the cell before it, so that the next document is at hand everywhere.  The
-cells follow quantiles of doc_id; there are at most ``MOST_CELLS``, so the table of their heads is small at any size
-of the corpus and may be broadcast.  Texts travel to their cells once, compressed.
+For the comparison of neighbours, documents are sorted by ranges of doc_id, compressed, and stored with their places.
+Each partition of that table is cut into cells of CELL rows, whatever ids they have, so the size of a cell does not
+depend on the size of the corpus.  The first document of a cell is also sent to the cell before it, so that the next
+document is at hand everywhere; only the partitions' own ends have to be looked up, in a table with a row for each.
 
 * null or empty text, or text without words: empty fingerprint.  Two empty fingerprints are alike (1), an empty
   and a full one are not (0).  Texts with fewer words than a shingle have one shingle of all their words.
-* null doc_id comes first.  Repeated ids follow each other in the order of their texts' hashes.
+* null doc_id comes first.  Repeated ids follow each other in the order of their texts' hashes, so equal rows do.
+* very long texts: read whole, by the task that has their cell.
 * one document alone is its own next document.  An empty table gives an empty result.
 * other columns are neither read nor needed, and may have any name.
 """
@@ -36,8 +37,6 @@ from .common import arrow_column, held, map_batches, stored
 SHINGLE = 5
 FRACTION = 1 / 2
 CELL = 512
-MOST_CELLS = 8192
-QUANTILES = 64
 REMEMBERED_WORDS = 300_000
 
 
@@ -110,20 +109,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _cell(bounds: list[int], parts: int) -> Column:
-    """A number that ascends with doc_id: the stretch between two bounds, cut into equal parts."""
-    if not bounds:
-        return F.lit(0).cast("long")
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    doc = F.col("doc_id").cast("long")
-    stretch = F.greatest(F.size(F.filter(edges, lambda b: b <= doc)), F.lit(1))
-    low = F.element_at(edges, stretch)
-    high = F.coalesce(F.get(edges, stretch), low + 1)
-    part = F.floor((doc - low) / (high - low) * parts)
-    inside = F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))
-    return F.coalesce(stretch.cast("long") * parts + inside, F.lit(-1).cast("long"))
-
-
 def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     compressor = zstandard.ZstdCompressor(level=3)
     for texts in batches:
@@ -132,30 +117,35 @@ def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text, that of the next document by doc_id (after the last: the first), compressed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probes = [i / QUANTILES for i in range(QUANTILES)]
-    found = rows.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", probes, 2000).alias("bounds")).first()
-    bounds = sorted(set(found["bounds"] or []))
-    cells = min(MOST_CELLS, found["n"] // CELL + 1)
-    rows = rows.withColumn("cell", _cell(bounds, max(1, cells // QUANTILES)))
-    # At most MOST_CELLS and one rows: the first document of each cell, and the cell before it.
-    heads = rows.groupBy("cell").agg(F.min(F.struct("doc_id")).alias("head"))
-    before = F.coalesce(F.lag("cell").over(Window.orderBy("cell")), F.max("cell").over(Window.partitionBy()))
-    heads = stored(
-        heads.select(F.col("head.doc_id").alias("head_id"), before.alias("before"), F.lit(True).alias("is_head")),
-        "sketch-heads",
-    )
-    flagged = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")), "left")
-    places = F.array(F.struct("cell", F.lit(False).alias("guest")))
-    places = F.when(
-        F.col("is_head"), F.concat(places, F.array(F.struct(F.col("before").alias("cell"), F.lit(True).alias("guest"))))
-    ).otherwise(places)
     small = arrow_column(docs.sparkSession, _compressed, "binary")(F.col("text"))
-    dealt = flagged.select("doc_id", small.alias("text"), places.alias("places"))
-    dealt = dealt.select("doc_id", "text", F.explode("places").alias("at")).select("doc_id", "text", "at.*")
-    order = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    following = F.lead("text").over(order).alias("next_text")
-    return dealt.select("doc_id", "text", following, "guest").where("not guest").drop("guest")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("of_text"),
+        # The last key cuts rows that are equal in both others, of which there may be very many.
+        F.monotonically_increasing_id().alias("nth"),
+        small.alias("text"),
+    )
+    order = [F.col("doc_id").asc_nulls_first(), F.col("of_text"), F.col("nth")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(dealt.select("doc_id", "text", F.monotonically_increasing_id().alias("place")), "sketch-places")
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    cells = placed.withColumn("part", part).withColumn("cell", F.floor(row / CELL)).withColumn("head", row % CELL == 0)
+    # One row per partition, and what comes before it: the last cell of the partition before, or of the last one.
+    ends = cells.groupBy("part").agg(F.max("cell").alias("last_cell"))
+    end = F.struct("part", "last_cell")
+    before = F.coalesce(F.lag(end).over(Window.orderBy("part")), F.max(end).over(Window.partitionBy()))
+    ends = ends.select(F.col("part").alias("of_part"), before.alias("before"))
+    guests = F.when(F.col("cell") > 0, F.struct("part", (F.col("cell") - 1).alias("cell")))
+    guests = guests.otherwise(F.struct(F.col("before.part").alias("part"), F.col("before.last_cell").alias("cell")))
+    own = F.struct("part", "cell", F.lit(False).alias("guest"))
+    sent = F.struct(guests["part"].alias("part"), guests["cell"].alias("cell"), F.lit(True).alias("guest"))
+    places = F.when(F.col("head"), F.array(own, sent)).otherwise(F.array(own))
+    flagged = cells.join(ends, F.col("part") == F.col("of_part")).select("doc_id", "text", "place", F.explode(places).alias("at"))
+    following = Window.partitionBy("part", "cell").orderBy("guest", "place")
+    paired = flagged.select("doc_id", "text", "place", "at.*").select(
+        "doc_id", "text", F.lead("text").over(following).alias("next_text"), "guest"
+    )
+    return paired.where("not guest").drop("guest")
 
 
 def word_hashes() -> WordHashes:

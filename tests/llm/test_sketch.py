@@ -31,6 +31,31 @@ def test_neighbours(documents, monkeypatch):
             assert r["near_next"] == s.containment(own, third)
 
 
+def test_clustered_and_missing_ids(spark, make, monkeypatch):
+    """Far clusters of ids, a third of the rows without id, equal rows: cells keep their size, neighbours are right."""
+    monkeypatch.setattr(s, "CELL", 16)
+    rows = [(k, f"near {k}") for k in range(100)] + [(10**15 + k, f"far {k}") for k in range(100)]
+    rows += [(None, f"none {k % 50}") for k in range(90)] + [(None, "same")] * 30
+    docs = make(*[(doc, text, "en", "a") for doc, text in rows]).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = [
+            tuple(None if v is None else s.zstandard.ZstdDecompressor().decompress(v).decode() for v in row[1:])
+            for row in s.with_next(docs).collect()
+        ]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(text for text, _ in pairs) == sorted(text for _, text in rows)
+    assert sorted(after for _, after in pairs) == sorted(text for _, text in rows)
+    after = {text: following for text, following in pairs if text.startswith(("near", "far"))}
+    assert all(after[f"near {k}"] == f"near {k + 1}" for k in range(99))
+    assert after["near 99"] == "far 0"
+    assert after["far 99"].startswith(("none", "same"))  # the first document, one without id
+    ends = [text for text, following in pairs if following == "near 0"]
+    assert len(ends) == 1 and ends[0].startswith(("none", "same"))
+    assert sum(text == following == "same" for text, following in pairs) >= 29
+
+
 def test_containment_of_unequal_documents():
     long = " ".join(f"w{i}" for i in range(20_000))
     short = " ".join(f"w{i}" for i in range(4000, 5000)) + " " + " ".join(f"v{i}" for i in range(1000))
