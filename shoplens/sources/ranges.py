@@ -48,10 +48,10 @@ class Bounds(NamedTuple):
         return F.element_at(F.lit(self.numbers), found["low"] + 1)
 
     def with_prefix(self, prefix: str) -> list[int]:
-        """The ranges that may hold keys that begin with a text."""
+        """The ranges that may hold keys that begin with a text; the first one also holds what is below all bounds."""
         first = max(bisect_left(self.least, prefix) - 1, 0)
         last = bisect_right(self.least, prefix + chr(0x10FFFF))
-        return self.numbers[first:last]
+        return self.numbers[first : max(last, first + 1)]
 
 
 def write_ranges(df: DataFrame, path: str, ranges: int, key: str = "row_key", tie: str = "session_id") -> Bounds:

@@ -50,6 +50,10 @@ def test_range_of_a_key(spark, least, keys):
             assert not k.startswith(prefix) or number in inside
 
 
+def test_a_prefix_below_all_bounds_is_in_the_first_range():
+    assert Bounds(["a", "b"], [3, 5]).with_prefix("_") == [3]
+
+
 def test_ranges_are_ordered_and_whole(spark, stored):
     table = read_ranges(spark, stored)
     assert table.count() == 200
