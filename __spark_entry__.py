@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,8 @@ from shoplens.streaming import ingest_files, ingest_growing_sessions, ingest_ses
 try:  # an optional part of the library, with its pipeline
     import corpus_pipeline
     from shoplens.llm import queries as training_text
-except ImportError:
+except ImportError as missing:
+    warnings.warn(f"the training text queries are left out: {missing}", stacklevel=1)
     corpus_pipeline = training_text = None
 
 Query = Callable[[SparkSession, str], DataFrame]
