@@ -6,14 +6,16 @@ document in a long one as well as that of equals.  A text whose hashes all lie a
 one as a stand-in; being above the threshold, a stand-in is recognised, and a merge with kept hashes drops it.
 The containment of short texts is an estimate from few hashes; README gives its error by size.
 
-For the comparison of neighbours, documents are sorted by ranges of doc_id, compressed, and stored with their places.
-Each partition of that table is cut into cells of CELL rows, whatever ids they have, so the size of a cell does not
-depend on the size of the corpus.  The first document of a cell is also sent to the cell before it, so that the next
-document is at hand everywhere; only the partitions' own ends have to be looked up, in a table with a row for each.
+For the comparison of neighbours, ids and hashes of texts, without the texts, are sorted by ranges and stored with their
+places.  Each partition of that table is cut into cells of CELL rows, whatever ids they have, so the size of a cell does
+not depend on the size of the corpus.  Texts travel to their cells compressed.  The first document of a cell is also sent
+to the cell before it, so that the next document is at hand everywhere; only the partitions' own ends have to be looked
+up, in a table with a row for each.
 
 * null or empty text, or text without words: empty fingerprint.  Two empty fingerprints are alike (1), an empty
   and a full one are not (0).  Texts with fewer words than a shingle have one shingle of all their words.
-* null doc_id comes first.  Repeated ids follow each other in the order of their texts' hashes, so equal rows do.
+* null doc_id comes first.  Repeated ids follow each other in the order of their texts' hashes.  Rows equal in id and
+  text follow each other and share a cell.
 * very long texts: read whole, by the task that has their cell.
 * one document alone is its own next document.  An empty table gives an empty result.
 * other columns are neither read nor needed, and may have any name.
@@ -117,30 +119,32 @@ def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text, that of the next document by doc_id (after the last: the first), compressed."""
-    small = arrow_column(docs.sparkSession, _compressed, "binary")(F.col("text"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("of_text"),
-        # The last key cuts rows that are equal in both others, of which there may be very many.
-        F.monotonically_increasing_id().alias("nth"),
-        small.alias("text"),
-    )
-    order = [F.col("doc_id").asc_nulls_first(), F.col("of_text"), F.col("nth")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stored(dealt.select("doc_id", "text", F.monotonically_increasing_id().alias("place")), "sketch-places")
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text")]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("of_text")]
+    keys = docs.select(*key).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(keys.select("*", F.monotonically_increasing_id().alias("place")), "sketch-places")
     part, row = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    cells = placed.withColumn("part", part).withColumn("cell", F.floor(row / CELL)).withColumn("head", row % CELL == 0)
     # One row per partition, and what comes before it: the last cell of the partition before, or of the last one.
-    ends = cells.groupBy("part").agg(F.max("cell").alias("last_cell"))
+    ends = placed.groupBy(part.alias("part")).agg(F.floor(F.max(row) / CELL).alias("last_cell"))
     end = F.struct("part", "last_cell")
     before = F.coalesce(F.lag(end).over(Window.orderBy("part")), F.max(end).over(Window.partitionBy()))
-    ends = ends.select(F.col("part").alias("of_part"), before.alias("before"))
+    ends = stored(ends.select(F.col("part").alias("of_part"), before.alias("before")), "sketch-ends")
+
+    small = arrow_column(docs.sparkSession, _compressed, "binary")(F.col("text"))
+    rows = docs.select(*key, small.alias("text"))
+    found = placed.select(F.col("doc_id").alias("of_doc"), F.col("of_text").alias("same_text"), "place")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("of_text") == F.col("same_text"))
+    cells = rows.join(found, same).select(
+        "doc_id", "text", "place", part.alias("part"), F.floor(row / CELL).alias("cell"), (row % CELL == 0).alias("head")
+    )
     guests = F.when(F.col("cell") > 0, F.struct("part", (F.col("cell") - 1).alias("cell")))
     guests = guests.otherwise(F.struct(F.col("before.part").alias("part"), F.col("before.last_cell").alias("cell")))
     own = F.struct("part", "cell", F.lit(False).alias("guest"))
     sent = F.struct(guests["part"].alias("part"), guests["cell"].alias("cell"), F.lit(True).alias("guest"))
     places = F.when(F.col("head"), F.array(own, sent)).otherwise(F.array(own))
-    flagged = cells.join(ends, F.col("part") == F.col("of_part")).select("doc_id", "text", "place", F.explode(places).alias("at"))
+    # The broadcast side has a row for each partition of the sort.
+    flagged = cells.join(F.broadcast(ends), F.col("part") == F.col("of_part"))
+    flagged = flagged.select("doc_id", "text", "place", F.explode(places).alias("at"))
     following = Window.partitionBy("part", "cell").orderBy("guest", "place")
     paired = flagged.select("doc_id", "text", "place", "at.*").select(
         "doc_id", "text", F.lead("text").over(following).alias("next_text"), "guest"
