@@ -112,7 +112,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _compressed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    compressor = zstandard.ZstdCompressor(level=3)
+    compressor = zstandard.ZstdCompressor(level=6)
     for texts in batches:
         yield pa.array([compressor.compress((t or "").encode()) for t in texts.to_pylist()], pa.binary())
 
