@@ -20,15 +20,19 @@ are paired within a basket if it is of moderate size; in the others either withi
 pairs, within a word, whose shared bits then count as many baskets at once.  Both are done in blocks.
 
 So one basket with a third of all lines costs a few passes over its lines, and no result is lost.
+Tasks that form pairs, or add them up, are as many as the pairs ask for, so none holds more the larger the data is.
 Before any of this, large data sets drop the products that are sold too rarely to matter, by the same
 kind of bound.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import MOST_PARTITIONS, fine_stages, tasks_for
 from ..sources.scratch import stored
 from .lookup import BROADCAST_ROWS, only
 
@@ -49,6 +53,17 @@ def _pairs_of_small(baskets: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(lines: DataFrame, key: str, pairs: int) -> DataFrame:
+    """The lines dealt out by basket, so that a task forms about as many pairs as it may hold; few are left alone.
+
+    Adaptive execution would merge partitions by what they read, which says nothing of the pairs within.
+    """
+    tasks = min(tasks_for(pairs), MOST_PARTITIONS)
+    if tasks <= 1:
+        return lines
+    return lines.repartition(max(tasks, lines.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def _small_and_large(
     lines: DataFrame, sizes: DataFrame, small: int, total: int, large: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +125,10 @@ def _pairs_of_large(picked: DataFrame, moderate: int, largest: int) -> DataFrame
     Baskets of up to ``moderate`` lines are enumerated.  The others go by words of 64 baskets or one by one,
     whichever pairs fewer products.
     """
-    listed = picked.where(F.col("n") <= moderate).groupBy("number")
+    # A basket of n lines holds at most (n - 1) / 2 pairs for each of them.
+    few = F.col("n") <= moderate
+    most = picked.where(few).agg(F.expr("coalesce(sum(n - 1), 0L) as most")).first()["most"] // 2
+    listed = _dealt(picked.where(few), "number", most).groupBy("number")
     enumerated = _pairs_of_small(listed.agg(F.array_sort(F.collect_list("product_id")).alias("products")))
     enumerated = enumerated.select("a", "b", F.lit(1).cast("bigint").alias("n"))
     if largest <= moderate:
@@ -153,9 +171,9 @@ def _ranking(count: str) -> list[Column]:
     return [F.col(count).desc(), F.col("a"), F.col("b")]
 
 
-def _light_counts(lines: DataFrame) -> DataFrame:
-    """``a, b, light`` over baskets of bounded size."""
-    baskets = lines.groupBy("transaction_id").agg(
+def _light_counts(lines: DataFrame, pairs: int = 0) -> DataFrame:
+    """``a, b, light`` over baskets of bounded size, which hold at most ``pairs`` pairs if that is known."""
+    baskets = _dealt(lines, "transaction_id", pairs).groupBy("transaction_id").agg(
         F.array_sort(F.collect_set("product_id")).alias("products")
     )
     return _pairs_of_small(baskets).groupBy("a", "b").agg(F.count("*").alias("light"))
@@ -183,8 +201,11 @@ def _without_rare(lines: DataFrame, k: int) -> tuple[DataFrame, int]:
     return lines.join(F.broadcast(frequent), "product_id", "left_semi"), kth[1]
 
 
-def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int, int]:
-    """Lines and number of each large transaction, stored; and on the driver, all lines, how many are large, the largest.
+def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int, int, int, int]:
+    """Lines and number of each large transaction, stored; and some numbers on the driver.
+
+    These are all lines, how many transactions are large, the largest, and the pairs of lines within small
+    transactions and within large ones of up to SMALL_BASKET lines.
 
     One pass gives all three.  Lines without a product may be counted in: the sizes are upper bounds.
     """
@@ -196,31 +217,40 @@ def _shape(lines: DataFrame, small: int) -> tuple[DataFrame, int, int, int]:
         F.expr("coalesce(sum(n), 0L) as total"),
         F.expr(f"count_if(n > {small}) as large"),
         F.expr("coalesce(max(n), 0L) as largest"),
+        F.expr(f"coalesce(sum(if(n <= {small}, n * (n - 1) div 2, 0L)), 0L) as pairs"),
+        F.expr(f"coalesce(sum(if(n > {small} and n <= {SMALL_BASKET}, n * (n - 1) div 2, 0L)), 0L) as more"),
     )
     numbered = measured.where(F.col("n") > small).withColumn("number", F.monotonically_increasing_id())
     large_sizes = stored(numbered, "basket-sizes")
-    return large_sizes, shape.get["total"], shape.get["large"], shape.get["largest"]
+    found = shape.get
+    return large_sizes, *(found[name] for name in ("total", "large", "largest", "pairs", "more"))
 
 
 def _top_pairs(
-    items: DataFrame, k: int, small: int, prune_from: int = PRUNE_FROM_LINES
+    items: DataFrame,
+    k: int,
+    small: int,
+    prune_from: int = PRUNE_FROM_LINES,
+    expect: Callable[[int], None] = lambda rows: None,
 ) -> DataFrame:
     """``a, b, co_count`` of the k most frequent pairs, ties by ids.
 
     A few numbers about sizes come to the driver first.  Without large baskets, the usual case, the
-    enumeration is the whole plan.
+    enumeration is the whole plan.  ``expect`` is told how many rows the stages to come may meet.
     """
     lines = items.select("transaction_id", "product_id").na.drop()
     floor = 1
-    sizes, total, large, largest = _shape(items, small)
+    sizes, total, large, largest, pairs, more = _shape(items, small)
+    expect(total)
     if total >= prune_from:
         lines, floor = _without_rare(lines, k)
-        sizes, total, large, largest = _shape(lines, small)
+        sizes, total, large, largest, pairs, more = _shape(lines, small)
+    expect(max(total, pairs + more))
     if large == 0:
-        light = _light_counts(lines).withColumnRenamed("light", "co_count")
+        light = _light_counts(lines, pairs).withColumnRenamed("light", "co_count")
         return light.orderBy(*_ranking("co_count")).limit(k)
     light_lines, members = _small_and_large(lines, sizes, small, total, large)
-    return _top_with_large(_light_counts(light_lines), members, k, floor, largest)
+    return _top_with_large(_light_counts(light_lines, pairs), members, k, floor, largest)
 
 
 def _top_with_large(
@@ -266,7 +296,7 @@ def _top_with_large(
     )
     paired = F.coalesce(F.col("chosen_a") & F.col("chosen_b"), F.lit(False))
     apart = hopeful.where((F.least("h_a", "h_b") > 0) & ~paired)
-    picked = members.join(known.where("chosen"), "product_id", "left_semi")
+    picked = stored(members.join(known.where("chosen"), "product_id", "left_semi"), "picked-lines")
     counts = (
         hopeful.select("a", "b", F.col("light").alias("n"))
         .unionByName(_shared_baskets(apart, members))
@@ -293,7 +323,8 @@ def also_bought(
     ``small_basket`` only divides the work, and ``prune_from`` lines or more are pruned of rare products
     first; neither changes the result.
     """
-    best = stored(_top_pairs(line_items, k, small_basket, prune_from), "top-pairs")
+    with fine_stages(line_items.sparkSession) as expect:
+        best = stored(_top_pairs(line_items, k, small_basket, prune_from, expect), "top-pairs")
     if products is None:
         names = line_items.groupBy("product_id").agg(F.min("product_name").alias("name"))
     else:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from conftest import rows
+from shoplens import session
 from shoplens.plans import also_bought, baskets, copurchase_totals
 
 ITEMS = "transaction_id bigint, product_id bigint"
@@ -117,6 +118,31 @@ def test_bitmaps_count_shared_baskets(spark):
     assert sorted(rows(shared)) == [(1, 2, 50), (2, 3, 25)]
 
 
+@pytest.mark.parametrize("large_baskets", [0, 6])
+def test_tasks_are_as_many_as_the_pairs_ask_for(spark, monkeypatch, large_baskets):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    lines = random_lines(random.Random(large_baskets), 150, large_baskets, 40)
+    df = spark.createDataFrame(lines, ITEMS)
+    assert rows(baskets._top_pairs(df, 9, 8)) == brute_force(lines, 9)
+    _, _, _, _, pairs, more = baskets._shape(df.na.drop(), 8)
+    assert pairs > 200 and (more > 200) == bool(large_baskets)
+    dealt = baskets._light_counts(df, pairs)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert baskets._dealt(df, "transaction_id", pairs).rdd.getNumPartitions() == -(-pairs // 20)
+
+
+def test_settings_of_fine_stages_are_put_back(spark):
+    names = (session.PARTITIONS, session.ADVISORY)
+    spark.conf.set(session.PARTITIONS, "4")
+    before = [spark.conf.get(name, None) for name in names]
+    with session.fine_stages(spark) as expect:
+        expect(10 * session.ROWS_PER_TASK)
+        assert [spark.conf.get(name) for name in names] == ["10", str(session.FINE_READ)]
+        expect(1)
+        assert spark.conf.get(session.PARTITIONS) == "4"
+    assert [spark.conf.get(name, None) for name in names] == before
+
+
 def test_names_and_ties(spark):
     items = spark.createDataFrame(
         [
