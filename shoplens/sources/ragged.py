@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ PLACE = "place"
 def _placed(rows: DataFrame, record: str, order_by: Sequence[str | Column]) -> DataFrame:
     """``place``, which grows in the order asked for, and the record; computed once and stored.
 
-    Ranges over the order spread the sort; without an order the rows are numbered as they lie.
+    Ranges over the order spread the sort; without an order the rows are numbered as they lie.  Each task leaves
+    one file in order, and the files by number of their task are in order.
     """
     if order_by:
         rows = rows.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
@@ -25,6 +28,22 @@ def _placed(rows: DataFrame, record: str, order_by: Sequence[str | Column]) -> D
     )
 
 
+def _file_by_file(placed: DataFrame) -> DataFrame:
+    """The stored rows in one partition that reads one file after the other: nothing is sorted or held there."""
+
+    def place(name: str) -> tuple[int, ...]:
+        """Number of the task, and of the file where the session splits a task's rows."""
+        task, *_, count = name.rsplit("/part-", 1)[-1].split(".")[0].split("-")
+        return int(task), int(count.removeprefix("c"))
+
+    names = sorted(map(unquote, placed.inputFiles()), key=place)
+    runs = [placed.sparkSession.read.schema(placed.schema).parquet(name) for name in names]
+    while len(runs) > 1:
+        runs = [reduce(DataFrame.union, runs[i : i + 2]) for i in range(0, len(runs), 2)]
+    # Without a shuffle, and all files in one file system, the partitions stay in the order of the union.
+    return runs[0].coalesce(1)
+
+
 def _keys_in_order(placed: DataFrame) -> list[str]:
     """The union of all records' keys, first those of the first row, then what later rows add.
 
@@ -73,9 +92,11 @@ def write_ragged(
     placed = _placed(rows, record, order_by)
     keys = _keys_in_order(placed)
     if keys:
-        # The place stays behind as the order of the rows; its name cannot be one of the keys.
-        ordered = placed.select(F.col(PLACE).alias("_place"), "record")
-        write_ordered(
-            ordered, path, ["_place"], single_file, [F.col("record")[F.lit(key)].alias(key) for key in keys]
-        )
+        columns = [F.col("record")[F.lit(key)].alias(key) for key in keys]
+        if single_file:
+            write_ordered(_file_by_file(placed), path, [], False, columns)
+        else:
+            # The place stays behind as the order of the rows; its name cannot be one of the keys.
+            ordered = placed.select(F.col(PLACE).alias("_place"), "record")
+            write_ordered(ordered, path, ["_place"], False, columns)
     return keys

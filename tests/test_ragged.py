@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from shoplens.session import tune
 from shoplens.sources import union_of_rows, write_ragged, write_result
 
 
@@ -57,6 +58,33 @@ def test_many_files_hold_the_same_rows(spark, tmp_path):
     assert sorted(int(r.n) for r in back.collect()) == list(range(300))
 
 
+@pytest.mark.parametrize("per_file", [0, 400])
+def test_one_file_of_many_ranges_is_written_without_a_sort_in_one_task(spark, tmp_path, per_file):
+    from shoplens.sources import ragged
+
+    df = frame(spark, *[{f"k{i % 7}": str(i), "n": str(i)} for i in range(3000)]).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", str(per_file))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        placed = ragged._placed(df, "record", ["n"])
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        assert len(placed.inputFiles()) > 3
+        whole = ragged._file_by_file(placed)
+        assert whole.rdd.getNumPartitions() == 1
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Exchange" not in plan
+        assert [int(r.n) for r in whole.select(F.col("record")["n"].alias("n")).collect()] == list(range(3000))
+        write_ragged(df, str(tmp_path / "out"), "record", [F.col("n").desc()], single_file=True)
+    finally:
+        for name in ("adaptive.coalescePartitions.enabled", "files.maxRecordsPerFile", "files.maxPartitionBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
+        tune(spark)
+    lines = one_file(tmp_path / "out")
+    at = lines[0].index("n")
+    assert [int(line[at]) for line in lines[1:]] == list(range(2999, -1, -1))
+
+
 def test_nothing_is_written_without_rows_or_keys(spark, tmp_path):
     (tmp_path / "kept").mkdir()
     (tmp_path / "kept" / "part-0.csv").write_text("old\n")
