@@ -20,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +38,7 @@ END = "</w>"
 REMEMBERED_WORDS = 200_000
 REMEMBERED_LENGTH = 64
 REMEMBERED_PAIRS = 500_000
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def _byte_symbols() -> list[str]:
@@ -83,11 +86,21 @@ class Encoder:
             self.merged[pair] = whole
             self.rank[whole] = rank
             self.parts[whole] = pair
-        self.longest = max(len(t.removesuffix(END)) for t in self.token)
+        self.sizes = {END: self._sizes_by_end(END), "": self._sizes_by_end("")}
         self.stable_pairs: dict[tuple[int, int], bool] = {}
         self.plain: dict[str, tuple[bytes, str]] = {}
         self.other: dict[str, tuple[bytes, str]] = {}
 
+    def _sizes_by_end(self, mark: str) -> dict[str, tuple[int, ...]]:
+        """The lengths of the tokens of four symbols and more, longest first, by their last four symbols."""
+        sizes: dict[str, set[int]] = {}
+        for token in self.token:
+            if token.endswith(END) == bool(mark):
+                body = token.removesuffix(END)
+                if len(body) > 3:
+                    sizes.setdefault(body[-4:], set()).add(len(body))
+        return {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
+
     @classmethod
     def load(cls, path: str) -> Encoder:
         return held(("bpe", path), lambda: cls(path))
@@ -123,12 +136,21 @@ class Encoder:
         self.stable_pairs[pair] = answer
         return answer
 
-    def _last(self, word: str, end: int, last: list[int], length: list[int], mark: str) -> tuple[int, int]:
-        """The token that ends ``word[:end]`` and its length, given those of all shorter prefixes."""
-        for size in range(min(end, self.longest), 0, -1):
-            token = self.token.get(word[end - size : end] + mark)
-            if token is not None and (size == end or self.stable(last[end - size], token)):
-                return token, size
+    def _last(self, word: str, end: int, last: list[int], mark: str) -> tuple[int, int]:
+        """The token that ends ``word[:end]`` and its length, given the last tokens of all shorter prefixes."""
+        known, tokens = self.stable_pairs, self.token
+        longer = self.sizes[mark].get(word[end - 4 : end], ()) if end > 3 else ()
+        for size in (*longer, 3, 2, 1):
+            if size > end:
+                continue
+            token = tokens.get(word[end - size : end] + mark)
+            if token is not None:
+                if size == end:
+                    return token, size
+                before = last[end - size]
+                apart = known.get((before, token))
+                if apart or (apart is None and self.stable(before, token)):
+                    return token, size
         raise ValueError(f"no token ends {word[:end]!r}")
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
@@ -143,10 +165,10 @@ class Encoder:
                 shared += 1
             del last[shared + 1 :], length[shared + 1 :]
             for end in range(len(last), len(word)):
-                token, size = self._last(word, end, last, length, "")
+                token, size = self._last(word, end, last, "")
                 last.append(token)
                 length.append(size)
-            token, size = self._last(word, len(word), last, length, END)
+            token, size = self._last(word, len(word), last, END)
             ids, end = [token], len(word) - size
             while end:
                 ids.append(last[end])
@@ -191,13 +213,14 @@ class Encoder:
                 pieces = self._pieces(text or "")
                 new.update(w for w, plain in pieces if plain)
                 split.append(pieces)
-        plain = {w: "".join([_SYMBOLS[b] for b in w.encode()]) for w in new if w not in self.plain}
+        plain = {w: "".join([_SYMBOLS[b] for b in w.encode()]) for w in new - self.plain.keys()}
         other = {w for s in split if s and isinstance(s[0], tuple) for w, p in s if p is False and w not in self.other}
         coded = dict(self.encode_words(list({*plain.values(), *other})))
-        ready = {w: (np.array(ids, "<u4").tobytes(), self.decode(ids)) for w, ids in coded.items()}
+        ready = {w: (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)) for w, ids in coded.items()}
         long = {w: ready[s] for w, s in plain.items() if len(s) > REMEMBERED_LENGTH}
         self.plain.update((w, ready[s]) for w, s in plain.items())
         self.other.update((w, ready[w]) for w in other)
+        of_plain = self.plain.__getitem__
         for words in split:
             if words and isinstance(words[0], tuple):
                 found = [
@@ -205,12 +228,12 @@ class Encoder:
                     if p
                     else self.other[w]
                     if p is False
-                    else (np.array([self.special[w]], "<u4").tobytes(), w)
+                    else (struct.pack("<I", self.special[w]), w)
                     for w, p in words
                 ]
             else:
-                found = [self.plain[w] for w in words]
-            yield [x[0] for x in found], [x[1] for x in found]
+                found = list(map(of_plain, words))
+            yield list(map(_FIRST, found)), list(map(_SECOND, found))
         for w in long:
             self.plain.pop(w, None)
         for w in [w for w in other if len(w) > REMEMBERED_LENGTH]:

@@ -81,3 +81,20 @@ def test_encode_and_decode_columns(odd, empty, library):
         assert r["ids"] == right
         assert r["decoded"] == library.decode(right, skip_special_tokens=False)
     assert bpe.encoded_digests(empty).count() == 0
+
+
+def test_only_lengths_of_tokens_with_that_end_are_tried():
+    class Counting(dict):
+        gets = 0
+
+        def get(self, key, default=None):
+            Counting.gets += 1
+            return super().get(key, default)
+
+    encoder = bpe.Encoder(PATH)
+    encoder.token = Counting(encoder.token)
+    words = ["qzxvkjwqpx" * 6, "internationalizations" * 3]
+    found = dict(encoder.encode_words(words))
+    assert Counting.gets <= 8 * sum(len(w) + 1 for w in words)
+    for word in words:
+        assert found[word] == encoder.library.encode(word, add_special_tokens=False).ids
