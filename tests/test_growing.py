@@ -1,8 +1,11 @@
 import json
 import os
 
+import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from shoplens.plans import current_sessions
-from shoplens.streaming import ingest_growing_sessions
+from shoplens.streaming import growing, ingest_growing_sessions
 
 
 def document(i):
@@ -79,3 +82,53 @@ def test_a_broken_chunk_is_read_when_mended(spark, tmp_path):
     folder.send("sessions_0.json", [document(5)])
     folder.send("sessions_1.json", [document(0), 7, None, document(1), "x", document(2)])
     assert ids(ingest_growing_sessions(*args)) == [0, 1, 2, 5]
+
+
+def test_files_are_looked_up_by_a_few_tasks(spark, tmp_path):
+    folder, target = Folder(tmp_path / "in"), str(tmp_path / "out")
+    files = growing.LOOKUPS_PER_CORE * spark.sparkContext.defaultParallelism + 33
+    for i in range(files):
+        folder.send(f"sessions_{i}.json", [document(i)])
+    before = spark.conf.get(growing.LOOKUPS, None)
+    spark.sparkContext.setJobGroup(target, "many files")
+    try:
+        table = ingest_growing_sessions(spark, str(folder.path), target)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(target) for s in tracker.getJobInfo(j).stageIds]
+    infos = [info for info in map(tracker.getStageInfo, stages) if info]
+    assert infos and max(info.numTasks for info in infos) < files
+    assert ids(table) == list(range(files))
+    assert spark.conf.get(growing.LOOKUPS, None) == before
+
+
+def test_the_folder_is_listed_once_for_many_batches(spark, tmp_path, monkeypatch):
+    folder, target = Folder(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(4):
+        folder.send(f"sessions_{i}.json", [document(i)])
+    listed, looked = [], growing._changed
+    monkeypatch.setattr(growing, "_changed", lambda *args: listed.append(args) or looked(*args))
+    assert ids(ingest_growing_sessions(spark, str(folder.path), target, max_files=1)) == list(range(4))
+    assert len(listed) == 2  # what there is, and that nothing came after it
+    orders = [r.load_order for r in spark.read.parquet(f"{target}/load_batch=3").collect()]
+    assert [tuple(order) for order in orders] == [(3, "sessions_3.json", 0)]
+
+
+def test_sendings_are_made_from_rows_dealt_out_once(spark, tmp_path, monkeypatch):
+    made, folder = str(tmp_path / "made"), tmp_path / "sent"
+    keys = [None, 2600, 2600, 1999, 1001, 1500, 700, 3, 2]
+    rows = spark.createDataFrame([(key, None) for key in keys], "key bigint, empty string")
+    monkeypatch.setattr(entry, "ROWS_PER_WRITER", 3)
+    entry._write_sendings(rows, made, "key", (F.col("at") % 1000 < 500, F.lit(True)))
+
+    def sent(sending):
+        entry._send(spark, made, str(folder), sending)
+        texts = {p.name[9:-5]: p.read_text() for p in folder.iterdir() if p.name.startswith("sessions_")}
+        return {name: [one.get("key") for one in json.loads(text)] for name, text in texts.items()}
+
+    assert sent(0) == {"0": [2, 3], "1": [1001]}
+    first = {p.name: p.stat().st_mtime for p in folder.iterdir()}
+    unkeyed = "__HIVE_DEFAULT_PARTITION__"
+    assert sent(1) == {"0": [2, 3, 700], "1": [1001, 1500, 1999], "2": [2600, 2600], unkeyed: [None]}
+    assert all((folder / f"sessions_{n}.json").stat().st_mtime >= first[f"sessions_{n}.json"] + 2 for n in (0, 1))
