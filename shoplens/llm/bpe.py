@@ -23,7 +23,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from operator import itemgetter
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +38,6 @@ END = "</w>"
 REMEMBERED_WORDS = 200_000
 REMEMBERED_LENGTH = 64
 REMEMBERED_PAIRS = 500_000
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def _byte_symbols() -> list[str]:
@@ -65,14 +64,22 @@ _PLAIN_WORDS = re.compile(
 
 
 class Encoder:
-    """Encodes and decodes texts with one tokenizer file; one per worker."""
+    """Encodes and decodes texts with one tokenizer file; one per worker.
 
-    def __init__(self, path: str):
+    Workers wait with what they hold beside those at work, so an encoder holds little: of the library only the
+    normaliser and the splitter, and decoded words only if they are asked for (``spelled``).
+    """
+
+    def __init__(self, path: str, spelled: bool = True):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
-        self.library = Tokenizer.from_file(path)
+        self.path, self.spelled = path, spelled
+        rules = {part: data.get(part) for part in ("version", "normalizer", "pre_tokenizer")}
+        self.rules = Tokenizer.from_str(
+            json.dumps(rules | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
+        )
         self.token = dict(data["model"]["vocab"])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.text = {i: t for t, i in [*self.token.items(), *self.special.items()]}
@@ -88,8 +95,17 @@ class Encoder:
             self.parts[whole] = pair
         self.sizes = {END: self._sizes_by_end(END), "": self._sizes_by_end("")}
         self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.plain: dict[str, tuple[bytes, str]] = {}
-        self.other: dict[str, tuple[bytes, str]] = {}
+        self.plain: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+        self.plain_decoded: dict[str, str] = {}
+        self.other_decoded: dict[str, str] = {}
+
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, to compare with; nothing here takes it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _sizes_by_end(self, mark: str) -> dict[str, tuple[int, ...]]:
         """The lengths of the tokens of four symbols and more, longest first, by their last four symbols."""
@@ -102,8 +118,8 @@ class Encoder:
         return {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
 
     @classmethod
-    def load(cls, path: str) -> Encoder:
-        return held(("bpe", path), lambda: cls(path))
+    def load(cls, path: str, spelled: bool = True) -> Encoder:
+        return held(("bpe", path, spelled), lambda: cls(path, spelled))
 
     def stable(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their symbols are merged as one string.
@@ -188,8 +204,8 @@ class Encoder:
         for found in [*self.special_pattern.finditer(text), None]:
             part = text[start : found.start() if found else len(text)]
             if _NOT_PLAIN.search(part):
-                normal = self.library.normalizer.normalize_str(part)
-                pieces += [(w, False) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                normal = self.rules.normalizer.normalize_str(part)
+                pieces += [(w, False) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
             else:
                 pieces += [(w, True) for w in _PLAIN_WORDS.findall(part.lower())]
             if found:
@@ -198,10 +214,10 @@ class Encoder:
         return pieces
 
     def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], list[str]]]:
-        """For each text the ids of its words as bytes (32 bits each) and the words' decoded tokens."""
+        """For each text the ids of its words as bytes (32 bits each) and, if ``spelled``, the words' decoded tokens."""
         if len(self.plain) + len(self.other) > REMEMBERED_WORDS:
-            self.plain.clear()
-            self.other.clear()
+            for known in (self.plain, self.other, self.plain_decoded, self.other_decoded):
+                known.clear()
         split: list = []
         new: set[str] = set()
         for text in texts:
@@ -216,28 +232,29 @@ class Encoder:
         plain = {w: "".join([_SYMBOLS[b] for b in w.encode()]) for w in new - self.plain.keys()}
         other = {w for s in split if s and isinstance(s[0], tuple) for w, p in s if p is False and w not in self.other}
         coded = dict(self.encode_words(list({*plain.values(), *other})))
-        ready = {w: (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)) for w, ids in coded.items()}
-        long = {w: ready[s] for w, s in plain.items() if len(s) > REMEMBERED_LENGTH}
+        ready = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in coded.items()}
         self.plain.update((w, ready[s]) for w, s in plain.items())
         self.other.update((w, ready[w]) for w in other)
-        of_plain = self.plain.__getitem__
+        if self.spelled:
+            decoded = {w: self.decode(ids) for w, ids in coded.items()}
+            self.plain_decoded.update((w, decoded[s]) for w, s in plain.items())
+            self.other_decoded.update((w, decoded[w]) for w in other)
         for words in split:
-            if words and isinstance(words[0], tuple):
-                found = [
-                    self.plain[w]
-                    if p
-                    else self.other[w]
-                    if p is False
-                    else (struct.pack("<I", self.special[w]), w)
-                    for w, p in words
-                ]
-            else:
-                found = list(map(of_plain, words))
-            yield list(map(_FIRST, found)), list(map(_SECOND, found))
-        for w in long:
+            ids = self._each(words, self.plain, self.other, lambda w: struct.pack("<I", self.special[w]))
+            yield ids, self._each(words, self.plain_decoded, self.other_decoded, str) if self.spelled else []
+        for w in [w for w, s in plain.items() if len(s) > REMEMBERED_LENGTH]:
             self.plain.pop(w, None)
+            self.plain_decoded.pop(w, None)
         for w in [w for w in other if len(w) > REMEMBERED_LENGTH]:
             self.other.pop(w, None)
+            self.other_decoded.pop(w, None)
+
+    @staticmethod
+    def _each(words: list, of_plain: dict, of_other: dict, of_special) -> list:
+        """What the dictionaries hold of each word of a text, or of each of its ``_pieces``."""
+        if words and isinstance(words[0], tuple):
+            return [of_plain[w] if p else of_other[w] if p is False else of_special(w) for w, p in words]
+        return list(map(of_plain.__getitem__, words))
 
 
 def _path(path: str | None) -> str:
@@ -249,7 +266,7 @@ def ids_column(docs: DataFrame, path: str | None = None) -> Column:
     path = _path(path)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder.load(path)
+        encoder = Encoder.load(path, spelled=False)
         for texts in batches:
             found = [np.frombuffer(b"".join(ids), "<u4") for ids, _ in encoder.encode_texts(texts.to_pylist())]
             offsets = np.cumsum([0, *map(len, found)])

@@ -164,6 +164,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     rows = rows.withColumn("doc", F.col("row.doc_id").cast("long")).withColumn("key", document_key("row.text"))
     same = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key"))
     rewrite = arrow_column(docs.sparkSession, _rewritten, "struct<text:string,n_lines:bigint,n_removed:bigint>")
+    # Spark runs a deterministic function once more, in workers of its own, for a filter on its result.
+    rewrite = rewrite.asNondeterministic()
     joined = rows.join(found, same, "left").select("row", rewrite(F.col("row.text"), F.col("windows")).alias("done"))
     return joined.select("row", "done.*")
 

@@ -98,3 +98,20 @@ def test_only_lengths_of_tokens_with_that_end_are_tried():
     assert Counting.gets <= 8 * sum(len(w) + 1 for w in words)
     for word in words:
         assert found[word] == encoder.library.encode(word, add_special_tokens=False).ids
+
+
+def test_an_encoder_holds_neither_the_library_nor_words_not_asked_for(library):
+    texts = ["plain words", "漢字 naïve", "<|endoftext|>x", "", None, "z" * 500 + " é漢" * 40]
+    spelled, short = bpe.Encoder(PATH), bpe.Encoder(PATH, spelled=False)
+    for _ in range(2):
+        found, ids_only = list(spelled.encode_texts(texts)), list(short.encode_texts(texts))
+        assert [ids for ids, _ in found] == [ids for ids, _ in ids_only]
+        assert all(words == [] for _, words in ids_only)
+        for text, (_, words) in zip(texts, found):
+            right = library.encode(text or "", add_special_tokens=False).ids
+            assert " ".join(words) == library.decode(right, skip_special_tokens=False)
+    assert not short.plain_decoded and not short.other_decoded
+    for encoder in (spelled, short):
+        assert "library" not in vars(encoder)
+        assert encoder.rules.get_vocab_size() == 0
+        assert all(len(w) <= bpe.REMEMBERED_LENGTH for w in [*encoder.plain, *encoder.other])

@@ -129,3 +129,11 @@ def test_odd_rows(odd, empty):
     assert by[2]["text"] == "" and by[4]["n_removed"] == 0
     assert linededup.without_repeats(odd).columns == odd.columns
     assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_texts_are_rewritten_once(make):
+    text = " ".join(map(str, range(40)))
+    kept = linededup.without_repeats(make((1, text, "en", "a"), (2, f"x\n{text}", "en", "b")))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: text, 2: "x"}
