@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -38,6 +39,7 @@ END = "</w>"
 REMEMBERED_WORDS = 200_000
 REMEMBERED_LENGTH = 64
 REMEMBERED_PAIRS = 500_000
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def _byte_symbols() -> list[str]:
@@ -95,10 +97,8 @@ class Encoder:
             self.parts[whole] = pair
         self.sizes = {END: self._sizes_by_end(END), "": self._sizes_by_end("")}
         self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.plain: dict[str, bytes] = {}
-        self.other: dict[str, bytes] = {}
-        self.plain_decoded: dict[str, str] = {}
-        self.other_decoded: dict[str, str] = {}
+        self.plain: dict[str, tuple[bytes, str] | bytes] = {}
+        self.other: dict[str, tuple[bytes, str] | bytes] = {}
 
     @cached_property
     def library(self):
@@ -216,8 +216,8 @@ class Encoder:
     def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], list[str]]]:
         """For each text the ids of its words as bytes (32 bits each) and, if ``spelled``, the words' decoded tokens."""
         if len(self.plain) + len(self.other) > REMEMBERED_WORDS:
-            for known in (self.plain, self.other, self.plain_decoded, self.other_decoded):
-                known.clear()
+            self.plain.clear()
+            self.other.clear()
         split: list = []
         new: set[str] = set()
         for text in texts:
@@ -232,29 +232,31 @@ class Encoder:
         plain = {w: "".join([_SYMBOLS[b] for b in w.encode()]) for w in new - self.plain.keys()}
         other = {w for s in split if s and isinstance(s[0], tuple) for w, p in s if p is False and w not in self.other}
         coded = dict(self.encode_words(list({*plain.values(), *other})))
-        ready = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in coded.items()}
+        ready = {w: self._value(struct.pack(f"<{len(ids)}I", *ids), ids) for w, ids in coded.items()}
         self.plain.update((w, ready[s]) for w, s in plain.items())
         self.other.update((w, ready[w]) for w in other)
-        if self.spelled:
-            decoded = {w: self.decode(ids) for w, ids in coded.items()}
-            self.plain_decoded.update((w, decoded[s]) for w, s in plain.items())
-            self.other_decoded.update((w, decoded[w]) for w in other)
+        of_plain = self.plain.__getitem__
         for words in split:
-            ids = self._each(words, self.plain, self.other, lambda w: struct.pack("<I", self.special[w]))
-            yield ids, self._each(words, self.plain_decoded, self.other_decoded, str) if self.spelled else []
+            if words and isinstance(words[0], tuple):
+                found = [
+                    self.plain[w]
+                    if p
+                    else self.other[w]
+                    if p is False
+                    else self._value(struct.pack("<I", self.special[w]), [self.special[w]])
+                    for w, p in words
+                ]
+            else:
+                found = list(map(of_plain, words))
+            yield (list(map(_FIRST, found)), list(map(_SECOND, found))) if self.spelled else (found, [])
         for w in [w for w, s in plain.items() if len(s) > REMEMBERED_LENGTH]:
             self.plain.pop(w, None)
-            self.plain_decoded.pop(w, None)
         for w in [w for w in other if len(w) > REMEMBERED_LENGTH]:
             self.other.pop(w, None)
-            self.other_decoded.pop(w, None)
-
-    @staticmethod
-    def _each(words: list, of_plain: dict, of_other: dict, of_special) -> list:
-        """What the dictionaries hold of each word of a text, or of each of its ``_pieces``."""
-        if words and isinstance(words[0], tuple):
-            return [of_plain[w] if p else of_other[w] if p is False else of_special(w) for w, p in words]
-        return list(map(of_plain.__getitem__, words))
+
+    def _value(self, packed_ids: bytes, ids: list[int]) -> tuple[bytes, str] | bytes:
+        """What is remembered of a word: its ids as bytes, with its decoded tokens if ``spelled``."""
+        return (packed_ids, self.decode(ids)) if self.spelled else packed_ids
 
 
 def _path(path: str | None) -> str:
