@@ -1,3 +1,4 @@
+import collections
 import json
 import os
 
@@ -5,6 +6,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from shoplens.plans import current_sessions
+from shoplens.sources import read_collection
 from shoplens.streaming import growing, ingest_growing_sessions
 
 
@@ -132,3 +134,24 @@ def test_sendings_are_made_from_rows_dealt_out_once(spark, tmp_path, monkeypatch
     unkeyed = "__HIVE_DEFAULT_PARTITION__"
     assert sent(1) == {"0": [2, 3, 700], "1": [1001, 1500, 1999], "2": [2600, 2600], unkeyed: [None]}
     assert all((folder / f"sessions_{n}.json").stat().st_mtime >= first[f"sessions_{n}.json"] + 2 for n in (0, 1))
+
+
+def test_array_files_are_gathered_from_rows_dealt_out_first(spark, tmp_path, monkeypatch):
+    made = tmp_path / "made"
+    keys = [None, None, *range(0, 60_000, 500)]
+    table = spark.createDataFrame([(key, f"of {key}") for key in keys], "key bigint, piece string").coalesce(1)
+    monkeypatch.setattr(entry, "ROWS_PER_WRITER", 10)
+    entry._write_arrays(table, str(made), "key")
+    entry._write_arrays(table.where("key < 0"), str(made), "key")
+    of_task, files = collections.Counter(), []
+    for path in made.glob("part-*"):
+        if text := path.read_text():
+            files.append(sorted((one.get("key", -1), one["piece"]) for one in json.loads(text)))
+            of_task[path.name.split("-")[1]] += len(files[-1])
+    expected = ([(k, f"of {k}"), (k + 500, f"of {k + 500}")] for k in range(0, 60_000, 1000))
+    assert sorted(files) == [[(-1, "of None")] * 2, *expected]
+    assert len(of_task) > 6 and max(of_task.values()) <= 30  # 13 tasks, 122 rows
+    plan = entry._arrays(table, "key", False)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("collect_list") == 2 and "collect_list" not in plan[plan.index("REPARTITION_BY_NUM") :]
+    found = read_collection(spark, str(made), "key bigint, piece string")
+    assert sorted(r.key for r in found.collect() if r.key is not None) == keys[2:] and found.count() == len(keys)
